@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, rules, warc
+from . import mixing, quality, rules, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_transactions": warc.op1_warc_transactions,
+        "op2_quality_classifier": quality.op2_quality_classifier,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_source_mixing": mixing.op7_source_mixing,
         "op10_quality_rules": rules.op10_quality_rules,
     }
