@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, rules, toxicity, warc
+from . import media, mixing, ngram_join, packing, quality, rules, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_transactions": warc.op1_warc_transactions,
         "op2_quality_classifier": quality.op2_quality_classifier,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
+        "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_source_mixing": mixing.op7_source_mixing,
+        "op8_media_columns": media.op8_media_columns,
         "op10_quality_rules": rules.op10_quality_rules,
     }
 
