@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngram_join, packing, quality, rules, toxicity, warc
+from . import media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc_transactions": warc.op1_warc_transactions,
         "op2_quality_classifier": quality.op2_quality_classifier,
+        "op3_suffix_dedup": suffix.op3_suffix_dedup,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op6_toxicity": toxicity.op6_toxicity,

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A word, for Java's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What a text with a word matches.
+SPACES = r"[^\x20\x09-\x0D]"
 #: Rows of an Arrow batch handed to Python: long texts make larger batches costly.
 BATCH_ROWS = 1000
 
