@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
+from . import lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_source_mixing": mixing.op7_source_mixing,
         "op8_media_columns": media.op8_media_columns,
+        "op9_lm_scoring": lm.op9_lm_scoring,
         "op10_quality_rules": rules.op10_quality_rules,
     }
 
