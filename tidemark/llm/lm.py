@@ -127,7 +127,9 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """8-bit codes and their codebook; bins hold about equally many values."""
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1, np.float32)
-    cuts = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
+    # half of the cuts by rank, half evenly spaced, so that neither common nor extreme values get wide bins
+    spaced = np.linspace(values.min(), values.max(), 129)[1:-1]
+    cuts = np.unique(np.concatenate((np.quantile(values, np.linspace(0, 1, 129)[1:-1]), spaced)))
     codes = np.searchsorted(cuts, values, side="left")
     size = np.bincount(codes, minlength=len(cuts) + 1)
     book = np.bincount(codes, values, len(cuts) + 1) / np.maximum(size, 1)
