@@ -256,7 +256,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     mixed = kinds.join(anchors.filter("different > 1"), "anchor").withColumn("hot", F.col("different") > HOT)
     wanted = mixed.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("anchor", "run", "many", "hot", F.col("first.start").alias("start"), "windows")).alias("parts"))
     texts = bodies.mapInArrow(_first_texts, "key binary, body binary")
-    parts = written(wanted.join(texts, "key").select("parts", "body").mapInArrow(_cut, PART), "parts")
+    parts = written(texts.join(wanted.hint("merge"), "key").select("parts", "body").mapInArrow(_cut, PART), "parts")
     amount = parts.filter("not hot").agg(F.sum(F.octet_length("body")).alias("n")).first().n or 0
     blocks = max(1, amount // BLOCK)
     block = F.pmod(F.xxhash64("anchor"), F.lit(blocks))
@@ -270,7 +270,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = written(found, "found")
     # equal runs throughout: all windows repeat
     whole = kinds.join(anchors.filter("different = 1"), "anchor").select("anchor", "run", F.array(F.lit(0)).alias("froms"), F.array("windows").alias("tos"))
-    spans = every.join(found.unionByName(whole), ["anchor", "run"])
+    spans = every.join(found.unionByName(whole).hint("merge"), ["anchor", "run"])
     # bytes covered: from the first window to the end of the last
     spans = spans.select("key", F.transform(F.arrays_zip("froms", "tos"), lambda s: F.struct((F.col("start") + s["froms"]).alias("begin"), (F.col("start") + s["tos"] + LEAST - 1).alias("end"))).alias("s"))
     return spans.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("spans"))
@@ -314,7 +314,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("key").alias("copied"))
     texts = docs.select("text").mapInArrow(_first_texts, "key binary, body binary")
     part = repeats(docs).join(copies, F.col("key") == F.col("copied"), "left_anti")
-    part = texts.join(part, "key").select("key", "body", "spans").mapInArrow(_digests, "of binary, removed long, n long, sha string")
+    part = texts.join(part.hint("merge"), "key").select("key", "body", "spans").mapInArrow(_digests, "of binary, removed long, n long, sha string")
     rows = rows.join(part, F.col("key") == F.col("of"), "left").join(copies, F.col("key") == F.col("copied"), "left")
     gone = F.col("copied").isNotNull() & (F.col("n_bytes") >= LEAST)
     return rows.select(
@@ -335,7 +335,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_sfx_key", _key_column())
     copies = rows.groupBy("_sfx_key").agg(F.count("*").alias("_sfx_copies")).filter("_sfx_copies > 1")
     spans = repeats(docs.select("text")).select(F.col("key").alias("_sfx_key"), F.col("spans").alias("_sfx_spans"))
-    rows = rows.join(spans, "_sfx_key", "left").join(copies, "_sfx_key", "left")
+    rows = rows.join(spans.hint("merge"), "_sfx_key", "left").join(copies.hint("merge"), "_sfx_key", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
