@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -110,16 +110,32 @@ def _fresh(texts: list[bytes], seen: set[bytes]) -> list[tuple[bytes, bytes]]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, key) rows. A task sends each band value once, with the first text that has it; texts that meet it later in the
+    task share a bucket of their own with that first text, so a bucket gets a row per task at most, however large the group."""
     seen: set[bytes] = set()
+    first: dict[int, int] = {}
+    texts: list[bytes] = []
     for batch in batches:
         new = _fresh(texts_of(batch, 0), seen)
         for part in by_bytes([t for _, t in new], 2 << 20):
             sets = shingles([t for _, t in new[part]])
             keys = [k for (k, _), s in zip(new[part], sets) if len(s)]
-            if keys:
-                found = bands(signatures([s for s in sets if len(s)]))
-                rows = np.repeat(np.arange(len(keys)), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64).ravel()), pa.array(keys, pa.binary()).take(pa.array(rows))], ["band", "key"])
+            if not keys:
+                continue
+            buckets, owners = [], []
+            for key, found in zip(keys, bands(signatures([s for s in sets if len(s)])).tolist()):
+                me = len(texts)
+                texts.append(key)
+                meets = {first.setdefault(band, me) for band in found}
+                mine = [band for band in found if first[band] == me]
+                buckets += mine
+                owners += [key] * len(mine)
+                for other in sorted(meets - {me}):
+                    own = int.from_bytes(hashlib.blake2b(key + texts[other], digest_size=8).digest(), "little")
+                    buckets += [own, own]
+                    owners += [key, texts[other]]
+            for k in range(0, len(buckets), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(buckets[k : k + 50_000], np.uint64).view(np.int64)), pa.array(owners[k : k + 50_000], pa.binary())], ["band", "key"])
 
 
 def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +258,10 @@ def text_classes(docs: DataFrame) -> DataFrame:
     """key (MD5 of the text), root (least key of its class) and links, for every text with a candidate; others are alone."""
     prepare(docs.sparkSession)
     bodies = docs.select("text")
-    band = written(bodies.mapInArrow(_bands, "band long, key binary"), "bands")
-    # a text that several tasks met has the same key from each, so it is no partner of its own
-    shared = band.groupBy("band").agg(F.min("key").alias("v"), F.max("key").alias("last")).filter("v <> last").drop("last")
-    stars = band.join(shared, "band").filter("key <> v").select(F.col("key").alias("u"), "v").distinct()
+    # one exchange: a bucket's rows are few, one per task, and link to the least of them
+    band = bodies.mapInArrow(_bands, "band long, key binary")
+    band = band.withColumn("v", F.min("key").over(Window.partitionBy("band")))
+    stars = band.filter("key <> v").select(F.col("key").alias("u"), "v").distinct()
     group = components(stars)
     sizes = group.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     member = group.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
@@ -253,7 +269,8 @@ def text_classes(docs: DataFrame) -> DataFrame:
     member = member.select("node", F.col("root").alias("component"), F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile")
     member = written(member, "members")
     texts = bodies.mapInArrow(_first_texts, "key binary, body binary")
-    rows = member.join(texts, F.col("node") == F.col("key")).select("component", "a", "b", "tile", "key", "body")
+    # by merge at every size: texts move once, and the plan doesn't change as the corpus grows
+    rows = texts.join(member.hint("merge"), F.col("node") == F.col("key")).select("component", "a", "b", "tile", "key", "body")
     rows = rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
     found = written(rows.mapInArrow(_blocks, "key binary, root binary, links long"), "linked")
     many = written(found.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("root").alias("last")), "texts")
@@ -272,9 +289,19 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = texts.join(found, F.col("key") == F.col("of"), "left").select("key", "least", "n_copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
     texts = written(texts, "texts")
     named = texts.groupBy("root").agg(F.min("least").alias("class_id")).withColumnRenamed("root", "name")
-    texts = texts.join(named, F.col("root") == F.col("name")).select("key", "class_id", "n_links", "n_copies")
-    return member.join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies", "key")
+    texts = texts.join(named, F.col("root") == F.col("name")).select("key", "root", "class_id", "n_links", "n_copies")
+    return member.join(texts, "key").select("doc_id", "class_id", "n_links", "n_copies", "key", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: that of the least doc_id (null only if the class has no other)."""
+    found = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    kept = found.groupBy("root").agg(F.min(F.struct("key", "doc_id")).alias("k")).select(F.col("k.key").alias("_nd_key"), F.col("k.doc_id").alias("_nd_doc"))
+    rows = docs.withColumn("_nd_own", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    rows = rows.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_doc")) & (F.col("_nd_own") == F.col("_nd_key")), "left_semi")
+    again = Window.partitionBy("doc_id", "_nd_own").orderBy(F.lit(0))  # rows that repeat as a whole
+    return rows.withColumn("_nd_row", F.row_number().over(again)).filter("_nd_row = 1").select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).drop("key")
+    return classes(table(spark, sf_dir, "documents")).drop("key", "root")
