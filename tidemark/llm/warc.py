@@ -19,6 +19,7 @@ import hashlib
 import io
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,14 +54,16 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 
 def capture(page_id: int | None, url: str, payload: bytes, copy: int, refers: int | None) -> bytes:
-    """The three records of a page. ``refers``: the page that responds for it; None if it responds itself."""
-    sha, uri = digest(payload), url.replace("\r", "%0D").replace("\n", "%0A")
+    """The three records of a page. ``copy``: how many rows of this page_id had this payload before; ``refers``: the page
+    that responds for it, None if it responds itself."""
+    sha = digest(payload)
+    copy, uri = f"{sha}/{copy}", url.replace("\r", "%0D").replace("\n", "%0A")
     own = record_id(page_id, copy)
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
     path = "/" + uri.split("://", 1)[-1].partition("/")[2]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     request = [("WARC-Type", "request"), ("WARC-Record-ID", record_id(page_id, f"{copy}/request")), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/http; msgtype=request")]
-    kind = [("WARC-Type", "response")] if refers is None else [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers, 0)), ("X-Refers-To-Page", refers)]
+    kind = [("WARC-Type", "response")] if refers is None else [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers, f"{sha}/0")), ("X-Refers-To-Page", refers)]
     answer = [*kind, ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha1:{sha}"), ("Content-Type", "application/http; msgtype=response")]
     note = [("WARC-Type", "metadata"), ("WARC-Record-ID", record_id(page_id, f"{copy}/metadata")), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")]
     return b"".join(
@@ -93,20 +96,20 @@ class Archive:
 
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, archive, last, copy = TaskContext.get().partitionId(), 0, None, None, 0
-        seen: dict[bytes, int] = {}
+        part, number, archive, last = TaskContext.get().partitionId(), 0, None, None
+        seen: Counter[bytes] = Counter()
         for batch in batches:
             done = []
             for page_id, url, html, ref in zip(*(c.to_pylist() for c in batch.columns)):
                 archive = archive or Archive(folder, f"part-{part:05}-{number:04}.warc.gz")
                 payload = html or b""
-                # rows of a page_id are neighbours
-                if page_id != last or page_id is None and copy == 0:
-                    last, copy, seen = page_id, 0, {}
+                if page_id != last:  # rows of a page_id are neighbours
+                    last = page_id
+                    seen.clear()
                 sha = hashlib.sha1(payload).digest()
-                again = page_id is not None and ref == page_id and sha in seen
-                archive.add(capture(page_id, url or "", payload, copy, None if ref is None or ref == page_id and not again else ref))
-                seen[sha], copy = copy, copy + 1
+                first = ref is None or ref == page_id and not seen[sha]
+                archive.add(capture(page_id, url or "", payload, seen[sha], None if first else ref))
+                seen[sha] += 1
                 if archive.size >= ROLL_BYTES:
                     done.append(archive.close())
                     archive, number = None, number + 1
@@ -120,11 +123,11 @@ def _writer(folder: str):
 
 
 def responders(pages: DataFrame, least: int) -> DataFrame:
-    """page_id and the page that responds for it, for pages whose payload others have too."""
+    """page_id and, by payload, the page that responds for it, for payloads that others have too."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keys = pages.select("page_id", F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("n")).filter((F.col("n") >= least) & F.col("page_id").isNotNull())
     shared = keys.groupBy("sha").agg(F.max("page_id").alias("ref"), F.count("*").alias("copies")).filter("copies > 1")
-    return keys.join(shared, "sha").select(F.col("page_id").alias("of"), "ref", F.col("sha").alias("of_sha")).distinct()
+    return keys.join(shared, "sha").groupBy(F.col("page_id").alias("of")).agg(F.collect_set(F.struct("sha", "ref")).alias("refs"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, partitions: int | None = None) -> list[str]:
@@ -133,11 +136,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, part
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     refs = responders(pages, least)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sha = F.unhex(F.sha1(payload))
-    rows = pages.join(refs, (F.col("page_id") == F.col("of")) & (sha == F.col("of_sha")), "left")
-    rows = rows.select("page_id", "url", payload.alias("html"), "ref")
-    key = F.coalesce(F.col("page_id"), F.xxhash64("html"))
-    rows = rows.repartition(partitions, key) if partitions else rows.repartition(key)
+    # one exchange of payloads, by page_id; pages without one are dealt by their payload and match nothing
+    rows = pages.select("*", F.coalesce(F.col("page_id"), F.xxhash64("html")).alias("of"))
+    if partitions:
+        rows, refs = rows.repartition(partitions, "of"), refs.repartition(partitions, "of")
+    rows = rows.join(refs.hint("merge"), "of", "left")
+    own = F.filter("refs", lambda r: (r["sha"] == F.unhex(F.sha1(payload))) & F.col("page_id").isNotNull())
+    rows = rows.select("page_id", "url", payload.alias("html"), F.get(own, F.lit(0))["ref"].alias("ref"))
     files = rows.sortWithinPartitions("page_id", "url").mapInArrow(_writer(folder), "file string")
     return sorted(r.file for r in files.collect())
 
