@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,33 +23,33 @@ def occurrence_pairs(left: DataFrame, right: DataFrame, on: list[str], order: st
     return a.join(b, [*on, "_k"]).withColumnRenamed("_k", "k")
 
 
-def _taken(rows: Iterable[tuple]) -> list[tuple]:
-    left, right, out = set(), set(), []
-    for area, i, j in sorted(rows, key=lambda r: (-r[0], r[1], r[2])):
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
-            out.append((i, j, area))
-    return out
-
-
 def greedy_pairs(candidates: DataFrame, group: list[str]) -> DataFrame:
     """Of candidates (group, i, j, area) the greedy one-to-one choice: greatest area first, then least i, then least j.
 
-    A group is one pair of snapshots, whose candidates are few; groups are dealt over all tasks.
+    Groups (pairs of snapshots) are dealt over all tasks and sorted there; a task streams through its rows and holds no more
+    than the sides taken so far of one group, so neither many small groups nor a large one cost more than their rows.
     """
-    fields = [candidates.schema[g] for g in group]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", i long, j long, area double"
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = _taken(zip(pdf["area"], pdf["i"], pdf["j"]))
-        out = pd.DataFrame(chosen, columns=["i", "j", "area"])
-        for place, g in enumerate(group):
-            out.insert(place, g, pdf[g].iloc[0])
-        return out
+    names = [*group, "i", "j"]
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        left: set = set()
+        right: set = set()
+        for pdf in batches:
+            keep = []
+            for *own, i, j in zip(*(pdf[c].tolist() for c in names)):
+                if own != now:
+                    now, left, right = own, set(), set()
+                free = i not in left and j not in right
+                if free:
+                    left.add(i)
+                    right.add(j)
+                keep.append(free)
+            yield pdf[keep]
 
     narrow = candidates.select(*group, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("area").cast("double").alias("area"))
-    return narrow.groupBy(*group).applyInPandas(choose, schema)
+    ordered = narrow.repartition(*group).sortWithinPartitions(*group, F.desc("area"), "i", "j")
+    return ordered.mapInPandas(choose, narrow.schema)
 
 
 def mutual_best(candidates: DataFrame, group: list[str], rounds: int) -> DataFrame:

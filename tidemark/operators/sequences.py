@@ -133,9 +133,9 @@ def latch(flags: DataFrame, key: list[str], order: list[str], on: Column, off: C
     return flags.withColumn(name, F.coalesce(F.last(flag, ignorenulls=True).over(w), F.lit(0)))
 
 
-def recurrences(rows: DataFrame, key: list[str], time: str, least: float, most: float, within: float, times: int) -> DataFrame:
+def recurrences(rows: DataFrame, key: list[str], time: str, least: float, most: float, within: int, times: int) -> DataFrame:
     """Periodic keys: a step to the previous row between ``least`` and ``most`` recurs; ``confirmed`` once there are ``times`` steps in the
-    last ``within``. ``time`` is a number."""
+    last ``within``. ``time`` is a number; ``within`` is whole."""
     w = Window.partitionBy(*key).orderBy(time)
     out = rows.withColumn("step", F.col(time) - F.lag(time).over(w)).withColumn("recurs", F.coalesce((F.col("step") >= least) & (F.col("step") <= most), F.lit(False)))
     recent = Window.partitionBy(*key).orderBy(time).rangeBetween(-within, 0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import events, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, events)
 
 
 def queries() -> dict:
