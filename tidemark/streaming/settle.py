@@ -109,8 +109,8 @@ def settle(samples: DataFrame, still: float, hold: float) -> DataFrame:
     return ordered.mapInPandas(run, STATE)
 
 
-def settle_stream(samples: DataFrame, still: float, hold: float, quiet: str = "10 minutes") -> DataFrame:
-    """States of a stream with columns key, t, digest and a watermarked event time ``ts``; a key silent for ``quiet`` is finished.
+def settle_stream(samples: DataFrame, still: float, hold: float, quiet: float = 600.0) -> DataFrame:
+    """States of a stream with columns key, t, digest and a watermarked event time ``ts``; a key silent for ``quiet`` seconds is finished.
 
     Rows later than the watermark never reach the state. Replayed in order it gives what ``settle`` gives.
     """
@@ -128,7 +128,7 @@ def settle_stream(samples: DataFrame, still: float, hold: float, quiet: str = "1
         done = machine.take()
         state.update((pickle.dumps(machine),))
         latest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1), quiet)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(quiet * 1000))
         yield _frame([(key[0], *s) for s in done])
 
     return samples.groupBy("key").applyInPandasWithState(run, STATE, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
