@@ -74,6 +74,8 @@ def test_bm25_is_that_of_fts5(spark, query, tokenizer):
     expected = {r[0]: -r[1] for r in con.execute("select id, bm25(t) from t where t match ?", (match,))}
     got = {r.node_id: r.score for r in op.Index.build(nodes(spark)).bm25(query, tokenizer).collect()}
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    scan = {r.node_id: r.score for r in op.Scan(nodes(spark)).bm25(query, tokenizer).collect()}
+    assert scan.keys() == got.keys() and all(abs(got[k] - scan[k]) < 1e-9 for k in got)
 
 
 @pytest.mark.parametrize("query", ["--name", "C:\\src>", '"git status', "*", "a", "git AND NOT status", "(", ""])

@@ -90,6 +90,38 @@ class Index:
         return scored.groupBy("node_id").agg(F.sum(idf * weight).alias("score"))
 
 
+@dataclass
+class Scan:
+    """The same scores without an index: one narrow pass over the texts counts a query's phrases. For texts that are searched once."""
+
+    nodes: DataFrame
+
+    def bm25(self, query: str, tokenizer: str) -> DataFrame:
+        wanted = [t for x in terms(query) if (t := _tokens(x, tokenizer))]
+        if not wanted:
+            return self.nodes.select("node_id", F.lit(0.0).alias("score")).limit(0)
+        if tokenizer == "trigram":
+            low = F.lower("text")
+            length = F.greatest(F.length(low) - 2, F.lit(0))
+            # a phrase of trigrams is the substring itself; lookahead counts overlapping places
+            patterns = ["(?=" + re.escape(t[0] + "".join(x[2] for x in t[1:])) + ")" for t in wanted]
+        else:
+            low = tx.fold(F.col("text"))
+            length = F.regexp_count(low, F.lit(f"{tx.TOKEN}+"))
+            other = f"[^{tx.TOKEN[1:-1]}]+"
+            patterns = [f"(?<!{tx.TOKEN})(?=" + other.join(map(re.escape, t)) + f"(?!{tx.TOKEN}))" for t in wanted]
+        counts = [F.regexp_count(low, F.lit(p)).alias(f"tf{k}") for k, p in enumerate(patterns)]
+        rows = self.nodes.select("node_id", length.alias("dl"), *counts)
+        found = [F.col(f"tf{k}") > 0 for k in range(len(wanted))]
+        total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count_if(x).alias(f"df{k}") for k, x in enumerate(found)))  # one row
+        score, some = F.lit(0.0), F.lit(False)
+        for k, x in enumerate(found):
+            idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+            weight = F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+            score, some = score + F.when(x, F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * weight).otherwise(0.0), some | x
+        return rows.filter(some).crossJoin(F.broadcast(total)).select("node_id", score.alias("score"))
+
+
 def filters(video_id: str | None = None, level: str | None = None, t_from: float | None = None, t_to: float | None = None, app: str | None = None) -> Column:
     """Conditions on nodes. Empty texts set no condition; times do unless None. ``app`` is part of an app's name, whatever its case."""
     out = F.lit(True)
@@ -125,7 +157,7 @@ def collapse_runs(hits: DataFrame, by: list[str], key: str, ordinal: str = "ordi
     return hits.withColumn("run", F.min(ordinal).over(Window.partitionBy(*by, "_run"))).drop("_run")
 
 
-def search(index: Index, query: str, limit: int | None = None, collapse: bool = True, vector: DataFrame | None = None, **where) -> DataFrame:
+def search(index: Index | Scan, query: str, limit: int | None = None, collapse: bool = True, vector: DataFrame | None = None, **where) -> DataFrame:
     """Hits of all families fused: node_id, level, family, score (5 places), t_start, t_end, matched, members, collapsed.
 
     ``vector``: further ranked hits as (node_id, rank), fused with the others.

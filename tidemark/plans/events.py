@@ -84,8 +84,7 @@ def track_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("ordinal"), box.alias("bbox"), F.concat(F.lit("part "), F.col("l_partkey") % 50).alias("text"), (F.col("l_quantity") > 10).alias("touched"))
     a = lines.join(pairs, lines.l_orderkey == pairs.pair).select("pair", F.lit("a").alias("side"), "ordinal", "bbox", "text", "touched")
     b = lines.join(pairs, lines.l_orderkey == pairs.next).select("pair", F.lit("b").alias("side"), "ordinal", "bbox", "text", "touched")
-    pairings, left = mt.track(a.unionByName(b))
-    return pairings.groupBy("kind").agg(F.count("*").alias("n")).unionByName(left.groupBy(F.col("rule").alias("kind")).agg(F.count("*").alias("n")))
+    return mt.track(a.unionByName(b)).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("variant").alias("n_variants"))
 
 
 def status_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:

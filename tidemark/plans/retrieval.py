@@ -20,7 +20,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
 
 
 def _top(spark: SparkSession, sf_dir: str, tokenizer: str) -> DataFrame:
-    scored = op.Index.build(document_nodes(table(spark, sf_dir, "documents"))).bm25(QUERY, tokenizer)
+    scored = op.Scan(document_nodes(table(spark, sf_dir, "documents"))).bm25(QUERY, tokenizer)
     scored = scored.select(F.col("node_id").cast("long").alias("doc_id"), F.round("score", 5).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id").limit(20)
 
@@ -34,7 +34,7 @@ def search_bm25_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = op.Index.build(document_nodes(table(spark, sf_dir, "documents")))
+    index = op.Scan(document_nodes(table(spark, sf_dir, "documents")))
     parts = []
     for tokenizer in op.TOKENIZERS:
         scored = index.bm25(QUERY, tokenizer).withColumn("score", F.round("score", 5)).withColumn("id", F.col("node_id").cast("long"))
@@ -62,18 +62,15 @@ def all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node_id", F.lit("all").alias("video_id"), "level", F.lit(None).cast("int").alias("ordinal"), F.lit(0.0).alias("t_start"), F.lit(0.0).alias("t_end"), F.array().cast("array<string>").alias("apps"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _rounded(index: op.Index) -> op.Index:
+class Rounded(op.Scan):
     """Scores to six places, so that ties are ties in any engine."""
 
-    class Rounded(op.Index):
-        def bm25(self, query: str, tokenizer: str) -> DataFrame:
-            return super().bm25(query, tokenizer).withColumn("score", F.round("score", 6))
-
-    return Rounded(index.postings, index.lengths, index.nodes)
+    def bm25(self, query: str, tokenizer: str) -> DataFrame:
+        return super().bm25(query, tokenizer).withColumn("score", F.round("score", 6))
 
 
 def search_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _rounded(op.Index.build(all_nodes(spark, sf_dir)))
+    index = Rounded(all_nodes(spark, sf_dir))
     return op.search(index, QUERY, collapse=False).select("node_id", "level", "family", "score")
 
 
@@ -83,10 +80,16 @@ def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("conv_id", F.lit("-"), "turn").alias("node_id"), F.col("conv_id").cast("string").alias("video_id"), F.lit("lifetime").alias("level"), F.col("turn").cast("int").alias("ordinal"),
         F.col("turn").cast("double").alias("t_start"), F.col("turn").cast("double").alias("t_end"), F.array("role").alias("apps"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    index = _rounded(op.Index.build(nodes))
+    index = Rounded(nodes)
     return op.search(index, "the and", collapse=False, t_from=1.0, t_to=5.0, app="ASSIST").select("node_id", "score", "t_start")
 
 
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word query through an index of postings instead of a scan."""
+    scored = op.Index.build(document_nodes(table(spark, sf_dir, "documents"))).bm25(QUERY, "word")
+    return scored.select(F.col("node_id").cast("long").alias("doc_id"), F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
 def search_matched_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter(F.lower("text").contains("license") | F.lower("text").contains("idiot"))
     found = docs.select("doc_id", tx.matched_lines(F.col("text"), ["license", "Idiot"]).alias("m"))
@@ -160,6 +163,7 @@ def _bm25_sql(source: str, name: str, key: str = "doc_id", digits: int = 5) -> s
 
 SQL = {
     "search_bm25_words": f"with {_BM25_WORDS}, {_bm25_sql('wtf', 'w')} select doc_id, score from w order by score desc, doc_id limit 20",
+    "search_index": f"with {_BM25_WORDS}, {_bm25_sql('wtf', 'w')} select doc_id, score from w order by score desc, doc_id limit 20",
     "search_bm25_trigram": f"with {_BM25_TRI}, {_bm25_sql('ttf', 't')} select doc_id, score from t order by score desc, doc_id limit 20",
     "search_rrf_fused": f"""with {_BM25_WORDS}, {_bm25_sql('wtf', 'w')}, {_BM25_TRI}, {_bm25_sql('ttf', 't')},
 ranks as (
