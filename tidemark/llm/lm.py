@@ -37,9 +37,11 @@ from .common import by_bytes, prepare, split_of, table, texts_of, written
 VOCABULARY = 65_000
 MU = 30.0
 #: Tokens that a shard should have.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: Bytes of text packed together; a packet has at most 2**16 documents.
-PACKET = 32 << 20
+PACKET = 8 << 20
+#: Bytes of text hashed at once.
+SLICE = 1 << 20
 EDGE, OTHER, FIRST = 0, 1, 2  # ids: text boundary, class of other words, most frequent word
 
 
@@ -201,7 +203,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         body, train = texts_of(batch, 1), np.array(batch.column(0).to_pylist(), bool)
-        for part in by_bytes(body, 4 << 20):
+        for part in by_bytes(body, SLICE):
             hashes, _, _, counts = hashing.words([t.lower() for t in body[part]])
             tokens += len(hashes) + len(counts)
             texts += int(train[part].sum())
@@ -209,7 +211,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, n = np.unique(hashes[np.repeat(train[part], counts)], return_counts=True)
                 held.append((key, n))
                 size += len(key)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield out()
                 held, size = [], 0
     if held:
@@ -248,8 +250,9 @@ class Vocabulary:
 
 # -- packets and shards -------------------------------------------------------------------------------
 
-ROW = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-PACK = "shard int, kind int, uid long, data binary, " + ROW.replace("uid long, ", "")
+ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+PACK = "shard int, kind int, uid long, data binary"
+PART = "uid long, kind int, data binary"
 DOCS, TABLE, BIGRAMS, OTHERS = range(4)
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -258,7 +261,7 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(n, _KINDS[t]) for n, t in (x.split() for x in text.split(", "))])
 
 
-_PACK, _ROW = _schema(PACK), _schema(ROW)
+_PACK, _PART, _ROW = map(_schema, (PACK, PART, ROW))
 
 
 def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -281,7 +284,7 @@ def _packer(sent):
             uid = task | row
             row += docs
             id_parts, count_parts, hash_parts = [], [], []
-            for part in by_bytes(body, 4 << 20):
+            for part in by_bytes(body, SLICE):
                 hashes, _, _, counts = hashing.words([t.lower() for t in body[part]])
                 id_parts.append(v.of(hashes))
                 hash_parts.append(hashes)
@@ -291,8 +294,10 @@ def _packer(sent):
             plain = words != OTHER
             base = np.bincount(owner, np.where(plain, v.base[words], 0.0), docs) + v.base[EDGE]
             known = np.bincount(owner, plain, docs).astype(np.int64) + (v.counts[EDGE] > 0)
-            none = np.zeros(docs)
-            yield _rows(_PACK, shard=np.arange(docs, dtype=np.int32) % v.shards, kind=np.full(docs, DOCS, np.int32), uid=uid + np.arange(docs), doc_id=ids, held_out=held, n_tokens=counts + 1, n_known=known, base_score=base, score=none)
+            blank = np.array([i is None for i in ids])
+            numbers = np.array([i or 0 for i in ids], np.int64)
+            about = _packed(numbers, (counts + 1).astype(np.int64), known, base, blank, np.array(held, bool))
+            yield _rows(_PACK, shard=[uid % v.shards], kind=[DOCS], uid=[uid], data=[about])
             # words and an edge after each text: what precedes a text's first word is the edge before it
             after = np.full(len(words) + docs, EDGE, np.int64)
             at = np.arange(len(words)) + owner
@@ -358,14 +363,12 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _sums(uid: int, owner: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
-    """A row for each document that ``owner`` names."""
+def _sums(uid: int, owner: np.ndarray, score: np.ndarray, base: np.ndarray | None = None, known: np.ndarray | None = None) -> pa.RecordBatch:
+    """Sums of a packet's documents in one shard."""
     docs = int(owner.max()) + 1
     there = np.flatnonzero(np.bincount(owner, minlength=docs))
-    columns = {k: np.bincount(owner, x, docs)[there] for k, x in values.items()}
-    columns["n_known"] = columns["n_known"].astype(np.int64) if "n_known" in columns else np.zeros(len(there), np.int64)
-    blank = np.zeros(len(there))
-    return _rows(_ROW, uid=uid + there, **{"base_score": blank, "score": blank} | columns)
+    parts = [np.zeros(len(there)) if x is None else np.bincount(owner, x, docs)[there] for x in (score, base, known)]
+    return _rows(_PART, uid=[uid], kind=[OTHERS], data=[_packed(*parts, there.astype(np.uint16))])
 
 
 def _scorer(sent):
@@ -381,7 +384,7 @@ def _scorer(sent):
                 trie = Trie(folder)
                 for (uid, _, _, owner, _), key in zip(pairs, keys):
                     once, where = np.unique(key, return_inverse=True)
-                    yield _sums(uid, owner.astype(np.int64), score=trie.score(once // v.ids, once % v.ids, v.unigram, v.unseen)[where])
+                    yield _sums(uid, owner.astype(np.int64), trie.score(once // v.ids, once % v.ids, v.unigram, v.unseen)[where])
                 del trie
         others = [(uid, *_unpacked(d, "u8", "u2")) for uid, d in packets.get(OTHERS, [])]
         if others:
@@ -393,19 +396,16 @@ def _scorer(sent):
             for uid, hashes, owner in others:
                 at = np.searchsorted(key[:-1], hashes)
                 c = np.where(key[at] == hashes, count[at], 0)
-                yield _sums(uid, owner.astype(np.int64), n_known=(c > 0).astype(float), base_score=np.log10((c + 1) / (v.n + v.v + 1)), score=np.log10((c + 1) / (v.other_n + v.other_v + 1)))
+                yield _sums(uid, owner.astype(np.int64), np.log10((c + 1) / (v.other_n + v.other_v + 1)), np.log10((c + 1) / (v.n + v.v + 1)), (c > 0).astype(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = sent.value
         now, packets = None, {}
         for batch in batches:
-            kinds = np.array(batch.column(1).to_numpy(zero_copy_only=False))
-            docs = pa.array(np.flatnonzero(kinds == DOCS))
-            if len(docs):
-                kept = batch.take(docs)
-                yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(f.name)) for f in _ROW], schema=_ROW)
-            rest = batch.take(pa.array(np.flatnonzero(kinds != DOCS)))
-            for shard, kind, uid, data in zip(*(rest.column(k).to_pylist() for k in range(4))):
+            for shard, kind, uid, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == DOCS:
+                    yield _rows(_PART, uid=[uid], kind=[DOCS], data=[data])
+                    continue
                 if shard != now:
                     yield from solve(v, packets)
                     now, packets = shard, {}
@@ -415,6 +415,29 @@ def _scorer(sent):
     return score
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by packet, its documents first; yields a row per document."""
+
+    def close(about: list[np.ndarray], total: np.ndarray) -> pa.RecordBatch:
+        numbers, tokens, known, base, blank, held = about
+        ids = pa.array(numbers, pa.int64(), mask=blank)
+        return _rows(_ROW, doc_id=ids, held_out=held, n_tokens=tokens, n_known=known + np.rint(total[2]).astype(np.int64), base_score=base + total[1], score=total[0])
+
+    about, total = None, None
+    for batch in batches:
+        for _, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == DOCS:
+                if about:
+                    yield close(about, total)
+                about = _unpacked(data, "i8", "i8", "i8", "f8", "?", "?")
+                total = np.zeros((3, len(about[0])))
+            else:
+                *sums, owner = _unpacked(data, "f8", "f8", "f8", "u2")
+                total[:, owner] += np.array(sums)
+    if about:
+        yield close(about, total)
+
+
 def score(docs: DataFrame, learn) -> DataFrame:
     """Scores of all ``docs``, learning from those whose doc_id meets ``learn``."""
     spark = docs.sparkSession
@@ -431,12 +454,9 @@ def score(docs: DataFrame, learn) -> DataFrame:
     made = Vocabulary(top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), texts, n, v, shards)
     sent = spark.sparkContext.broadcast(made)  # VOCABULARY entries of a few numbers
     packets = rows.mapInArrow(_packer(sent), PACK).unionByName(words.mapInArrow(_tabled(shards), PACK))
-    parts = packets.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_scorer(sent), ROW)
-    return (
-        parts.groupBy("uid")
-        .agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    parts = packets.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_scorer(sent), PART)
+    found = parts.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(_gather, ROW)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
