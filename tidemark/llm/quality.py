@@ -12,6 +12,7 @@ repeated labels of an id the largest counts. Without both classes in the sample
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         ascii_size = len(t) - len(t.translate(None, bytes(range(128))))
         size = max(1, len(t))
         spare = t.split()
-        top = max(map(spare[:200].count, set(spare[:200])), default=0) / max(1, min(200, len(spare))) if len(spare) else 0.0
+        top = max(Counter(spare).values()) / len(spare) if spare else 0.0
         extra[k] = t.count(b"|"), size - len(t.translate(None, b"0123456789")) if t else 0, t.count(b"."), t.count(b","), ascii_size / size, top
     return np.column_stack(
         (
@@ -134,17 +135,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn) -> Trees:
     return fit(data[list(FEATURES)].to_numpy(float), data["label"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` with a score: probability that the label is 1."""
+def score(docs: DataFrame, model: Trees, name: str = "_score") -> DataFrame:
+    """``docs`` (which must not have a column ``name``) with a score: probability that the label is 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(features(texts_of(batch, 0))))], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(features(texts_of(batch, 0))))], [*batch.schema.names, name])
 
     kept = [c for c in docs.columns if c != "text"]
     typed = docs.select("text", *kept)
-    return typed.mapInArrow(scorer, typed.withColumn("_score", F.lit(0.0)).schema)
+    return typed.mapInArrow(scorer, typed.withColumn(name, F.lit(0.0)).schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
