@@ -11,7 +11,7 @@ rows are joined by (source, bucket), so a source that holds a third of all rows
 
 Null text has size 0 and is taken 0 times. A null source is a source, ordered last. A null id hashes as the
 empty text. Documents of equal keys are ordered by id, then size. Repeated rows are documents of their own.
-An empty table gives an empty result. Extra columns stay as they are unless their name begins with ``_mix_``.
+An empty table gives an empty result. Extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -96,8 +96,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document once per epoch it is taken whole in, and cut after
     the words that are left of its budget where it is on the boundary; documents not taken are left out."""
     names = docs.columns
-    rows = keyed(docs)
-    rows = mix(rows, budgets(keyed(docs.select("doc_id", "source", "text")).drop("text")))
+    narrow = docs.select("doc_id", "source", "text")
+    # the other columns travel as one struct, so that their names can't clash with ours
+    rows = mix(keyed(docs.select("doc_id", "source", "text", F.struct(*[c for c in names if c != "text"]).alias("_mix_row"))), budgets(keyed(narrow).drop("text")))
     size, taken = F.col("_mix_size"), F.col("taken")
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(F.lit(0)).cast("int")
     left = F.when(size > 0, taken - F.floor(taken / size) * size).otherwise(F.lit(0)).cast("int")
@@ -108,7 +109,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         # only the one document on each source's boundary gets here
         F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("_mix_left")), "")
     )
-    rows = rows.withColumn("text", cut)
+    rows = rows.select(cut.alias("text"), "_mix_row").select("text", "_mix_row.*")
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*names)
