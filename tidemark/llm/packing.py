@@ -27,7 +27,7 @@ from .common import prepare, table, texts_of, written
 CAPACITY = 2048
 SLACK = 0.03
 END = 1
-GROUP = 64
+GROUP = 16
 #: Words whose ids are kept per worker.
 MEMO = 500_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, sequence_id long, offset long"
