@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, packing, quality, suffix
-from tidemark.llm.common import split_of, table, written
+from tidemark.llm.common import free_name, split_of, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on the labels outside the held-out split."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda i: split_of(i, 3) != 1)
-    return quality.score(docs, model).filter(F.col("_score") >= 0.5).select(*docs.columns)
+    name = free_name(docs, "_quality")
+    return quality.score(docs, model, name).filter(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

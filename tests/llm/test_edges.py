@@ -9,14 +9,14 @@ import corpus_pipeline
 from tidemark.llm import lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
 from tidemark.llm.common import scratch
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, node string, `_score` int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, node string, `_score` int, target string, taken long, source_size int, root string, `_quality` string"
 LONG = " ".join(f"word{k % 977}" for k in range(60_000))
 PROSE = " ".join(f"alpha{k}" for k in range(120))
 ROWS = [(1, PROSE, "en", "a"), (2, PROSE, "en", "a"), (2, PROSE, "en", "a"), (3, None, None, None), (4, "", "en", "b"), (5, " \n\t ", "en", "b"), (None, PROSE + " tail", "en", None), (6, "Ünï çödé", "fr", "c"), (7, LONG, "en", "c"), (8, "one", "en", "c")]
 
 
 def docs(spark, rows=ROWS):
-    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "k", 0.5, "n", 7) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "k", 0.5, "n", 7, "t", 1, 2, "r", "q") for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_rules(both, kind):
 
 @pytest.mark.parametrize("kind", ["full", "empty"])
 def test_mixing(both, kind):
-    sized = mixing.keyed(both[kind])
+    sized = mixing.keyed(both[kind].select("doc_id", "text", "source"))
     rows = mixing.mix(sized, mixing.budgets(sized)).collect()
     assert len(rows) == both[kind].count() and all(0 <= r.taken <= 2 * r._mix_size for r in rows)
     for source in {r.source for r in rows}:

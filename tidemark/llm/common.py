@@ -61,6 +61,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by ``written`` that no later plan reads."""
     spark = df.sparkSession
@@ -80,7 +87,7 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def by_bytes(texts: list[bytes], most: int = 8 << 20) -> Iterator[slice]:
+def by_bytes(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
     """Slices of ``texts`` of about ``most`` bytes each, so that vectorised work stays in bounded memory."""
     begin = size = 0
     for k, x in enumerate(texts):
