@@ -53,8 +53,8 @@ def rates(scored: DataFrame, columns: list[str]) -> DataFrame:
 def cost_summary(calls: DataFrame, frames: int, project_to: int) -> DataFrame:
     """Dollars per stage and in total, paid where known and estimated else, per frame, and projected linearly to ``project_to`` frames (4 places)."""
     dollars = F.coalesce("paid", "estimated").cast("decimal(24,10)")
-    out = calls.rollup("stage").agg(F.sum(dollars).cast("double").alias("d"), F.count_if(F.col("paid").isNull()).alias("n_estimated"))
+    out = calls.rollup("stage").agg(F.sum(dollars).alias("d"), F.count_if(F.col("paid").isNull()).alias("n_estimated"))
     return out.select(
-        F.coalesce("stage", F.lit("all stages")).alias("stage"), F.round("d", 4).alias("dollars"), F.round(F.col("d") / frames, 4).alias("per_frame"),
-        F.round(F.col("d") / frames * project_to, 4).alias("projected"), "n_estimated",
+        F.coalesce("stage", F.lit("all stages")).alias("stage"), F.round("d", 4).cast("double").alias("dollars"), F.round(F.col("d") / frames, 4).cast("double").alias("per_frame"),
+        F.round(F.col("d") / frames * project_to, 4).cast("double").alias("projected"), "n_estimated",
     )

@@ -227,7 +227,7 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = F.broadcast(spark.createDataFrame(PRICES, "model string, price_in double, price_out double"))  # a price list
     use = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), (F.col("l_quantity") * 1000).alias("tokens_in"), (F.col("l_linenumber") * 100.0).alias("tokens_out"), (F.col("l_linestatus") == "O").alias("batch"), F.col("l_linestatus").alias("stage"))
     priced = ev.costs(use, prices, (2.0, 10.0))
-    out = priced.rollup("stage", "model").agg(F.round(F.sum("dollars").cast("double"), 4).alias("dollars"), F.count("*").alias("n_calls"))
+    out = priced.rollup("stage", "model").agg(F.round(F.sum("dollars"), 4).cast("double").alias("dollars"), F.count("*").alias("n_calls"))
     return out.withColumn("per_1000_calls", F.round(F.col("dollars") / F.col("n_calls") * 1000, 4))
 
 
@@ -388,7 +388,7 @@ select event_type, round(median(value), 4) as median_low, count(*) as n_low from
     "cost_rollup": """with p as (
   select l_linestatus as stage, l_returnflag as model, ((l_quantity * 1000 * coalesce(price_in, 2.0) + l_linenumber * 100.0 * coalesce(price_out, 10.0)) / 1e6 * case when l_linestatus = 'O' then 0.5 else 1.0 end)::decimal(24, 10) as dollars
   from lineitem left join (values ('A', 3.0::double, 15.0::double), ('N', 1.0::double, 5.0::double)) as prices(model, price_in, price_out) on l_returnflag = model
-), s as (select stage, model, round(sum(dollars)::double, 4) as dollars, count(*) as n_calls from p group by rollup (stage, model))
+), s as (select stage, model, round(sum(dollars), 4)::double as dollars, count(*) as n_calls from p group by rollup (stage, model))
 select *, round(dollars / n_calls * 1000, 4) as per_1000_calls from s""",
     "paired_noise_floor": """with cards as (
   select l_returnflag as config, quarter(l_shipdate) as repeat, l_linenumber as unit, avg(l_discount) as value from lineitem group by 1, 2, 3
