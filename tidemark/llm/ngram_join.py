@@ -35,6 +35,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 STEP, TOLERANCE = 16, 1e-5
 TILE = 1024
+#: Bytes of text hashed at once.
+SLICE = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +56,14 @@ LEAST = {n: least_equal(n) for n in range(STEP, BANDS * ROWS + 1, STEP)}
 
 
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, sorted."""
+    """Each text's distinct shingle hashes, sorted. Texts are hashed a few at a time, so a block's memory is that of its sets."""
+    out: list[np.ndarray] = []
+    for part in by_bytes(texts, SLICE):
+        out += _shingles(texts[part])
+    return out
+
+
+def _shingles(texts: list[bytes]) -> list[np.ndarray]:
     hashes, _, _, counts = hashing.words(texts)
     out, at = [], 0
     for n in counts.tolist():
@@ -117,7 +126,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: list[bytes] = []
     for batch in batches:
         new = _fresh(texts_of(batch, 0), seen)
-        for part in by_bytes([t for _, t in new], 2 << 20):
+        for part in by_bytes([t for _, t in new], SLICE):
             sets = shingles([t for _, t in new[part]])
             keys = [k for (k, _), s in zip(new[part], sets) if len(s)]
             if not keys:

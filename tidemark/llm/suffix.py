@@ -34,11 +34,11 @@ from .ngram_join import _fresh, _first_texts
 
 LEAST, GRAM = 400, 128
 #: Window starts hashed at once; longer texts are cut with an overlap, so memory doesn't grow with a text.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Different runs of one anchor that a block takes.
 HOT = 4000
 #: Bytes of runs that a block should have.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _U = np.uint64
 
 
