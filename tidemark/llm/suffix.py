@@ -98,7 +98,7 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
         shifted[: n - j] = data[j:]
         packed = (packed << _U(8)) | np.where(left > j, shifted, _U(0))
     packed = (packed << _U(8)) | np.minimum(left, 7).astype(np.uint64)
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     new = np.concatenate(([0], (packed[order[1:]] != packed[order[:-1]]).astype(np.int64)))
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(new)
@@ -108,13 +108,13 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
         # only suffixes that reach past ``step`` compare further; the others end at their own separator
         beyond = np.where(left > step, rank[np.minimum(at + step, n - 1)] + 1, 0)
         key = rank * (n + 1) + beyond
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate(([0], (key[order[1:]] != key[order[:-1]]).astype(np.int64)))
         rank[order] = np.cumsum(new)
         if rank[order[-1]] == n - 1:
-            break
+            return order
         step *= 2
-    return order  # equal rests, cut by their separators, stand in the order of these
+    return np.argsort(rank * n + at)  # equal rests, cut by their separators, stand in the order of these
 
 
 def boundaries(data: np.ndarray, left: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
