@@ -8,7 +8,7 @@ through calibrated weights (logistic regression) to a score; the threshold is wh
 Dictionaries are trained here from samples of labelled texts, each at most ``SAMPLE`` texts per class, those
 with the smallest hash of their id. Words over-represented in toxic texts make up the toxic dictionary, frequent
 other words the ordinary one, with the strongest last, where matches are cheapest. (The library's own trainer
-keeps long segments common to both classes, which hides single words: its held-out AUC was 0.65 to 0.78.)
+keeps long segments common to both classes, which hides single words: the best of a variant's features had an AUC of 0.47 to 0.78.)
 Gaps are memoised per worker, since a word's gap never changes.
 
 Null or empty text: no windows, scored by the bias alone. Null labels are ignored, of repeated labels of an id the
