@@ -188,6 +188,19 @@ def test_lm_scores(spark, sf, texts, vocabulary, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_knows_every_word(spark):
+    """More training words than any list of frequent ones: bigrams of the rarest count too."""
+    size = 70_000
+    words = [f"w{k}" for k in range(size)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (7, f"w{size - 2} w{size - 1}"), (8, f"w{size - 1} w{size - 2}")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), lambda i: i < 7).collect()}
+    n, ids = 2 * (size + 1), size + 2
+    p = 3 / (n + ids)
+    seen, unseen = math.log10((2 + lm.MU * p) / (2 + lm.MU)), math.log10(lm.MU * p / (2 + lm.MU))
+    for doc_id, pairs in ((7, [unseen, seen, seen]), (8, [unseen, unseen, unseen])):
+        assert abs(got[doc_id].score - sum(pairs)) < 0.01
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, universe in ((0, 10), (1, 1), (5, 5), (100, 1000), (3000, 1 << 40), (1000, 1001)):

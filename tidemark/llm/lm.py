@@ -1,20 +1,21 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model over the ``VOCABULARY`` most frequent training words, a class of all other words, and text
-boundaries: p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU). A word outside the vocabulary is scored as its class times its share of the class,
-(c + 1) / (class tokens + class types + 1), so probabilities of all texts still sum to one.
-
-Bigrams are dealt to shards by context; contexts too frequent for one shard are dealt by context and word, which is enough
-because c(v) is a unigram count and known everywhere. Each shard counts the training bigrams it got, builds a trie of them in
-memory-mapped levels, and scores all bigrams it got, training or not, so counts and queries travel in one shuffle of packed arrays. Nothing
-but the vocabulary (bounded by ``VOCABULARY``) is broadcast, and the number of shards grows with the corpus.
-
-Trie levels. Level 1 holds the contexts, level 2 their successors; both are Elias-Fano sequences, as are the pointers from a context to its
-successors. A successor is stored relative to its context's place, which keeps the sequence monotone over all contexts. A query finds its
-context, then searches the context's range: the high part of the key gives a short run by select, which is searched. Probabilities and
-back-off weights are quantised to 8 bits with a codebook per level.
-
-Words are identified by 64-bit hashes. Null text is the empty text: one token, the end. Without training texts N and V are 0, and every
+The model is a bigram model over all training words and text boundaries: p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU). Words are
+identified by their 64-bit hashes; a word that no training text has is one with count 0. Where ``VOCABULARY`` is set, only so many words
+have an identity, and the others are a class: such a word is scored as its class times its share of the class,
+(c + 1) / (class tokens + class types + 1).
+
+Bigrams are dealt to shards by their second word w. Its count comes to the same shard from the table of counts, so that a shard knows all
+it needs of w: p(w), its base score, and its weight as a context, 1 / (c(w) + MU). The weight belongs to the bigram that follows, but
+every token of a text is a context once, so the sum over the text is the same. Words too frequent for one shard are dealt by both words of the
+bigram; their counts are broadcast, and there are at most four to a shard. The number of shards grows with the corpus.
+
+Trie levels. The trie is one of reversed bigrams: level 1 holds the second words, level 2 the words before them; both are Elias-Fano
+sequences over the shard's own numbering of its words, as are the pointers from a word to the words before it. An entry of level 2 is stored
+relative to its word's place, which keeps the sequence monotone over all words. A query finds its word, then searches the word's range: the
+high part of the key gives a short run by select, which is searched. Values and weights are quantised to 8 bits with a codebook per level.
+
+Null text is the empty text: one token, the end. Without training texts N and V are 0, and every
 token has the base score log10(1 / 1). Repeated rows are scored each. An empty table gives an empty result. Only doc_id and text are read.
 """
 
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import by_bytes, prepare, split_of, table, texts_of, written
 
-VOCABULARY = 65_000
+#: None: every training word has an identity. A number: the most frequent words have, the others are a class.
+VOCABULARY: int | None = None
 MU = 30.0
 #: Tokens that a shard should have.
 SHARD = 2_000_000
@@ -42,7 +44,7 @@ SHARD = 2_000_000
 PACKET = 8 << 20
 #: Bytes of text hashed at once.
 SLICE = 1 << 20
-EDGE, OTHER, FIRST = 0, 1, 2  # ids: text boundary, class of other words, most frequent word
+EDGE, OTHER = np.uint64(0), np.uint64(1)  # in place of a hash: text boundary, class of other words
 
 
 # -- Elias-Fano --------------------------------------------------------------------------------------
@@ -142,21 +144,21 @@ class Trie:
     """Two levels in files of a folder, opened by memory map."""
 
     @staticmethod
-    def build(folder: str, context: np.ndarray, word: np.ndarray, probability: np.ndarray, backoff: np.ndarray, ids: int) -> None:
-        """Bigrams sorted by (context, word) with log10 probabilities; ``backoff``: log10 weight of every id as a context."""
-        contexts, first = np.unique(context, return_index=True)
-        place = np.searchsorted(contexts, context)
+    def build(folder: str, word: np.ndarray, before: np.ndarray, value: np.ndarray, weight: np.ndarray, ids: int) -> None:
+        """Bigrams sorted by (word, before), ids of the shard, with log10(c + MU * p(word)); ``weight``: log10 weight of every id of a word."""
+        heads, first = np.unique(word, return_index=True)
+        place = np.searchsorted(heads, word)
         parts: dict[str, tuple[np.ndarray, int]] = {
-            "contexts": (contexts, ids),
-            "pointers": (np.append(first, len(context)), len(context) + 1),
-            "successors": (place * ids + word, max(1, len(contexts)) * ids),
+            "words": (heads, ids),
+            "pointers": (np.append(first, len(word)), len(word) + 1),
+            "before": (place * ids + before, max(1, len(heads)) * ids),
         }
         for name, (values, universe) in parts.items():
             low, high, n, width = EliasFano.pack(values, universe)
             np.save(os.path.join(folder, f"{name}-low.npy"), low)
             np.save(os.path.join(folder, f"{name}-high.npy"), high)
             np.save(os.path.join(folder, f"{name}-shape.npy"), np.array([n, width, ids]))
-        for name, values in (("probability", probability), ("backoff", backoff[contexts])):
+        for name, values in (("value", value), ("weight", weight[heads])):
             codes, book = quantised(values)
             np.save(os.path.join(folder, f"{name}-codes.npy"), codes)
             np.save(os.path.join(folder, f"{name}-book.npy"), book)
@@ -170,21 +172,20 @@ class Trie:
             n, width, self.ids = map(int, np.load(os.path.join(folder, f"{name}-shape.npy")))
             return EliasFano(open_(f"{name}-low"), open_(f"{name}-high"), n, width)
 
-        self.contexts, self.pointers, self.successors = map(sequence, ("contexts", "pointers", "successors"))
-        self.probability, self.probability_book = open_("probability-codes"), np.load(os.path.join(folder, "probability-book.npy"))
-        self.backoff, self.backoff_book = open_("backoff-codes"), np.load(os.path.join(folder, "backoff-book.npy"))
+        self.words, self.pointers, self.before = map(sequence, ("words", "pointers", "before"))
+        self.value, self.value_book = open_("value-codes"), np.load(os.path.join(folder, "value-book.npy"))
+        self.weight, self.weight_book = open_("weight-codes"), np.load(os.path.join(folder, "weight-book.npy"))
 
-    def score(self, context: np.ndarray, word: np.ndarray, unigram: np.ndarray, unseen: np.ndarray) -> np.ndarray:
-        """log10 p(word | context). ``unigram``: log10 p of every id; ``unseen``: log10 back-off weight of every id, for contexts not in the trie."""
-        out = unigram[word] + unseen[context]
-        place = self.contexts.find(context)
+    def score(self, word: np.ndarray, before: np.ndarray, unseen: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """log10 (c + MU * p(word)) and the word's weight. ``unseen``, ``weight``: of every id of a word."""
+        out = unseen[word] + weight[word]
+        place = self.words.find(word)
         known = np.flatnonzero(place >= 0)
         if len(known):
             own = place[known]
-            found = self.successors.find(own * self.ids + word[known], self.pointers.at(own), self.pointers.at(own + 1))
-            weight = self.backoff_book[self.backoff[own]]
-            direct = self.probability_book[self.probability[np.maximum(found, 0)]]
-            out[known] = np.where(found >= 0, direct, unigram[word[known]] + weight)
+            at = self.before.find(own * self.ids + before[known], self.pointers.at(own), self.pointers.at(own + 1))
+            direct = self.value_book[self.value[np.maximum(at, 0)]] if len(self.value) else 0.0
+            out[known] = np.where(at >= 0, direct, unseen[word[known]]) + self.weight_book[self.weight[own]]
         return out
 
 
@@ -192,14 +193,14 @@ class Trie:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, hash, n): kind 0 training words, 1 training texts, 2 all tokens."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """(kind, hash, n, held): kind 0 words, in training and in held-out texts, 1 training texts, 2 all tokens."""
+    done: list[tuple[np.ndarray, np.ndarray, bool]] = []
     size = texts = tokens = 0
 
     def out() -> pa.RecordBatch:
-        key, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([n for _, n in held]).astype(float), len(key)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "hash", "n"])
+        key, where = np.unique(np.concatenate([k for k, _, _ in done]), return_inverse=True)
+        n, held = (np.bincount(where, np.concatenate([n * (out_ == side) for _, n, out_ in done]).astype(float), len(key)).astype(np.int64) for side in (False, True))
+        return _rows(_COUNT, kind=np.zeros(len(key), np.int32), hash=key.view(np.int64), n=n, held=held)
 
     for batch in batches:
         body, train = texts_of(batch, 1), np.array(batch.column(0).to_pylist(), bool)
@@ -207,45 +208,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, _, _, counts = hashing.words([t.lower() for t in body[part]])
             tokens += len(hashes) + len(counts)
             texts += int(train[part].sum())
-            if train[part].any():
-                key, n = np.unique(hashes[np.repeat(train[part], counts)], return_counts=True)
-                held.append((key, n))
-                size += len(key)
+            for side in (False, True):
+                own = train[part] != side
+                if own.any():
+                    key, n = np.unique(hashes[np.repeat(own, counts)], return_counts=True)
+                    done.append((key, n, side))
+                    size += len(key)
             if size > 1_000_000:
                 yield out()
-                held, size = [], 0
-    if held:
+                done, size = [], 0
+    if done:
         yield out()
-    yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([texts, tokens], pa.int64())], ["kind", "hash", "n"])
+    yield _rows(_COUNT, kind=[1, 2], hash=[0, 0], n=[texts, tokens], held=[0, 0])
 
 
-class Vocabulary:
-    """Ids of the most frequent words, and log10 tables over ids."""
+class Words:
+    """Sizes of the model, the words too frequent for one shard with their training counts, and the words with an identity where they are limited."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, texts: int, n: int, v: int, shards: int):
-        order = np.argsort(hashes)
-        self.hashes, self.place = hashes[order], order.astype(np.int64) + FIRST
-        other = max(0, n - texts - int(counts.sum()))
-        self.counts = np.concatenate(([texts, other], counts)).astype(float)
+    def __init__(self, texts: int, n: int, v: int, shards: int, hot: np.ndarray, hot_n: np.ndarray, top: np.ndarray | None = None, top_n: int = 0):
         self.n, self.v, self.shards = n, v, shards
-        self.other_n, self.other_v = other, max(0, v - len(counts) - (texts > 0))
-        self.ids = len(self.counts)
-        self.unigram = np.log10((self.counts + 1) / (self.counts.sum() + self.ids))
-        self.unseen = np.log10(MU / (self.counts + MU))
-        self.base = np.log10((self.counts + 1) / (n + v + 1))
-        spread = hashing.final(np.arange(self.ids, dtype=np.uint64) + np.uint64(1))
-        self.shard = (spread % np.uint64(shards)).astype(np.int64)
-        self.frequent = self.counts > max(1.0, self.counts.sum() / shards / 4)
+        self.top = None if top is None else np.sort(top)
+        kept = v - (texts > 0) if top is None else len(top)
+        self.other_n, self.other_v = (0, 0) if top is None else (max(0, n - texts - top_n), max(0, v - kept - (texts > 0)))
+        self.ids = kept + 2
+        hot = np.concatenate((np.array([EDGE, OTHER]), hot))
+        order = np.argsort(hot)
+        self.hot, self.hot_n = hot[order], np.concatenate(([texts, self.other_n], hot_n)).astype(np.int64)[order]
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), OTHER, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.place[at], OTHER)
+        return hashes if self.top is None else np.where(found(self.top, hashes) >= 0, hashes, OTHER)
+
+    def shards_of(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        pair = hashing.final(hashing.final(word + np.uint64(1)) ^ before)
+        return (np.where(found(self.hot, word) >= 0, pair, word) % np.uint64(self.shards)).astype(np.int64)
+
+    def numbers(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words with these counts: log10 MU * p, log10 weight as a context, base score."""
+        return np.log10(MU * (count + 1) / (self.n + self.ids)), -np.log10(count + MU), np.log10((count + 1) / (self.n + self.v + 1))
 
-    def shards_of(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        pair = hashing.final(context.astype(np.uint64) << np.uint64(20) | word.astype(np.uint64))
-        return np.where(self.frequent[context], (pair % np.uint64(self.shards)).astype(np.int64), self.shard[context])
+
+def found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places of ``asked`` in sorted ``keys``, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(asked), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, at, -1)
 
 
 # -- packets and shards -------------------------------------------------------------------------------
@@ -253,6 +260,7 @@ class Vocabulary:
 ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 PACK = "shard int, kind int, uid long, data binary"
 PART = "uid long, kind int, data binary"
+COUNT = "kind int, hash long, n long, held long"
 DOCS, TABLE, BIGRAMS, OTHERS = range(4)
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -261,7 +269,7 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(n, _KINDS[t]) for n, t in (x.split() for x in text.split(", "))])
 
 
-_PACK, _PART, _ROW = map(_schema, (PACK, PART, ROW))
+_PACK, _PART, _ROW, _COUNT = map(_schema, (PACK, PART, ROW, COUNT))
 
 
 def _rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -275,7 +283,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
 
 def _packer(sent):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
+        v: Words = sent.value
         task, row = TaskContext.get().partitionId() << 40, 0
 
         def packet(ids: list, body: list[bytes], held: list[bool]) -> Iterator[pa.RecordBatch]:
@@ -283,42 +291,50 @@ def _packer(sent):
             docs = len(body)
             uid = task | row
             row += docs
-            id_parts, count_parts, hash_parts = [], [], []
+            hash_parts, count_parts = [], []
             for part in by_bytes(body, SLICE):
                 hashes, _, _, counts = hashing.words([t.lower() for t in body[part]])
-                id_parts.append(v.of(hashes))
                 hash_parts.append(hashes)
                 count_parts.append(counts)
-            words, hashes, counts = map(np.concatenate, (id_parts, hash_parts, count_parts))
+            hashes, counts = map(np.concatenate, (hash_parts, count_parts))
             owner = np.repeat(np.arange(docs), counts)
-            plain = words != OTHER
-            base = np.bincount(owner, np.where(plain, v.base[words], 0.0), docs) + v.base[EDGE]
-            known = np.bincount(owner, plain, docs).astype(np.int64) + (v.counts[EDGE] > 0)
             blank = np.array([i is None for i in ids])
             numbers = np.array([i or 0 for i in ids], np.int64)
-            about = _packed(numbers, (counts + 1).astype(np.int64), known, base, blank, np.array(held, bool))
+            about = _packed(numbers, (counts + 1).astype(np.int64), blank, np.array(held, bool))
             yield _rows(_PACK, shard=[uid % v.shards], kind=[DOCS], uid=[uid], data=[about])
             # words and an edge after each text: what precedes a text's first word is the edge before it
-            after = np.full(len(words) + docs, EDGE, np.int64)
-            at = np.arange(len(words)) + owner
-            after[at] = words
+            after = np.full(len(hashes) + docs, EDGE, np.uint64)
+            after[np.arange(len(hashes)) + owner] = v.of(hashes)
             owners = np.repeat(np.arange(docs), counts + 1)
-            before = np.concatenate(([EDGE], after[:-1]))
-            shard = v.shards_of(before, after)
-            order = np.argsort(shard.astype(np.uint16), kind="stable") if v.shards < 1 << 16 else np.argsort(shard, kind="stable")
+            names, after = np.unique(after, return_inverse=True)
+            before = np.concatenate((np.searchsorted(names, [EDGE]), after[:-1]))
+            key = after * len(names) + before
+            order = np.argsort(key, kind="stable")
+            key, owners = key[order], owners[order]
+            # a pair of a document once, with the times that it occurs
+            new = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(owners, prepend=-1) != 0))
+            times = np.diff(new, append=len(key))
+            key, owners = key[new], owners[new]
+            word, before = key // len(names), key % len(names)
+            shard = v.shards_of(names[before], names[word])
+            order = np.argsort(shard.astype(np.uint16) if v.shards < 1 << 16 else shard, kind="stable")
             train = ~np.array(held, bool)
-            edges = np.searchsorted(shard[order], np.arange(v.shards + 1))
-            out = []
-            for s in np.flatnonzero(np.diff(edges)).tolist():
-                own = order[edges[s] : edges[s + 1]]
-                out.append((s, BIGRAMS, _packed(before[own].astype(np.uint32), after[own].astype(np.uint32), owners[own].astype(np.uint16), train[owners[own]])))
-            rest = np.flatnonzero(~plain)
-            shard = (hashes[rest] % np.uint64(v.shards)).astype(np.int64)
-            order = rest[np.argsort(shard, kind="stable")]
             edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=v.shards))))
+            out = []
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[s] : edges[s + 1]]
-                out.append((s, OTHERS, _packed(hashes[own], owner[own].astype(np.uint16))))
+                heads, run = np.unique(word[own], return_counts=True)
+                priors, place = np.unique(before[own], return_inverse=True)
+                sizes = np.array([len(own), len(heads), len(priors)], np.uint32)
+                out.append((s, BIGRAMS, _packed(sizes, names[heads], names[priors], run.astype(np.uint32), times[own].astype(np.uint32), place.astype(np.uint16), (place >> 16).astype(np.uint16), owners[own].astype(np.uint16), train[owners[own]])))
+            if v.top is not None:
+                rest = np.flatnonzero(found(v.top, hashes) < 0)
+                shard = (hashes[rest] % np.uint64(v.shards)).astype(np.int64)
+                order = rest[np.argsort(shard, kind="stable")]
+                edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=v.shards))))
+                for s in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[s] : edges[s + 1]]
+                    out.append((s, OTHERS, _packed(hashes[own], owner[own].astype(np.uint16))))
             for k in range(0, len(out), 16):
                 shards, kinds, data = zip(*out[k : k + 16])
                 yield _rows(_PACK, shard=shards, kind=kinds, uid=[uid] * len(data), data=data)
@@ -363,43 +379,70 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _sums(uid: int, owner: np.ndarray, score: np.ndarray, base: np.ndarray | None = None, known: np.ndarray | None = None) -> pa.RecordBatch:
+def _sums(uid: int, owner: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
     """Sums of a packet's documents in one shard."""
     docs = int(owner.max()) + 1
     there = np.flatnonzero(np.bincount(owner, minlength=docs))
-    parts = [np.zeros(len(there)) if x is None else np.bincount(owner, x, docs)[there] for x in (score, base, known)]
+    parts = [np.bincount(owner, x, docs)[there] for x in (score, base, known)]
     return _rows(_PART, uid=[uid], kind=[OTHERS], data=[_packed(*parts, there.astype(np.uint16))])
 
 
+def _pairs(data: bytes) -> list[np.ndarray]:
+    """Of a packet's pairs in one shard, sorted by (word, before): words, their rows, words before, times, places among these, documents, training."""
+    raw = zstandard.decompress(data)
+    rows, heads, priors = np.frombuffer(raw, "u4", 3).tolist()
+    out, at = [], 12
+    for kind, n in (("u8", heads), ("u8", priors), ("u4", heads), ("u4", rows), ("u2", rows), ("u2", rows), ("u2", rows), ("?", rows)):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    words, before, run, times, low, high, owner, train = out
+    return [words, run, before, times, low.astype(np.int64) | high.astype(np.int64) << 16, owner.astype(np.int64), train]
+
+
 def _scorer(sent):
-    def solve(v: Vocabulary, packets: dict[int, list[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
-        pairs = [(uid, *_unpacked(d, "u4", "u4", "u2", "?")) for uid, d in packets.get(BIGRAMS, [])]
+    def solve(v: Words, packets: dict[int, list[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpacked(d, "i8", "i8") for _, d in packets.get(TABLE, [])]
+        key = np.concatenate([p[0].view(np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
+        order = np.argsort(key)
+        key, count = key[order], np.concatenate([p[1] for p in parts])[order] if parts else np.zeros(0, np.int64)
+
+        def counts_of(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            at = found(keys, hashes)
+            return np.where(at >= 0, counts[at] if len(counts) else 0, 0)
+
+        pairs = [(uid, *_pairs(d)) for uid, d in packets.get(BIGRAMS, [])]
         if pairs:
-            keys = [before.astype(np.int64) * v.ids + after for _, before, after, _, _ in pairs]
-            seen, times = np.unique(np.concatenate([k[p[4]] for k, p in zip(keys, pairs)]), return_counts=True)
-            context, word = seen // v.ids, seen % v.ids
-            probability = np.log10((times + MU * 10 ** v.unigram[word]) / (v.counts[context] + MU))
+            words = np.unique(np.concatenate([p[1] for p in pairs]))
+            priors = np.unique(np.concatenate([p[3] for p in pairs]))
+            ids = max(len(words), len(priors))
+            keys = [np.repeat(np.searchsorted(words, w), run) * ids + np.searchsorted(priors, b)[place] for _, w, run, b, _, place, _, _ in pairs]
+            own = np.maximum(counts_of(words, key, count), counts_of(words, v.hot, v.hot_n))
+            unseen, weight, base = v.numbers(own)
+            plain = words != OTHER  # of the class, shares are scored
+            base, known = np.where(plain, base, 0.0), (plain & (own > 0)).astype(float)
+            seen = np.concatenate([k[p[7]] for k, p in zip(keys, pairs)])
+            order = np.argsort(seen, kind="stable")
+            seen, times = seen[order], np.concatenate([p[4][p[7]] for p in pairs])[order].astype(np.int64)
+            first = np.flatnonzero(np.diff(seen, prepend=-1))
+            seen, times = seen[first], np.add.reduceat(times, first) if len(first) else times
+            word, before = seen // ids, seen % ids
             with tempfile.TemporaryDirectory() as folder:
-                Trie.build(folder, context, word, probability, v.unseen, v.ids)
+                Trie.build(folder, word, before, np.log10(times + 10 ** unseen[word]), weight, ids)
                 trie = Trie(folder)
-                for (uid, _, _, owner, _), key in zip(pairs, keys):
-                    once, where = np.unique(key, return_inverse=True)
-                    yield _sums(uid, owner.astype(np.int64), trie.score(once // v.ids, once % v.ids, v.unigram, v.unseen)[where])
+                for (uid, _, _, _, times, _, owner, _), asked in zip(pairs, keys):
+                    first = np.diff(asked, prepend=-1) != 0
+                    word = asked[first] // ids
+                    where = np.cumsum(first) - 1
+                    own = word[where]
+                    yield _sums(uid, owner, trie.score(word, asked[first] % ids, unseen, weight)[where] * times, base[own] * times, known[own] * times)
                 del trie
-        others = [(uid, *_unpacked(d, "u8", "u2")) for uid, d in packets.get(OTHERS, [])]
-        if others:
-            parts = [_unpacked(d, "i8", "i8") for _, d in packets.get(TABLE, [])]
-            key = np.concatenate([p[0].view(np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
-            count = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            order = np.argsort(key)
-            key, count = np.append(key[order], np.uint64(2**64 - 1)), np.append(count[order], 0)
-            for uid, hashes, owner in others:
-                at = np.searchsorted(key[:-1], hashes)
-                c = np.where(key[at] == hashes, count[at], 0)
-                yield _sums(uid, owner.astype(np.int64), np.log10((c + 1) / (v.other_n + v.other_v + 1)), np.log10((c + 1) / (v.n + v.v + 1)), (c > 0).astype(float))
+        for uid, d in packets.get(OTHERS, []):
+            hashes, owner = _unpacked(d, "u8", "u2")
+            c = counts_of(hashes, key, count)
+            yield _sums(uid, owner.astype(np.int64), np.log10((c + 1) / (v.other_n + v.other_v + 1)), v.numbers(c)[2], (c > 0).astype(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
+        v: Words = sent.value
         now, packets = None, {}
         for batch in batches:
             for shard, kind, uid, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -419,9 +462,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by packet, its documents first; yields a row per document."""
 
     def close(about: list[np.ndarray], total: np.ndarray) -> pa.RecordBatch:
-        numbers, tokens, known, base, blank, held = about
+        numbers, tokens, blank, held = about
         ids = pa.array(numbers, pa.int64(), mask=blank)
-        return _rows(_ROW, doc_id=ids, held_out=held, n_tokens=tokens, n_known=known + np.rint(total[2]).astype(np.int64), base_score=base + total[1], score=total[0])
+        return _rows(_ROW, doc_id=ids, held_out=held, n_tokens=tokens, n_known=np.rint(total[2]).astype(np.int64), base_score=total[1], score=total[0])
 
     about, total = None, None
     for batch in batches:
@@ -429,7 +472,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == DOCS:
                 if about:
                     yield close(about, total)
-                about = _unpacked(data, "i8", "i8", "i8", "f8", "?", "?")
+                about = _unpacked(data, "i8", "i8", "?", "?")
                 total = np.zeros((3, len(about[0])))
             else:
                 *sums, owner = _unpacked(data, "f8", "f8", "f8", "u2")
@@ -438,21 +481,26 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(about, total)
 
 
+def _hashes(frame) -> np.ndarray:
+    return frame["hash"].to_numpy(np.int64).view(np.uint64)
+
+
 def score(docs: DataFrame, learn) -> DataFrame:
     """Scores of all ``docs``, learning from those whose doc_id meets ``learn``."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learn(F.col("doc_id"))).alias("held_out"), "text")
-    counted = rows.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count, "kind int, hash long, n long")
-    counts = written(counted.groupBy("kind", "hash").agg(F.sum("n").alias("n")), "counts")
-    totals = {r.kind: (r.n, r.rows) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    counted = rows.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count, COUNT)
+    counts = written(counted.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "counts")
+    totals = {r.kind: (r.n, r.rows) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("rows")).collect()}
     texts, tokens = (totals.get(k, (0, 0))[0] for k in (1, 2))
     n, v = totals.get(0, (0, 0))[0] + texts, totals.get(0, (0, 0))[1] + (texts > 0)
-    words = counts.filter("kind = 0").select("hash", "n")
-    top = words.orderBy(F.desc("n"), "hash").limit(VOCABULARY).toPandas()  # a list of fixed length
+    words = counts.filter("kind = 0 and n > 0").select("hash", "n")
     shards = max(8, tokens // SHARD)
-    made = Vocabulary(top["hash"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), texts, n, v, shards)
-    sent = spark.sparkContext.broadcast(made)  # VOCABULARY entries of a few numbers
+    hot = counts.filter("kind = 0").filter(F.col("n") + F.col("held") > max(1.0, tokens / shards / 4)).select("hash", "n").toPandas()  # at most four to a shard
+    top = words.orderBy(F.desc("n"), "hash").limit(VOCABULARY).toPandas() if VOCABULARY is not None else None  # a list of fixed length
+    limits = () if top is None else (_hashes(top), int(top["n"].sum()))
+    sent = spark.sparkContext.broadcast(Words(texts, n, v, shards, _hashes(hot), hot["n"].to_numpy(np.int64), *limits))
     packets = rows.mapInArrow(_packer(sent), PACK).unionByName(words.mapInArrow(_tabled(shards), PACK))
     parts = packets.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_scorer(sent), PART)
     found = parts.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(_gather, ROW)
