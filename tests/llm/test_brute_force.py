@@ -201,6 +201,38 @@ def test_lm_knows_every_word(spark):
         assert abs(got[doc_id].score - sum(pairs)) < 0.01
 
 
+def test_lm_deals_no_pair_too_frequent_for_a_shard(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, " ".join("hot phrase" if rng.random() < 0.5 else f"w{rng.randrange(3000)}" for _ in range(60))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = docs.selectExpr("doc_id", "doc_id % 7 = 2 as held_out", "text")
+    made, _ = lm._learned(asked)
+    monkeypatch.setattr(lm, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Id", (), {"partitionId": lambda self: 0})())}))
+    dealt = collections.Counter()
+    for out in lm._packer(type("Sent", (), {"value": made}))(iter(asked.toArrow().to_batches())):
+        for r in out.to_pylist():
+            if r["kind"] == lm.BIGRAMS:
+                words, run, before, times, place, _, _ = lm._pairs(r["data"])
+                for w, b, t in zip(np.repeat(words, run).tolist(), before[place].tolist(), times.tolist()):
+                    dealt[w, b] += t
+    monkeypatch.undo()  # functions sent to workers take their globals with them
+    tokens = sum(len(t.split()) + 1 for _, t in rows)
+    assert max(dealt.values()) <= tokens / made.shards / 4 < sum(t.count("hot phrase") for _, t in rows)
+    sides = {k: ["", *t.split(), ""] for k, t in rows}
+    uni, pairs = collections.Counter(), collections.Counter()
+    for k, s in sides.items():
+        if k % 7 != 2:
+            uni.update(s[1:])
+            pairs.update(zip(s, s[1:]))
+    n, ids = sum(uni.values()), len(uni) + 1
+    for r in lm.score(docs, lambda i: i % 7 != 2).collect():
+        s = sides[r.doc_id]
+        score = sum(math.log10((pairs[x, y] + lm.MU * (uni[y] + 1) / (n + ids)) / (uni[x] + lm.MU)) for x, y in zip(s, s[1:]))
+        base = sum(math.log10((uni[y] + 1) / (n + len(uni) + 1)) for y in s[1:])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s) - 1, sum(uni[y] > 0 for y in s[1:]), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - score) < 0.05 * len(s)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, universe in ((0, 10), (1, 1), (5, 5), (100, 1000), (3000, 1 << 40), (1000, 1001)):

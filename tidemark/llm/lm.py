@@ -8,7 +8,9 @@ have an identity, and the others are a class: such a word is scored as its class
 Bigrams are dealt to shards by their second word w. Its count comes to the same shard from the table of counts, so that a shard knows all
 it needs of w: p(w), its base score, and its weight as a context, 1 / (c(w) + MU). The weight belongs to the bigram that follows, but
 every token of a text is a context once, so the sum over the text is the same. Words too frequent for one shard are dealt by both words of the
-bigram; their counts are broadcast, and there are at most four to a shard. The number of shards grows with the corpus.
+bigram; their counts are broadcast, and there are at most four to a shard. Bigrams too frequent for one shard consist of such words; they are
+counted by partial sums, broadcast with their counts (again at most four to a shard), and scored where the text is read. A bigram of a document moves
+once per packet, with the times that it occurs. The number of shards grows with the corpus.
 
 Trie levels. The trie is one of reversed bigrams: level 1 holds the second words, level 2 the words before them; both are Elias-Fano
 sequences over the shard's own numbering of its words, as are the pointers from a word to the words before it. An entry of level 2 is stored
@@ -64,13 +66,15 @@ class EliasFano:
         n = len(values)
         width = max(0, (max(1, universe) // max(1, n)).bit_length() - 1)
         values = values.astype(np.uint64)
-        bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel() if width else np.zeros(0, np.uint8)
-        low = np.packbits(bits, bitorder="little")
+        low = [np.zeros(0, np.uint8)]
+        for k in range(0, n if width else 0, 1 << 15):  # whole bytes at a time, so that bits of few values are spread out at once
+            bits = (values[k : k + (1 << 15), None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+            low.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         length = (universe >> width) + n + 1
         unary = np.zeros(-(-length // 64) * 64, np.uint8)
         unary[places] = 1
-        return np.concatenate((low, np.zeros(8, np.uint8))), np.packbits(unary, bitorder="little").view(np.uint64), n, width
+        return np.concatenate((*low, np.zeros(8, np.uint8))), np.packbits(unary, bitorder="little").view(np.uint64), n, width
 
     def _select(self, i: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the i-th (from 0) one, or zero with ``flip``."""
@@ -226,6 +230,7 @@ class Words:
     """Sizes of the model, the words too frequent for one shard with their training counts, and the words with an identity where they are limited."""
 
     def __init__(self, texts: int, n: int, v: int, shards: int, hot: np.ndarray, hot_n: np.ndarray, top: np.ndarray | None = None, top_n: int = 0):
+        self.pairs, self.pairs_n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # frequent bigrams by places in ``hot``, and their training counts
         self.n, self.v, self.shards = n, v, shards
         self.top = None if top is None else np.sort(top)
         kept = v - (texts > 0) if top is None else len(top)
@@ -247,6 +252,52 @@ class Words:
         return np.log10(MU * (count + 1) / (self.n + self.ids)), -np.log10(count + MU), np.log10((count + 1) / (self.n + self.v + 1))
 
 
+def edged(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Words of texts with an edge after each text."""
+    out = np.full(len(words) + len(counts), EDGE, np.uint64)
+    out[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words
+    return out
+
+
+def _count_pairs(sent):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(kind, hash, n, held) of bigrams of frequent words; ``hash`` has their places."""
+        v: Words = sent.value
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            key, where = np.unique(np.concatenate([x[0] for x in done]), return_inverse=True)
+            n, held = (np.bincount(where, np.concatenate([x[k] for x in done]).astype(float), len(key)).astype(np.int64) for k in (1, 2))
+            return key, n, held
+
+        def out() -> pa.RecordBatch:
+            key, n, held = merged()
+            return _rows(_COUNT, kind=np.zeros(len(key), np.int32), hash=key, n=n, held=held)
+
+        for batch in batches:
+            body, train = texts_of(batch, 1), np.array(batch.column(0).to_pylist(), bool)
+            for part in by_bytes(body, SLICE):
+                hashes, _, _, counts = hashing.words([t.lower() for t in body[part]])
+                after = found(v.hot, edged(v.of(hashes), counts))
+                before = np.concatenate((found(v.hot, np.array([EDGE])), after[:-1]))
+                both = np.flatnonzero((after >= 0) & (before >= 0))
+                key, where = np.unique(before[both] * len(v.hot) + after[both], return_inverse=True)
+                n = np.bincount(where, np.repeat(train[part], counts + 1)[both], len(key)).astype(np.int64)
+                done.append((key, n, np.bincount(where, minlength=len(key)) - n))
+                size += len(key)
+                if size > 1_000_000:
+                    done = [merged()]
+                    size = len(done[0][0])
+                    if size > 500_000:
+                        yield out()
+                        done, size = [], 0
+        if done:
+            yield out()
+
+    return count
+
+
 def found(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Places of ``asked`` in sorted ``keys``, -1 where there is none."""
     if not len(keys):
@@ -298,27 +349,45 @@ def _packer(sent):
                 count_parts.append(counts)
             hashes, counts = map(np.concatenate, (hash_parts, count_parts))
             owner = np.repeat(np.arange(docs), counts)
+            train = ~np.array(held, bool)
             blank = np.array([i is None for i in ids])
             numbers = np.array([i or 0 for i in ids], np.int64)
-            about = _packed(numbers, (counts + 1).astype(np.int64), blank, np.array(held, bool))
-            yield _rows(_PACK, shard=[uid % v.shards], kind=[DOCS], uid=[uid], data=[about])
             # words and an edge after each text: what precedes a text's first word is the edge before it
-            after = np.full(len(hashes) + docs, EDGE, np.uint64)
-            after[np.arange(len(hashes)) + owner] = v.of(hashes)
-            owners = np.repeat(np.arange(docs), counts + 1)
+            after = edged(v.of(hashes), counts)
+            if v.top is None:
+                del hashes, owner
+            owners = np.repeat(np.arange(docs, dtype=np.uint16), counts + 1)
             names, after = np.unique(after, return_inverse=True)
-            before = np.concatenate((np.searchsorted(names, [EDGE]), after[:-1]))
-            key = after * len(names) + before
+            key = after * len(names)
+            key[1:] += after[:-1]
+            key[0] += np.searchsorted(names, EDGE)
+            del after
             order = np.argsort(key, kind="stable")
             key, owners = key[order], owners[order]
+            del order
             # a pair of a document once, with the times that it occurs
-            new = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(owners, prepend=-1) != 0))
-            times = np.diff(new, append=len(key))
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owners[1:] != owners[:-1])))
+            times = np.diff(new, append=len(key)).astype(np.uint32)
             key, owners = key[new], owners[new]
-            word, before = key // len(names), key % len(names)
+            word = (key // len(names)).astype(np.int32)
+            before = (key % len(names)).astype(np.int32)
+            del key, new
+            # frequent pairs are scored here
+            place = found(v.hot, names)
+            at = found(v.pairs, np.where((place[before] >= 0) & (place[word] >= 0), place[before] * len(v.hot) + place[word], -1))
+            here = np.flatnonzero(at >= 0)
+            count = v.hot_n[place[word[here]]]
+            unseen, weight, base = v.numbers(count)
+            plain = names[word[here]] != OTHER
+            sums = [np.log10(v.pairs_n[at[here]] + 10**unseen) + weight, np.where(plain, base, 0.0), plain & (count > 0)]
+            sums = [np.bincount(owners[here], x * times[here], docs) for x in sums]
+            about = _packed(numbers, (counts + 1).astype(np.int64), *sums, blank, ~train)
+            yield _rows(_PACK, shard=[uid % v.shards], kind=[DOCS], uid=[uid], data=[about])
+            rest = np.flatnonzero(at < 0)
+            word, before, owners, times = (x[rest] for x in (word, before, owners, times))
+            del at, rest
             shard = v.shards_of(names[before], names[word])
             order = np.argsort(shard.astype(np.uint16) if v.shards < 1 << 16 else shard, kind="stable")
-            train = ~np.array(held, bool)
             edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=v.shards))))
             out = []
             for s in np.flatnonzero(np.diff(edges)).tolist():
@@ -396,7 +465,7 @@ def _pairs(data: bytes) -> list[np.ndarray]:
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
     words, before, run, times, low, high, owner, train = out
-    return [words, run, before, times, low.astype(np.int64) | high.astype(np.int64) << 16, owner.astype(np.int64), train]
+    return [words, run, before, times, low.astype(np.int32) | high.astype(np.int32) << 16, owner, train]
 
 
 def _scorer(sent):
@@ -410,7 +479,7 @@ def _scorer(sent):
             at = found(keys, hashes)
             return np.where(at >= 0, counts[at] if len(counts) else 0, 0)
 
-        pairs = [(uid, *_pairs(d)) for uid, d in packets.get(BIGRAMS, [])]
+        pairs = [(uid, *_pairs(d)) for uid, d in packets.pop(BIGRAMS, [])]
         if pairs:
             words = np.unique(np.concatenate([p[1] for p in pairs]))
             priors = np.unique(np.concatenate([p[3] for p in pairs]))
@@ -420,21 +489,24 @@ def _scorer(sent):
             unseen, weight, base = v.numbers(own)
             plain = words != OTHER  # of the class, shares are scored
             base, known = np.where(plain, base, 0.0), (plain & (own > 0)).astype(float)
-            seen = np.concatenate([k[p[7]] for k, p in zip(keys, pairs)])
+            pairs = [(uid, times, owner, train) for uid, _, _, _, times, _, owner, train in pairs]
+            seen = np.concatenate([k[p[3]] for k, p in zip(keys, pairs)])
             order = np.argsort(seen, kind="stable")
-            seen, times = seen[order], np.concatenate([p[4][p[7]] for p in pairs])[order].astype(np.int64)
+            seen, times = seen[order], np.concatenate([p[1][p[3]] for p in pairs])[order].astype(np.int64)
+            del order
             first = np.flatnonzero(np.diff(seen, prepend=-1))
             seen, times = seen[first], np.add.reduceat(times, first) if len(first) else times
             word, before = seen // ids, seen % ids
             with tempfile.TemporaryDirectory() as folder:
                 Trie.build(folder, word, before, np.log10(times + 10 ** unseen[word]), weight, ids)
+                del word, before, seen, times, first
                 trie = Trie(folder)
-                for (uid, _, _, _, times, _, owner, _), asked in zip(pairs, keys):
+                for (uid, times, owner, _), asked in zip(pairs, keys):
                     first = np.diff(asked, prepend=-1) != 0
                     word = asked[first] // ids
                     where = np.cumsum(first) - 1
                     own = word[where]
-                    yield _sums(uid, owner, trie.score(word, asked[first] % ids, unseen, weight)[where] * times, base[own] * times, known[own] * times)
+                    yield _sums(uid, owner.astype(np.int64), trie.score(word, asked[first] % ids, unseen, weight)[where] * times, base[own] * times, known[own] * times)
                 del trie
         for uid, d in packets.get(OTHERS, []):
             hashes, owner = _unpacked(d, "u8", "u2")
@@ -472,8 +544,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == DOCS:
                 if about:
                     yield close(about, total)
-                about = _unpacked(data, "i8", "i8", "?", "?")
-                total = np.zeros((3, len(about[0])))
+                numbers, tokens, *sums, blank, out = _unpacked(data, "i8", "i8", "f8", "f8", "f8", "?", "?")
+                about, total = [numbers, tokens, blank, out], np.array(sums)
             else:
                 *sums, owner = _unpacked(data, "f8", "f8", "f8", "u2")
                 total[:, owner] += np.array(sums)
@@ -485,26 +557,40 @@ def _hashes(frame) -> np.ndarray:
     return frame["hash"].to_numpy(np.int64).view(np.uint64)
 
 
-def score(docs: DataFrame, learn) -> DataFrame:
-    """Scores of all ``docs``, learning from those whose doc_id meets ``learn``."""
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learn(F.col("doc_id"))).alias("held_out"), "text")
-    counted = rows.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count, COUNT)
+def _learned(rows: DataFrame) -> tuple[Words, DataFrame]:
+    """The model's sizes and frequent words and pairs, and the counts of training words (hash, n)."""
+    spark = rows.sparkSession
+    texts_in = rows.select((~F.col("held_out")).alias("train"), "text")
+    counted = texts_in.mapInArrow(_count, COUNT)
     counts = written(counted.groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "counts")
     totals = {r.kind: (r.n, r.rows) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("rows")).collect()}
     texts, tokens = (totals.get(k, (0, 0))[0] for k in (1, 2))
     n, v = totals.get(0, (0, 0))[0] + texts, totals.get(0, (0, 0))[1] + (texts > 0)
     words = counts.filter("kind = 0 and n > 0").select("hash", "n")
     shards = max(8, tokens // SHARD)
-    hot = counts.filter("kind = 0").filter(F.col("n") + F.col("held") > max(1.0, tokens / shards / 4)).select("hash", "n").toPandas()  # at most four to a shard
+    frequent = F.col("n") + F.col("held") > max(1.0, tokens / shards / 4)
+    hot = counts.filter("kind = 0").filter(frequent).select("hash", "n").toPandas()  # at most four to a shard
     top = words.orderBy(F.desc("n"), "hash").limit(VOCABULARY).toPandas() if VOCABULARY is not None else None  # a list of fixed length
     limits = () if top is None else (_hashes(top), int(top["n"].sum()))
-    sent = spark.sparkContext.broadcast(Words(texts, n, v, shards, _hashes(hot), hot["n"].to_numpy(np.int64), *limits))
+    made = Words(texts, n, v, shards, _hashes(hot), hot["n"].to_numpy(np.int64), *limits)
+    pairs = texts_in.mapInArrow(_count_pairs(spark.sparkContext.broadcast(made)), COUNT).groupBy("hash").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    pairs = pairs.filter(frequent).select("hash", "n").toPandas().sort_values("hash")  # at most four to a shard
+    made.pairs, made.pairs_n = pairs["hash"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
+    return made, words
+
+
+def score(docs: DataFrame, learn) -> DataFrame:
+    """Scores of all ``docs``, learning from those whose doc_id meets ``learn``."""
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learn(F.col("doc_id"))).alias("held_out"), "text")
+    made, words = _learned(rows)
+    shards = made.shards
+    sent = spark.sparkContext.broadcast(made)
     packets = rows.mapInArrow(_packer(sent), PACK).unionByName(words.mapInArrow(_tabled(shards), PACK))
     parts = packets.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_scorer(sent), PART)
     found = parts.repartition("uid").sortWithinPartitions("uid", "kind").mapInArrow(_gather, ROW)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(made.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
