@@ -45,3 +45,12 @@ def test_digest_ignores_order_and_sees_changes(spark):
     digest = lambda df: table_digest(df).first().digest
     assert digest(a) == digest(a.orderBy("x", ascending=False).repartition(3))
     assert digest(a) != digest(a.distinct()) and digest(a) != digest(a.withColumnRenamed("x", "z").selectExpr("z + 1 as z", "y"))
+
+
+def test_edit_scripts_are_of_whole_turns(spark, tmp_path):
+    long = "x" * 90
+    rows = [(1, 1, f"{long}\nsecond line"), (1, 2, f"{long}\nsecond lime"), (2, 1, f"{long} a"), (2, 2, f"{long} b"), (2, 3, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = plans.queries()["turn_char_diff"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.turn, r.n_runs) for r in got) == [(1, 2, 4), (2, 2, 3), (2, 3, 1)]
+    assert all(r.before_ok and r.after_ok for r in got)

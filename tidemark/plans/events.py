@@ -32,10 +32,9 @@ def turn_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_char_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit scripts of the first lines of consecutive turns; both texts must come back from them."""
+    """Edit scripts of consecutive turns, whole texts; both texts must come back from them."""
     pairs = sq.transitions(_talks(spark, sf_dir), ["conv_id"], ["turn"], ["text"])
-    first = lambda c: F.substring(F.split(F.coalesce(c, F.lit("")), "\n")[0], 1, 80)  # noqa: E731  # a column this wide on screen
-    rows = pairs.select("conv_id", "turn", first("prev_text").alias("a"), first("text").alias("b"))
+    rows = pairs.select("conv_id", "turn", F.coalesce("prev_text", F.lit("")).alias("a"), F.coalesce("text", F.lit("")).alias("b"))
     rows = rows.withColumn("d", tx.char_diff("a", "b"))
     side = lambda op: F.array_join(F.transform(F.filter("d", lambda x: x["op"] != op), lambda x: x["text"]), "")
     return rows.select("conv_id", "turn", F.size("d").cast("long").alias("n_runs"), (side("+") == F.col("a")).alias("before_ok"), (side("-") == F.col("b")).alias("after_ok"))
