@@ -54,3 +54,29 @@ def test_edit_scripts_are_of_whole_turns(spark, tmp_path):
     got = plans.queries()["turn_char_diff"](spark, str(tmp_path)).collect()
     assert sorted((r.conv_id, r.turn, r.n_runs) for r in got) == [(1, 2, 4), (2, 2, 3), (2, 3, 1)]
     assert all(r.before_ok and r.after_ok for r in got)
+
+
+def test_claims_of_a_hot_text(spark):
+    """Against a plain search of all free claims; then a text with so many that this search would not end."""
+    import random
+
+    from tidemark.operators import evaluation as ev
+
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), k, rng.choice([None, float(rng.randrange(30)), float(rng.randrange(30))]), rng.random() < 0.6) for k in range(150)]
+    claims = [(rng.choice("abc"), 1000 + k, float(rng.randrange(30))) for k in range(110)]
+    expected = set()
+    for text in "abc":
+        free = sorted((at, claim) for t, claim, at in claims if t == text)
+        for executed in (True, False):
+            for _, row, at, _ in [r for r in rows if r[0] == text and r[3] == executed]:
+                if free:
+                    best = min(free, key=lambda f: (abs(f[0] - at), f)) if executed and at is not None else free[0]
+                    free.remove(best)
+                    expected.add((text, row, best[1], executed))
+    frames = spark.createDataFrame(rows, "text string, row long, at double, executed boolean"), spark.createDataFrame(claims, "text string, claim long, at double")
+    assert {tuple(r) for r in ev.assign_claims(*frames).collect()} == expected
+    many = spark.range(120_000).selectExpr("'hot' as text", "id", "cast(id * 7919 % 120000 as double) as at")
+    plan = ev.assign_claims(many.selectExpr("text", "id as row", "at", "true as executed"), many.selectExpr("text", "id as claim", "at"))
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    assert plan.filter("row = claim").count() == 120_000

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from array import array
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,21 +92,55 @@ def assign_claims(rows: DataFrame, claims: DataFrame) -> DataFrame:
     """Claims (text, claim, at) given to expected rows (text, row, at, executed), one each, by equal text.
 
     Executed rows in order take the free claim nearest to their time (earlier on a tie; the earliest if they have none), then the others
-    take the earliest claims left. Texts are groups, dealt over all tasks.
+    take the earliest claims left. Texts are groups, dealt over all tasks and sorted there; a task streams through its rows and holds the claims of
+    one text, in order of time, with links over those that are taken. Claims without a time come last.
     """
-    r = rows.select("text", F.col("row").alias("id"), F.col("at").cast("double").alias("at"), F.col("executed").cast("int").alias("role"))
-    c = claims.select("text", F.col("claim").alias("id"), F.col("at").cast("double").alias("at"), F.lit(2).alias("role"))
-
-    def give(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = sorted(pdf[pdf.role == 2][["at", "id"]].itertuples(index=False, name=None))
-        out = []
-        for role in (1, 0):
-            for row, at in sorted(pdf[pdf.role == role][["id", "at"]].itertuples(index=False, name=None)):
-                if not free:
-                    break
-                best = min(free, key=lambda f: (abs(f[0] - at), f[0], f[1])) if role and at == at else free[0]
-                free.remove(best)
-                out.append((pdf["text"].iloc[0], row, best[1], bool(role)))
-        return pd.DataFrame(out, columns=["text", "row", "claim", "executed"])
-
-    return r.unionByName(c).groupBy("text").applyInPandas(give, "text string, row long, claim long, executed boolean")
+    r = rows.select("text", F.col("row").cast("long").alias("id"), F.col("at").cast("double").alias("at"), F.col("executed").cast("int").alias("role"))
+    c = claims.select("text", F.col("claim").cast("long").alias("id"), F.col("at").cast("double").alias("at"), F.lit(2).alias("role"))
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: object = give  # no text
+        times: array = array("d")
+        ids: array = array("q")
+        before: array = array("q")  # place k + 1: the last free claim up to k, plus one, or a link towards it
+        after: array = array("q")  # place k: the first free claim from k, or a link towards it
+        timed = 0
+
+        def last(links: array, k: int) -> int:
+            end = k
+            while links[end] != end:
+                end = links[end]
+            while links[k] != end:
+                links[k], k = end, links[k]
+            return end
+
+        for pdf in batches:
+            out = []
+            for text, id_, at, role in zip(*(pdf[x].tolist() for x in ("text", "id", "at", "role"))):
+                if text != now:
+                    now, times, ids, before, after, timed = text, array("d"), array("q"), array("q", [0]), array("q", [0]), 0
+                if role == 2:
+                    times.append(at)
+                    ids.append(id_)
+                    before.append(len(ids))
+                    after.append(len(ids))
+                    timed += at == at
+                    continue
+                best = last(after, 0)
+                if best == len(ids):
+                    continue
+                if role == 1 and at == at and best < timed:
+                    place = bisect.bisect_right(times, at, 0, timed)
+                    left, right = last(before, place) - 1, last(after, place)
+                    if left >= 0:
+                        best = last(after, bisect.bisect_left(times, times[left], 0, timed))  # the least id of that time
+                    if right < timed and (left < 0 or abs(times[right] - at) < abs(times[left] - at)):
+                        best = right
+                before[best + 1], after[best] = best, best + 1
+                out.append((text, id_, ids[best], bool(role)))
+            yield pd.DataFrame(out, columns=["text", "row", "claim", "executed"])
+
+    time = F.col("at").isNull() | F.isnan("at")
+    order = [F.desc("role"), F.when(F.col("role") == 2, time), F.when(F.col("role") == 2, F.col("at")), "id"]
+    both = r.unionByName(c).filter("role is not null")
+    return both.repartition("text").sortWithinPartitions("text", *order).mapInPandas(give, "text string, row long, claim long, executed boolean")
