@@ -80,3 +80,11 @@ def test_claims_of_a_hot_text(spark):
     plan = ev.assign_claims(many.selectExpr("text", "id as row", "at", "true as executed"), many.selectExpr("text", "id as claim", "at"))
     assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
     assert plan.filter("row = claim").count() == 120_000
+
+
+def test_agreement_reads_whole_texts(spark, tmp_path):
+    same = "line one\nline  two"
+    rows = [(1, 1, "user", same), (1, 2, "assistant", "ok line one line two"), (1, 3, "user", "line one\nline three"), (2, 1, "user", "it’s"), (2, 2, "assistant", "it's"), (2, 3, "user", None), (2, 4, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = plans.queries()["agreement_of_texts"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("assistant", "user", 3, 3), ("user", "assistant", 0, 2)}

@@ -129,12 +129,19 @@ def labels_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of consecutive turns as two readings."""
+    """Roles of consecutive turns as two readings, of which one has a short token more; ``agreement_of_texts`` compares what was said."""
     pairs = sq.transitions(_talks(spark, sf_dir), ["conv_id"], ["turn"], ["role"])
     a, b = F.concat(F.col("role"), F.lit(" x")), F.col("prev_role")
     return pairs.groupBy("role", "prev_role").agg(F.count_if(tx.agreement(a, b)).alias("n_agree"), F.count("*").alias("n"))
 
 
+def agreement_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of consecutive turns as two readings, by role."""
+    pairs = sq.transitions(_talks(spark, sf_dir), ["conv_id"], ["turn"], ["role", "text"])
+    agree = tx.agreement(F.coalesce("text", F.lit("")), F.coalesce("prev_text", F.lit("")))
+    return pairs.groupBy("role", "prev_role").agg(F.count_if(agree).alias("n_agree"), F.count("*").alias("n"))
+
+
 RULES = {"no_quantity": "l_quantity <= 0", "dear": "l_extendedprice > 90000", "free": "l_discount >= 0.1", "returned": "l_returnflag = 'R'", "late": "l_tax > 0.06"}
 
 
@@ -420,5 +427,5 @@ c as (select distinct key from d where doc_id in (select doc_id from labels)),
 m as (select key, min(source) as source from d where key not in (select key from c) group by 1)
 select source, count(*) as n_misses from m group by 1""",
 }
-NO_SQL = ("turn_char_diff", "greedy_matching", "track_cascade", "claims_assignment", "settle_events", "lineage_digest")
+NO_SQL = ("turn_char_diff", "agreement_of_texts", "greedy_matching", "track_cascade", "claims_assignment", "settle_events", "lineage_digest")
 QUERIES = {name: globals()[name] for name in (*SQL, *NO_SQL)}
