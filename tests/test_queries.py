@@ -88,3 +88,21 @@ def test_agreement_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = plans.queries()["agreement_of_texts"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {("assistant", "user", 3, 3), ("user", "assistant", 0, 2)}
+
+
+def test_all_levels_of_the_hierarchy(spark, sf):
+    import pandas as pd
+
+    lines, orders, customers = (pd.read_parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "orders", "customer"))
+    every = lines.merge(orders, left_on="l_orderkey", right_on="o_orderkey").merge(customers, left_on="o_custkey", right_on="c_custkey")
+    got = plans.queries()["nodes_of_all_levels"](spark, sf).toPandas()
+    keys = {"line": ["l_orderkey", "l_linenumber"], "order": ["l_orderkey"], "customer": ["o_custkey"], "nation": ["c_nationkey"]}
+    assert set(got.level) == set(keys)
+    for level, key in keys.items():
+        texts = every.sort_values(["l_orderkey", "l_linenumber", "l_returnflag"] if level != "nation" else ["o_custkey", "l_orderkey", "l_linenumber", "l_returnflag"])
+        texts = texts.groupby(key).l_returnflag.agg(lambda x: "\n".join(x.unique()))
+        own = got[got.level == level]
+        assert dict(zip(own.text, own.n_nodes)) == texts.value_counts().to_dict() and own.n_lines.sum() == len(every)
+    tree = plans.queries()["hierarchy_of_all_levels"](spark, sf).groupBy("depth").count().collect()
+    placed = orders[orders.o_custkey.isin(customers.c_custkey)]
+    assert {r.depth: r["count"] for r in tree}.items() >= {15: 1, 1: placed.o_custkey.nunique(), 0: len(placed)}.items()

@@ -185,29 +185,57 @@ def boundary_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("o_custkey", F.col("place").cast("long").alias("place"), "votes", "label")
 
 
-def hierarchy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders rolled up to nations, regions and all, with the range of keys below; one pass of grouping sets."""
+def _hierarchy(spark: SparkSession, sf_dir: str, *levels: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = orders.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows by the schema
-    return rows.rollup("r_name", "n_name").agg(
+    return rows.rollup(*levels).agg(
         F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"),
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.grouping_id().cast("long").alias("depth"),
     )
 
 
-def nodes_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of four levels: lines into orders into customers into nations; texts are distinct parts in order."""
+def hierarchy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders rolled up to nations, regions and all, with the range of keys below; one pass of grouping sets."""
+    return _hierarchy(spark, sf_dir, "r_name", "n_name")
+
+
+def hierarchy_of_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same down to customers and orders."""
+    return _hierarchy(spark, sf_dir, "r_name", "n_name", "o_custkey", "o_orderkey")
+
+
+#: Levels of nodes, from below: key, and what orders the lines of a node.
+LEVELS = {
+    "line": (["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber"]),
+    "order": (["l_orderkey"], ["l_orderkey", "l_linenumber"]),
+    "customer": (["o_custkey"], ["l_orderkey", "l_linenumber"]),
+    "nation": (["c_nationkey"], ["o_custkey", "l_orderkey", "l_linenumber"]),
+}
+
+
+def _nodes(spark: SparkSession, sf_dir: str, levels: list[str]) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    line = lines.select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey", "l_returnflag")
+    made = None
+    for name in levels:
+        keys, order = LEVELS[name]
+        item = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]).alias("item")
+        firsts = lines.groupBy(item, "l_returnflag").agg(F.min(F.struct(*order)).alias("o"), F.count("*").alias("n"))  # one row for each of a node's texts
+        parts = F.array_sort(F.collect_list(F.struct("o", "l_returnflag")))
+        nodes = firsts.groupBy("item").agg(F.array_join(F.transform(parts, lambda p: p["l_returnflag"]), "\n").alias("text"), F.sum("n").alias("n"))
+        nodes = nodes.select(F.lit(name).alias("level"), "item", "text", "n")
+        made = nodes if made is None else made.unionByName(nodes)
+    return made.filter("text <> ''").groupBy("level", "text").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_lines"))
+
+
+def nodes_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of two levels: lines into orders and into customers; texts are distinct return flags in order."""
+    return _nodes(spark, sf_dir, ["order", "customer"])
 
-    def level(name: str, key: str, order: list[str]) -> DataFrame:
-        parts = F.array_sort(F.collect_list(F.struct(*order, "l_returnflag")))
-        text = F.array_join(F.array_distinct(F.transform(parts, lambda p: p["l_returnflag"])), "\n")
-        return line.groupBy(F.col(key).cast("string").alias("item")).agg(text.alias("text"), F.count("*").alias("n")).select(F.lit(name).alias("level"), "item", "text", "n")
 
-    made = [level("order", "l_orderkey", ["l_linenumber"]), level("customer", "o_custkey", ["l_orderkey", "l_linenumber"])]
-    return made[0].unionByName(made[1]).filter("text <> ''").groupBy("level", "text").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_lines"))
+def nodes_of_all_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of four levels: lines into orders into customers into nations; texts are distinct return flags in order."""
+    return _nodes(spark, sf_dir, list(LEVELS))
 
 
 def box_stability_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,5 +455,5 @@ c as (select distinct key from d where doc_id in (select doc_id from labels)),
 m as (select key, min(source) as source from d where key not in (select key from c) group by 1)
 select source, count(*) as n_misses from m group by 1""",
 }
-NO_SQL = ("turn_char_diff", "agreement_of_texts", "greedy_matching", "track_cascade", "claims_assignment", "settle_events", "lineage_digest")
+NO_SQL = ("turn_char_diff", "agreement_of_texts", "hierarchy_of_all_levels", "nodes_of_all_levels", "greedy_matching", "track_cascade", "claims_assignment", "settle_events", "lineage_digest")
 QUERIES = {name: globals()[name] for name in (*SQL, *NO_SQL)}
