@@ -106,3 +106,10 @@ def test_all_levels_of_the_hierarchy(spark, sf):
     tree = plans.queries()["hierarchy_of_all_levels"](spark, sf).groupBy("depth").count().collect()
     placed = orders[orders.o_custkey.isin(customers.c_custkey)]
     assert {r.depth: r["count"] for r in tree}.items() >= {15: 1, 1: placed.o_custkey.nunique(), 0: len(placed)}.items()
+
+
+def test_every_table_has_a_digest(spark, sf):
+    from .oracle import TABLES
+
+    got = {r.name: r.n_rows for r in plans.queries()["lineage_digest"](spark, sf).collect()}
+    assert got == {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in TABLES}

@@ -327,9 +327,13 @@ def blink_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.count_if("recurs").alias("n_recurs"), F.count_if("confirmed").alias("n_confirmed"), F.count("*").alias("n"))
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def lineage_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every table of the scale folder."""
     out = None
-    for name in ("region", "nation", "customer", "orders", "lineitem"):
+    for name in TABLES:
         one = ln.table_digest(table(spark, sf_dir, name)).select(F.lit(name).alias("name"), "n_rows", "digest")
         out = one if out is None else out.unionByName(one)
     return out
