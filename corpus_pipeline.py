@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat; documents of which nothing is left go."""
-    return suffix.deduplicated(docs)
+    return suffix.deduplicated(docs, PASSAGE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +40,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing.default_tokenizer())
 
 
+#: Bytes from which a repeated string goes: under those of fifty words in nearly all texts.
+PASSAGE = 200
+
 STAGES = [
     ("quality", classify),
     ("near_duplicates", drop_near_duplicates),
