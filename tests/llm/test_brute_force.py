@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -153,57 +154,69 @@ def test_cuts():
         assert sum(parts) == n and all(1 <= p <= 2048 for p in parts)
 
 
-@pytest.mark.parametrize("vocabulary", [65_000, 500])
-def test_lm_scores(spark, sf, texts, vocabulary, monkeypatch):
-    monkeypatch.setattr(lm, "VOCABULARY", vocabulary)
-    tokens = {i: [*t.lower().split(), None] for i, t in texts.items()}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    count = collections.Counter(w for i in train for w in tokens[i])
-    n, v = sum(count.values()), len(count)
-    words = [w for w in count if w is not None]
-    hashes = hashing.words([b" ".join(words)])[0].view(np.int64).tolist()
-    top = sorted(zip(words, hashes), key=lambda x: (-count[x[0]], x[1]))[:vocabulary]
-    ids = {w: k + 2 for k, (w, _) in enumerate(top)}
-    number = lambda w: 0 if w is None else ids.get(w, 1)
-    uni = np.zeros(len(ids) + 2)
-    pairs = collections.Counter()
-    for w, c in count.items():
-        uni[number(w)] += c
+def lm_by_hand(texts, train):
+    """Functions (base, score, known) of a text's tokens, and N, from plain counts of the training texts."""
+    grams = [collections.Counter() for _ in range(3)]
     for i in train:
-        s = [0, *map(number, tokens[i])]
-        pairs.update(zip(s, s[1:]))
-    p = (uni + 1) / (uni.sum() + len(uni))
-    others = v - len(ids) - 1
-    rows = lm.op9_lm_scoring(spark, sf).collect()
+        s = [None, None, *texts[i], None]
+        for k, g in enumerate(grams):
+            g.update(tuple(s[j - k : j + 1]) for j in range(2, len(s)))
+    one, two, three = grams
+    one[None,] = two[None, None] = len(train)
+    n, v = sum(one.values()), len([c for c in one.values() if c])
+
+    def score(text):
+        s, total = [None, None, *text, None], 0.0
+        for u, v_, w in zip(s, s[1:], s[2:]):
+            above = three[u, v_, w] + lm.KAPPA * (two[v_, w] + lm.MU * (one[w,] + 1) / (n + len([c for c in one.values() if c]) + (1 if train else 2)))
+            total += math.log10(above / (two[u, v_] + lm.KAPPA * (one[v_,] + lm.MU)))
+        return total
+
+    return lambda t: sum(math.log10((one[w,] + 1) / (n + v + 1)) for w in [*t, None]), score, lambda t: sum(one[w,] > 0 for w in [*t, None]), n
+
+
+def check_lm(rows, texts, train, most=0.05):
+    base, score, known, n = lm_by_hand(texts, train)
+    score = functools.cache(score)
     assert len(rows) == len(texts)
     for r in rows:
-        t = tokens[r.doc_id]
-        s = [0, *map(number, t)]
-        base = sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in t)
-        score = sum(math.log10((pairs[x, y] + lm.MU * p[y]) / (uni[x] + lm.MU)) for x, y in zip(s, s[1:]))
-        score += sum(math.log10((count.get(w, 0) + 1) / (uni[1] + others + 1)) for w, k in zip(t, s[1:]) if k == 1)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count.get(w, 0) > 0 for w in t), n)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - score) < 0.05 * len(t)  # probabilities are quantised
+        t = tuple(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t) + 1, known(t), n)
+        assert math.isclose(r.base_score, base(t), rel_tol=1e-9, abs_tol=1e-6) and abs(r.score - score(t)) < most * (len(t) + 1)  # probabilities are quantised
+
+
+@pytest.mark.parametrize("rows_at_once", [1_000_000, 500])
+def test_lm_scores(spark, sf, texts, rows_at_once, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE", rows_at_once)
+    words = {i: t.lower().split() for i, t in texts.items()}
+    rows = lm.op9_lm_scoring(spark, sf).collect()
+    check_lm(rows, words, [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2])
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    again = {r.doc_id: r for r in lm.op9_lm_scoring(spark, sf).collect()}
+    assert all(again[r.doc_id] == r for r in rows)
+
+
+def test_lm_probabilities_sum_to_one():
+    made = lm.Words(3, 10, 4, 8, np.zeros(0, np.uint64), np.zeros(0, np.int64))  # three words and the end, 3 texts, 10 tokens
+    c1, c2, c3 = np.array([3, 3, 3, 1, 0]), np.array([1, 2, 0, 0, 0]), np.array([1, 0, 0, 0, 0])  # the last is the word unseen
+    total = (10 ** made.level3(c3, c2, c1)).sum() * 10 ** made.weight(c3.sum(), c2.sum())
+    assert math.isclose(total, 1, rel_tol=1e-12)
 
 
 def test_lm_knows_every_word(spark):
-    """More training words than any list of frequent ones: bigrams of the rarest count too."""
+    """More training words than any list of frequent ones: n-grams of the rarest count too."""
     size = 70_000
     words = [f"w{k}" for k in range(size)]
-    rows = [(1, " ".join(words)), (2, " ".join(words)), (7, f"w{size - 2} w{size - 1}"), (8, f"w{size - 1} w{size - 2}")]
-    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), lambda i: i < 7).collect()}
-    n, ids = 2 * (size + 1), size + 2
-    p = 3 / (n + ids)
-    seen, unseen = math.log10((2 + lm.MU * p) / (2 + lm.MU)), math.log10(lm.MU * p / (2 + lm.MU))
-    for doc_id, pairs in ((7, [unseen, seen, seen]), (8, [unseen, unseen, unseen])):
-        assert abs(got[doc_id].score - sum(pairs)) < 0.01
+    texts = {1: words, 2: words, 7: [words[-2], words[-1]], 8: [words[-1], words[-2]]}
+    got = lm.score(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string"), lambda i: i < 7).collect()
+    check_lm(got, texts, [1, 2], 0.01)
 
 
-def test_lm_deals_no_pair_too_frequent_for_a_shard(spark, monkeypatch):
+@pytest.mark.parametrize("share", [0.5, 0.9])
+def test_lm_deals_no_triple_too_frequent_for_a_shard(spark, monkeypatch, share):
     rng = random.Random(5)
-    rows = [(k, " ".join("hot phrase" if rng.random() < 0.5 else f"w{rng.randrange(3000)}" for _ in range(60))) for k in range(400)]
+    rows = [(k, " ".join("hot phrase here" if rng.random() < share else f"w{rng.randrange(3000)}" for _ in range(60))) for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     asked = docs.selectExpr("doc_id", "doc_id % 7 = 2 as held_out", "text")
     made, _ = lm._learned(asked)
@@ -211,26 +224,16 @@ def test_lm_deals_no_pair_too_frequent_for_a_shard(spark, monkeypatch):
     dealt = collections.Counter()
     for out in lm._packer(type("Sent", (), {"value": made}))(iter(asked.toArrow().to_batches())):
         for r in out.to_pylist():
-            if r["kind"] == lm.BIGRAMS:
-                words, run, before, times, place, _, _ = lm._pairs(r["data"])
-                for w, b, t in zip(np.repeat(words, run).tolist(), before[place].tolist(), times.tolist()):
-                    dealt[w, b] += t
+            if r["kind"] == lm.TRIGRAMS:
+                words, edge, other, before, second, times, *_ = lm._triples(r["data"])
+                for w, b, u, t in zip(np.repeat(words, np.diff(edge)).tolist(), other[before].tolist(), other[second].tolist(), times.tolist()):
+                    dealt[w, b, u] += t
     monkeypatch.undo()  # functions sent to workers take their globals with them
     tokens = sum(len(t.split()) + 1 for _, t in rows)
-    assert max(dealt.values()) <= tokens / made.shards / 4 < sum(t.count("hot phrase") for _, t in rows)
-    sides = {k: ["", *t.split(), ""] for k, t in rows}
-    uni, pairs = collections.Counter(), collections.Counter()
-    for k, s in sides.items():
-        if k % 7 != 2:
-            uni.update(s[1:])
-            pairs.update(zip(s, s[1:]))
-    n, ids = sum(uni.values()), len(uni) + 1
-    for r in lm.score(docs, lambda i: i % 7 != 2).collect():
-        s = sides[r.doc_id]
-        score = sum(math.log10((pairs[x, y] + lm.MU * (uni[y] + 1) / (n + ids)) / (uni[x] + lm.MU)) for x, y in zip(s, s[1:]))
-        base = sum(math.log10((uni[y] + 1) / (n + len(uni) + 1)) for y in s[1:])
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s) - 1, sum(uni[y] > 0 for y in s[1:]), n)
-        assert math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - score) < 0.05 * len(s)
+    assert max(dealt.values()) <= tokens / made.shards / 4 < sum(t.count("hot phrase here") for _, t in rows)
+    assert len(made.often[3][0])
+    texts = {k: t.split() for k, t in rows}
+    check_lm(lm.score(docs, lambda i: i % 7 != 2).collect(), texts, [k for k in texts if k % 7 != 2])
 
 
 def test_elias_fano():

@@ -1,30 +1,38 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model is a bigram model over all training words and text boundaries: p(w | v) = (c(v, w) + MU * p(w)) / (c(v) + MU). Words are
-identified by their 64-bit hashes; a word that no training text has is one with count 0. Where ``VOCABULARY`` is set, only so many words
-have an identity, and the others are a class: such a word is scored as its class times its share of the class,
-(c + 1) / (class tokens + class types + 1).
-
-Bigrams are dealt to shards by their second word w. Its count comes to the same shard from the table of counts, so that a shard knows all
-it needs of w: p(w), its base score, and its weight as a context, 1 / (c(w) + MU). The weight belongs to the bigram that follows, but
-every token of a text is a context once, so the sum over the text is the same. Words too frequent for one shard are dealt by both words of the
-bigram; their counts are broadcast, and there are at most four to a shard. Bigrams too frequent for one shard consist of such words; they are
-counted by partial sums, broadcast with their counts (again at most four to a shard), and scored where the text is read. A bigram of a document moves
-once per packet, with the times that it occurs. The number of shards grows with the corpus.
-
-Trie levels. The trie is one of reversed bigrams: level 1 holds the second words, level 2 the words before them; both are Elias-Fano
-sequences over the shard's own numbering of its words, as are the pointers from a word to the words before it. An entry of level 2 is stored
-relative to its word's place, which keeps the sequence monotone over all words. A query finds its word, then searches the word's range: the
-high part of the key gives a short run by select, which is searched. Values and weights are quantised to 8 bits with a codebook per level.
+The model is a trigram model over all training words and text boundaries: counts of the orders are added up with falling weight,
+
+    p(w | u, v) = (c(u, v, w) + KAPPA * (c(v, w) + MU * p(w))) / (c(u, v) + KAPPA * (c(v) + MU)),   p(w) = (c(w) + 1) / (N + V + 1)
+
+over words, the boundary and one word unseen. Words are identified by their 64-bit hashes; none is left out or merged with others.
+The numerator needs counts of n-grams that end in w only, the denominator those of n-grams that end in v.
+
+Shards. Trigrams are dealt to shards by their last word w. Its count comes to the same shard from the table of counts, so that a shard knows
+all numerators of w, and, for each (v, w), the denominator of the token that follows. That belongs to the next token, but every
+token of a text but its end is followed by one, so the sum over the text is the same; after the end the first token's denominator is counted.
+Words too frequent for one shard are dealt by (v, w) and their counts are broadcast; pairs too frequent for one shard, which consist of such
+words, are dealt by (u, v, w) and their counts are broadcast too; triples too frequent are broadcast with their counts and scored where the
+text is read. Each of the three lists has at most four entries to a shard. A trigram of a document moves once per packet, with the
+times that it occurs. The number of shards grows with the corpus.
+
+Trie levels. The trie is one of reversed trigrams: level 1 holds last words, level 2 the words before them, level 3 the words before those. Levels are
+Elias-Fano sequences over the shard's own numbering of its words, and so are the pointers from an entry to its continuations. An entry is stored
+relative to its parent's place, which keeps a level monotone. A query finds its word, searches the word's range for the word before, and that one's range for
+the third: the high part of the key gives a short run by select, which is searched. Where a level has no entry, the value of the one above
+counts. Values (log10 numerators) and weights (log10 of one over the denominator) are quantised to 8 bits with a codebook per level. The levels are one
+memory-mapped file without a name. A shard is worked on by ranges of words, each with a trie of its own, so that memory is bounded by ``RANGE``
+while packets are cut into few pieces.
 
 Null text is the empty text: one token, the end. Without training texts N and V are 0, and every
-token has the base score log10(1 / 1). Repeated rows are scored each. An empty table gives an empty result. Only doc_id and text are read.
+token has the base score log10(1 / 1). Ties have no part in it. Repeated rows are scored each. An empty table gives an empty result. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
 
+import io
+import mmap
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +45,19 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import by_bytes, prepare, split_of, table, texts_of, written
 
-#: None: every training word has an identity. A number: the most frequent words have, the others are a class.
-VOCABULARY: int | None = None
-MU = 30.0
-#: Tokens that a shard should have.
-SHARD = 2_000_000
+#: Mass of the unigram among a bigram's counts, and of bigram counts among a trigram's.
+MU, KAPPA = 30.0, 0.02
+#: Tokens that a shard should have, and rows of it that are worked on at once.
+SHARD, RANGE = 4_000_000, 1_000_000
 #: Bytes of text packed together; a packet has at most 2**16 documents.
 PACKET = 8 << 20
 #: Bytes of text hashed at once.
 SLICE = 1 << 20
-EDGE, OTHER = np.uint64(0), np.uint64(1)  # in place of a hash: text boundary, class of other words
+EDGE = np.uint64(0)  # in place of a hash: the boundary of a text
+#: Bits of the hashes of words before a word that are left out: of a shard's few million words 48 bits tell all apart.
+SHORT = np.uint64(16)
+#: Sums are whole numbers of this unit, so that their order doesn't matter.
+UNIT = 1e-9
 
 
 # -- Elias-Fano --------------------------------------------------------------------------------------
@@ -145,53 +156,86 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Two levels in files of a folder, opened by memory map."""
+    """Three levels in one unnamed memory-mapped file."""
+
+    def __init__(self, c1: np.ndarray, pair: np.ndarray, c2: np.ndarray, triple: np.ndarray, c3: np.ndarray, ids: int, words: Words, edge: int):
+        """Training counts. c1: of every word. pair, c2: seen pairs, sorted, as word * ids + word before. triple, c3: seen triples,
+        sorted, as place in ``pair`` * ids + word before. edge: the boundary's number among words, or -1."""
+        self.ids, self.edge, self.after_edge = ids, edge, float(words.weight(words.texts, words.texts))
+        self.unknown = float(words.level1(0)), float(words.weight(0, 0))
+        known = np.flatnonzero(c1)
+        word, before = pair // ids, pair % ids
+        parent, second = triple // ids, triple % ids
+        place = np.searchsorted(known, word)
+        file = io.BytesIO()
+        self.parts: dict[str, tuple] = {}
+
+        def store(name: str, values: np.ndarray, universe: int) -> None:
+            low, high, n, width = EliasFano.pack(values, universe)
+            self._add(file, f"{name}-low", low)
+            self._add(file, f"{name}-high", high)
+            self.parts[name] = n, width
+
+        store("words", known, len(c1))
+        store("pairs", place * ids + before, max(1, len(known)) * ids)
+        store("triples", triple, max(1, len(pair)) * ids)
+        store("pairs of words", np.searchsorted(place, np.arange(len(known) + 1)), len(pair) + 1)
+        store("triples of pairs", np.searchsorted(parent, np.arange(len(pair) + 1)), len(triple) + 1)
+        numerators = words.level1(c1[known]), words.level2(c2, c1[word]), words.level3(c3, c2[parent], c1[word[parent]])
+        weights = words.weight(0, c1[known]), words.weight(c2, c1[word])
+        self.books = {}
+        for name, values in zip(("v1", "v2", "v3", "w1", "w2"), (*numerators, *weights)):
+            codes, self.books[name] = quantised(values)
+            self._add(file, name, codes)
+        handle = os.memfd_create("trie")
+        try:
+            content = bytes(8) + file.getvalue()  # a mapping isn't empty
+            while content:
+                content = content[os.write(handle, content) :]
+            self.map = mmap.mmap(handle, 0, access=mmap.ACCESS_READ)
+        finally:
+            os.close(handle)
+        self.words, self.pairs, self.triples = map(self._sequence, ("words", "pairs", "triples"))
+        self.of_words, self.of_pairs = map(self._sequence, ("pairs of words", "triples of pairs"))
+
+    def _add(self, file: io.BytesIO, name: str, values: np.ndarray) -> None:
+        file.write(bytes(-file.tell() % 8))
+        self.parts[name] = file.tell() + 8, values.dtype, len(values)
+        file.write(values.tobytes())
+
+    def _array(self, name: str) -> np.ndarray:
+        at, kind, n = self.parts[name]
+        return np.frombuffer(self.map, kind, n, at)
+
+    def _sequence(self, name: str) -> EliasFano:
+        return EliasFano(self._array(f"{name}-low"), self._array(f"{name}-high"), *self.parts[name])
+
+    def _value(self, name: str, at: np.ndarray, rest) -> np.ndarray:
+        codes = self._array(name)
+        return np.where(at >= 0, self.books[name][codes[np.maximum(at, 0)]], rest) if len(codes) else np.broadcast_to(rest, at.shape)
 
     @staticmethod
-    def build(folder: str, word: np.ndarray, before: np.ndarray, value: np.ndarray, weight: np.ndarray, ids: int) -> None:
-        """Bigrams sorted by (word, before), ids of the shard, with log10(c + MU * p(word)); ``weight``: log10 weight of every id of a word."""
-        heads, first = np.unique(word, return_index=True)
-        place = np.searchsorted(heads, word)
-        parts: dict[str, tuple[np.ndarray, int]] = {
-            "words": (heads, ids),
-            "pointers": (np.append(first, len(word)), len(word) + 1),
-            "before": (place * ids + before, max(1, len(heads)) * ids),
-        }
-        for name, (values, universe) in parts.items():
-            low, high, n, width = EliasFano.pack(values, universe)
-            np.save(os.path.join(folder, f"{name}-low.npy"), low)
-            np.save(os.path.join(folder, f"{name}-high.npy"), high)
-            np.save(os.path.join(folder, f"{name}-shape.npy"), np.array([n, width, ids]))
-        for name, values in (("value", value), ("weight", weight[heads])):
-            codes, book = quantised(values)
-            np.save(os.path.join(folder, f"{name}-codes.npy"), codes)
-            np.save(os.path.join(folder, f"{name}-book.npy"), book)
-
-    def __init__(self, folder: str):
-        def open_(name: str) -> np.ndarray:
-            path = os.path.join(folder, f"{name}.npy")
-            return np.load(path, mmap_mode="r")
-
-        def sequence(name: str) -> EliasFano:
-            n, width, self.ids = map(int, np.load(os.path.join(folder, f"{name}-shape.npy")))
-            return EliasFano(open_(f"{name}-low"), open_(f"{name}-high"), n, width)
-
-        self.words, self.pointers, self.before = map(sequence, ("words", "pointers", "before"))
-        self.value, self.value_book = open_("value-codes"), np.load(os.path.join(folder, "value-book.npy"))
-        self.weight, self.weight_book = open_("weight-codes"), np.load(os.path.join(folder, "weight-book.npy"))
-
-    def score(self, word: np.ndarray, before: np.ndarray, unseen: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """log10 (c + MU * p(word)) and the word's weight. ``unseen``, ``weight``: of every id of a word."""
-        out = unseen[word] + weight[word]
-        place = self.words.find(word)
-        known = np.flatnonzero(place >= 0)
-        if len(known):
-            own = place[known]
-            at = self.before.find(own * self.ids + before[known], self.pointers.at(own), self.pointers.at(own + 1))
-            direct = self.value_book[self.value[np.maximum(at, 0)]] if len(self.value) else 0.0
-            out[known] = np.where(at >= 0, direct, unseen[word[known]]) + self.weight_book[self.weight[own]]
+    def _below(level: EliasFano, pointers: EliasFano, parent: np.ndarray, child: np.ndarray, ids: int) -> np.ndarray:
+        """Places of the children of known parents, -1 elsewhere."""
+        out = np.full(len(parent), -1, np.int64)
+        known = np.flatnonzero(parent >= 0)
+        if len(known) and level.n:
+            own = parent[known]
+            out[known] = level.find(own * ids + child[known], pointers.at(own), pointers.at(own + 1))
         return out
 
+    def score(self, pair: np.ndarray, parent: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """log10 numerator of triples and denominator of what follows them. pair: word * ids + word before; parent, second: place in ``pair`` and the
+        word before that of each triple."""
+        word, before = pair // self.ids, pair % self.ids
+        at1 = self.words.find(word)
+        at2 = self._below(self.pairs, self.of_words, at1, before, self.ids)
+        value = self._value("v2", at2, self._value("v1", at1, self.unknown[0]))
+        weight = self._value("w2", at2, self._value("w1", at1, self.unknown[1]))
+        weight = np.where(word == self.edge, self.after_edge, weight)
+        at3 = self._below(self.triples, self.of_pairs, at2[parent], second, self.ids)
+        return self._value("v3", at3, value[parent]) + weight[parent]
+
 
 # -- counting ---------------------------------------------------------------------------------------
 
@@ -227,29 +271,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """Sizes of the model, the words too frequent for one shard with their training counts, and the words with an identity where they are limited."""
-
-    def __init__(self, texts: int, n: int, v: int, shards: int, hot: np.ndarray, hot_n: np.ndarray, top: np.ndarray | None = None, top_n: int = 0):
-        self.pairs, self.pairs_n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # frequent bigrams by places in ``hot``, and their training counts
-        self.n, self.v, self.shards = n, v, shards
-        self.top = None if top is None else np.sort(top)
-        kept = v - (texts > 0) if top is None else len(top)
-        self.other_n, self.other_v = (0, 0) if top is None else (max(0, n - texts - top_n), max(0, v - kept - (texts > 0)))
-        self.ids = kept + 2
-        hot = np.concatenate((np.array([EDGE, OTHER]), hot))
+    """Sizes of the model, and words, pairs and triples too frequent for one shard with their training counts."""
+
+    def __init__(self, texts: int, n: int, v: int, shards: int, hot: np.ndarray, hot_n: np.ndarray):
+        self.texts, self.n, self.v, self.shards = texts, n, v, shards
+        self.ids = v - (texts > 0) + 2
+        hot = np.append(hot, EDGE)
         order = np.argsort(hot)
-        self.hot, self.hot_n = hot[order], np.concatenate(([texts, self.other_n], hot_n)).astype(np.int64)[order]
+        self.hot, self.hot_n = hot[order], np.append(hot_n, texts).astype(np.int64)[order]
+        none = np.zeros(0, np.int64)
+        #: By order: codes of places in ``hot``, the last word's the least significant, and counts.
+        self.often: dict[int, tuple[np.ndarray, np.ndarray]] = {2: (none, none), 3: (none, none)}
+
+    def prior(self, c1):
+        return MU * (np.asarray(c1) + 1) / (self.n + self.ids)
+
+    def level1(self, c1):
+        return np.log10(KAPPA * self.prior(c1))
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes if self.top is None else np.where(found(self.top, hashes) >= 0, hashes, OTHER)
+    def level2(self, c2, c1):
+        return np.log10(KAPPA * (c2 + self.prior(c1)))
 
-    def shards_of(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        pair = hashing.final(hashing.final(word + np.uint64(1)) ^ before)
-        return (np.where(found(self.hot, word) >= 0, pair, word) % np.uint64(self.shards)).astype(np.int64)
+    def level3(self, c3, c2, c1):
+        return np.log10(c3 + KAPPA * (c2 + self.prior(c1)))
 
-    def numbers(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words with these counts: log10 MU * p, log10 weight as a context, base score."""
-        return np.log10(MU * (count + 1) / (self.n + self.ids)), -np.log10(count + MU), np.log10((count + 1) / (self.n + self.v + 1))
+    def weight(self, c2, c1):
+        return -np.log10(c2 + KAPPA * (np.asarray(c1) + MU))
+
+    def base(self, c1):
+        return np.log10((c1 + 1) / (self.n + self.v + 1))
+
+    def frequent(self, order: int, *places: np.ndarray) -> np.ndarray:
+        """Places in the list of an order, -1 where it has none; ``places``: of words in ``hot``."""
+        code, good = np.zeros(len(places[0]), np.int64), np.ones(len(places[0]), bool)
+        for p in places:
+            code, good = code * len(self.hot) + p, good & (p >= 0)
+        return found(self.often[order][0], np.where(good, code, -1))
 
 
 def edged(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -259,9 +316,18 @@ def edged(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_pairs(sent):
+def preceding(tokens: np.ndarray, counts: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each, and the one before that; texts begin with edges."""
+    first = np.cumsum(counts + 1) - counts - 1
+    before = np.concatenate((np.array([edge], tokens.dtype), tokens[:-1]))
+    second = np.concatenate((np.array([edge], tokens.dtype), before[:-1]))
+    second[first] = edge
+    return before, second
+
+
+def _count_often(sent, order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(kind, hash, n, held) of bigrams of frequent words; ``hash`` has their places."""
+        """(kind, hash, n, held) of n-grams of frequent words whose last n-1 are frequent together; ``hash`` has their places."""
         v: Words = sent.value
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -275,15 +341,21 @@ def _count_pairs(sent):
             key, n, held = merged()
             return _rows(_COUNT, kind=np.zeros(len(key), np.int32), hash=key, n=n, held=held)
 
+        edge = int(found(v.hot, np.array([EDGE]))[0])
         for batch in batches:
             body, train = texts_of(batch, 1), np.array(batch.column(0).to_pylist(), bool)
             for part in by_bytes(body, SLICE):
                 hashes, _, _, counts = hashing.words([t.lower() for t in body[part]])
-                after = found(v.hot, edged(v.of(hashes), counts))
-                before = np.concatenate((found(v.hot, np.array([EDGE])), after[:-1]))
-                both = np.flatnonzero((after >= 0) & (before >= 0))
-                key, where = np.unique(before[both] * len(v.hot) + after[both], return_inverse=True)
-                n = np.bincount(where, np.repeat(train[part], counts + 1)[both], len(key)).astype(np.int64)
+                after = found(v.hot, edged(hashes, counts))
+                before, second = preceding(after, counts, edge)
+                good = (after >= 0) & (before >= 0)
+                code = before * len(v.hot) + after
+                if order == 3:
+                    good &= (second >= 0) & (v.frequent(2, before, after) >= 0)
+                    code = second * len(v.hot) ** 2 + code
+                own = np.flatnonzero(good)
+                key, where = np.unique(code[own], return_inverse=True)
+                n = np.bincount(where, np.repeat(train[part], counts + 1)[own], len(key)).astype(np.int64)
                 done.append((key, n, np.bincount(where, minlength=len(key)) - n))
                 size += len(key)
                 if size > 1_000_000:
@@ -312,7 +384,7 @@ ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score do
 PACK = "shard int, kind int, uid long, data binary"
 PART = "uid long, kind int, data binary"
 COUNT = "kind int, hash long, n long, held long"
-DOCS, TABLE, BIGRAMS, OTHERS = range(4)
+DOCS, TABLE, TRIGRAMS = range(3)
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
@@ -332,6 +404,26 @@ def _packed(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
 
 
+def _planed(*arrays: np.ndarray) -> bytes:
+    """Arrays by planes of bytes, each compressed by itself: leading zeros and narrow ranges cost little."""
+    frames = [zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1)[:, k]).tobytes(), 1) for a in arrays for k in range(a.itemsize)]
+    return np.array([len(f) for f in frames], np.uint32).tobytes() + b"".join(frames)
+
+
+def _unplaned(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    lengths = np.frombuffer(data, np.uint32, sum(sizes)).tolist()
+    out, at, plane = [], 4 * sum(sizes), 0
+    for kind, size in zip(kinds, sizes):
+        planes = []
+        for n in lengths[plane : plane + size]:
+            planes.append(np.frombuffer(zstandard.decompress(data[at : at + n]), np.uint8))
+            at += n
+        plane += size
+        out.append(np.ascontiguousarray(np.stack(planes, 1)).view(kind).ravel())
+    return out
+
+
 def _packer(sent):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Words = sent.value
@@ -342,71 +434,77 @@ def _packer(sent):
             docs = len(body)
             uid = task | row
             row += docs
+            # training texts first, so that a text's number tells its side
+            turn = sorted(range(docs), key=lambda k: held[k])
+            ids, body, cut = [ids[k] for k in turn], [body[k] for k in turn], docs - sum(held)
             hash_parts, count_parts = [], []
             for part in by_bytes(body, SLICE):
                 hashes, _, _, counts = hashing.words([t.lower() for t in body[part]])
                 hash_parts.append(hashes)
                 count_parts.append(counts)
-            hashes, counts = map(np.concatenate, (hash_parts, count_parts))
-            owner = np.repeat(np.arange(docs), counts)
-            train = ~np.array(held, bool)
-            blank = np.array([i is None for i in ids])
-            numbers = np.array([i or 0 for i in ids], np.int64)
-            # words and an edge after each text: what precedes a text's first word is the edge before it
-            after = edged(v.of(hashes), counts)
-            if v.top is None:
-                del hashes, owner
+            counts = np.concatenate(count_parts)
+            names, after = np.unique(edged(np.concatenate(hash_parts), counts), return_inverse=True)
+            del hash_parts
+            before, second = preceding(after, counts, int(np.searchsorted(names, EDGE)))
             owners = np.repeat(np.arange(docs, dtype=np.uint16), counts + 1)
-            names, after = np.unique(after, return_inverse=True)
-            key = after * len(names)
-            key[1:] += after[:-1]
-            key[0] += np.searchsorted(names, EDGE)
-            del after
+            size = len(names)
+            key = after * size + before
+            del after, before
+            pairs = None
+            if size >= 1 << 21:  # three numbers don't fit into 64 bits
+                pairs, key = np.unique(key, return_inverse=True)
+            key = key * size + second
+            del second
             order = np.argsort(key, kind="stable")
             key, owners = key[order], owners[order]
             del order
-            # a pair of a document once, with the times that it occurs
+            # a triple of a document once, with the times that it occurs
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (owners[1:] != owners[:-1])))
             times = np.diff(new, append=len(key)).astype(np.uint32)
             key, owners = key[new], owners[new]
-            word = (key // len(names)).astype(np.int32)
-            before = (key % len(names)).astype(np.int32)
-            del key, new
-            # frequent pairs are scored here
+            del new
+            second, key = (key % size).astype(np.int32), key // size
+            key = key if pairs is None else pairs[key]
+            word, before = (key // size).astype(np.int32), (key % size).astype(np.int32)
+            del key
+            # frequent triples are scored here
             place = found(v.hot, names)
-            at = found(v.pairs, np.where((place[before] >= 0) & (place[word] >= 0), place[before] * len(v.hot) + place[word], -1))
-            here = np.flatnonzero(at >= 0)
-            count = v.hot_n[place[word[here]]]
-            unseen, weight, base = v.numbers(count)
-            plain = names[word[here]] != OTHER
-            sums = [np.log10(v.pairs_n[at[here]] + 10**unseen) + weight, np.where(plain, base, 0.0), plain & (count > 0)]
-            sums = [np.bincount(owners[here], x * times[here], docs) for x in sums]
-            about = _packed(numbers, (counts + 1).astype(np.int64), *sums, blank, ~train)
+            often2 = v.frequent(2, place[before], place[word])
+            often3 = v.frequent(3, place[second], place[before], place[word])
+            here = np.flatnonzero(often3 >= 0)
+            c1, c2, c3 = v.hot_n[place[word[here]]], v.often[2][1][often2[here]], v.often[3][1][often3[here]]
+            weight = np.where(names[word[here]] == EDGE, v.weight(v.texts, v.texts), v.weight(c2, c1))
+            sums = [np.zeros(docs, np.int64) for _ in range(3)]
+            for own, x in zip(sums, ((v.level3(c3, c2, c1) + weight) / UNIT, v.base(c1) / UNIT, c1 > 0)):
+                np.add.at(own, owners[here], np.rint(x).astype(np.int64) * times[here])
+            blank, numbers = np.array([i is None for i in ids]), np.array([i or 0 for i in ids], np.int64)
+            about = _packed(numbers, (counts + 1).astype(np.int64), *sums, blank, np.arange(docs) >= cut)
             yield _rows(_PACK, shard=[uid % v.shards], kind=[DOCS], uid=[uid], data=[about])
-            rest = np.flatnonzero(at < 0)
-            word, before, owners, times = (x[rest] for x in (word, before, owners, times))
-            del at, rest
-            shard = v.shards_of(names[before], names[word])
+            if len(here):
+                rest = np.flatnonzero(often3 < 0)
+                word, before, second, owners, times, often2 = (x[rest] for x in (word, before, second, owners, times, often2))
+            key = names[word]
+            pair = hashing.final(hashing.final(key + np.uint64(1)) ^ names[before])
+            key = np.where(place[word] >= 0, pair, key)
+            key = np.where(often2 >= 0, hashing.final(pair ^ names[second]), key)
+            shard = (key % np.uint64(v.shards)).astype(np.int64)
+            del key, pair, often2, often3
             order = np.argsort(shard.astype(np.uint16) if v.shards < 1 << 16 else shard, kind="stable")
             edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=v.shards))))
+            del shard
             out = []
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[s] : edges[s + 1]]
                 heads, run = np.unique(word[own], return_counts=True)
-                priors, place = np.unique(before[own], return_inverse=True)
-                sizes = np.array([len(own), len(heads), len(priors)], np.uint32)
-                out.append((s, BIGRAMS, _packed(sizes, names[heads], names[priors], run.astype(np.uint32), times[own].astype(np.uint32), place.astype(np.uint16), (place >> 16).astype(np.uint16), owners[own].astype(np.uint16), train[owners[own]])))
-            if v.top is not None:
-                rest = np.flatnonzero(found(v.top, hashes) < 0)
-                shard = (hashes[rest] % np.uint64(v.shards)).astype(np.int64)
-                order = rest[np.argsort(shard, kind="stable")]
-                edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=v.shards))))
-                for s in np.flatnonzero(np.diff(edges)).tolist():
-                    own = order[edges[s] : edges[s + 1]]
-                    out.append((s, OTHERS, _packed(hashes[own], owner[own].astype(np.uint16))))
-            for k in range(0, len(out), 16):
-                shards, kinds, data = zip(*out[k : k + 16])
-                yield _rows(_PACK, shard=shards, kind=kinds, uid=[uid] * len(data), data=data)
+                priors, at = np.unique(np.concatenate((before[own], second[own])), return_inverse=True)
+                steps = [np.diff(x, prepend=np.uint64(0)) for x in (names[heads], names[priors] >> SHORT)]
+                at = at.astype(np.uint32)
+                out.append((s, _planed(np.array([cut], np.uint32), *steps, run.astype(np.uint32), at[: len(own)], at[len(own) :], times[own], owners[own])))
+                if len(out) == 16:
+                    yield _rows(_PACK, shard=[x for x, _ in out], kind=[TRIGRAMS] * 16, uid=[uid] * 16, data=[x for _, x in out])
+                    out = []
+            if out:
+                yield _rows(_PACK, shard=[x for x, _ in out], kind=[TRIGRAMS] * len(out), uid=[uid] * len(out), data=[x for _, x in out])
 
         ids, body, held, size = [], [], [], 0
         for batch in batches:
@@ -448,70 +546,78 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _sums(uid: int, owner: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-    """Sums of a packet's documents in one shard."""
-    docs = int(owner.max()) + 1
-    there = np.flatnonzero(np.bincount(owner, minlength=docs))
-    parts = [np.bincount(owner, x, docs)[there] for x in (score, base, known)]
-    return _rows(_PART, uid=[uid], kind=[OTHERS], data=[_packed(*parts, there.astype(np.uint16))])
-
-
-def _pairs(data: bytes) -> list[np.ndarray]:
-    """Of a packet's pairs in one shard, sorted by (word, before): words, their rows, words before, times, places among these, documents, training."""
-    raw = zstandard.decompress(data)
-    rows, heads, priors = np.frombuffer(raw, "u4", 3).tolist()
-    out, at = [], 12
-    for kind, n in (("u8", heads), ("u8", priors), ("u4", heads), ("u4", rows), ("u2", rows), ("u2", rows), ("u2", rows), ("?", rows)):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    words, before, run, times, low, high, owner, train = out
-    return [words, run, before, times, low.astype(np.int32) | high.astype(np.int32) << 16, owner, train]
+def _triples(data: bytes) -> list:
+    """Of a packet's triples in one shard, sorted by (word, before, second): words, first row of each and the last one's end, other words, places
+    of before and second among these, times, documents that occur, places among these, and the number of training documents."""
+    cut, words, others, run, before, second, times, owner = _unplaned(data, "u4", "u8", "u8", "u4", "u4", "u4", "u4", "u2")
+    docs, owner = np.unique(owner, return_inverse=True)
+    return [np.cumsum(words), np.concatenate(([0], np.cumsum(run, dtype=np.int64))), np.cumsum(others), before, second, times, docs, owner.astype(np.uint16), int(cut[0])]
 
 
 def _scorer(sent):
     def solve(v: Words, packets: dict[int, list[tuple[int, bytes]]]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpacked(d, "i8", "i8") for _, d in packets.get(TABLE, [])]
+        parts = [_unpacked(d, "i8", "i8") for _, d in packets.pop(TABLE, [])]
         key = np.concatenate([p[0].view(np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
         order = np.argsort(key)
         key, count = key[order], np.concatenate([p[1] for p in parts])[order] if parts else np.zeros(0, np.int64)
-
-        def counts_of(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-            at = found(keys, hashes)
-            return np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-
-        pairs = [(uid, *_pairs(d)) for uid, d in packets.pop(BIGRAMS, [])]
-        if pairs:
-            words = np.unique(np.concatenate([p[1] for p in pairs]))
-            priors = np.unique(np.concatenate([p[3] for p in pairs]))
-            ids = max(len(words), len(priors))
-            keys = [np.repeat(np.searchsorted(words, w), run) * ids + np.searchsorted(priors, b)[place] for _, w, run, b, _, place, _, _ in pairs]
-            own = np.maximum(counts_of(words, key, count), counts_of(words, v.hot, v.hot_n))
-            unseen, weight, base = v.numbers(own)
-            plain = words != OTHER  # of the class, shares are scored
-            base, known = np.where(plain, base, 0.0), (plain & (own > 0)).astype(float)
-            pairs = [(uid, times, owner, train) for uid, _, _, _, times, _, owner, train in pairs]
-            seen = np.concatenate([k[p[3]] for k, p in zip(keys, pairs)])
-            order = np.argsort(seen, kind="stable")
-            seen, times = seen[order], np.concatenate([p[1][p[3]] for p in pairs])[order].astype(np.int64)
-            del order
-            first = np.flatnonzero(np.diff(seen, prepend=-1))
-            seen, times = seen[first], np.add.reduceat(times, first) if len(first) else times
-            word, before = seen // ids, seen % ids
-            with tempfile.TemporaryDirectory() as folder:
-                Trie.build(folder, word, before, np.log10(times + 10 ** unseen[word]), weight, ids)
-                del word, before, seen, times, first
-                trie = Trie(folder)
-                for (uid, times, owner, _), asked in zip(pairs, keys):
-                    first = np.diff(asked, prepend=-1) != 0
-                    word = asked[first] // ids
-                    where = np.cumsum(first) - 1
-                    own = word[where]
-                    yield _sums(uid, owner.astype(np.int64), trie.score(word, asked[first] % ids, unseen, weight)[where] * times, base[own] * times, known[own] * times)
-                del trie
-        for uid, d in packets.get(OTHERS, []):
-            hashes, owner = _unpacked(d, "u8", "u2")
-            c = counts_of(hashes, key, count)
-            yield _sums(uid, owner.astype(np.int64), np.log10((c + 1) / (v.other_n + v.other_v + 1)), v.numbers(c)[2], (c > 0).astype(float))
+        cells = [(uid, _triples(d)) for uid, d in packets.pop(TRIGRAMS, [])]
+        if not cells:
+            return
+        heads, where = np.unique(np.concatenate([c[0] for _, c in cells]), return_inverse=True)
+        rows = np.cumsum(np.bincount(where, np.concatenate([np.diff(c[1]) for _, c in cells])))
+        c1 = np.zeros(len(heads), np.int64)
+        for keys, n in ((key, count), (v.hot, v.hot_n)):
+            at = found(keys, heads)
+            c1 = np.maximum(c1, np.where(at >= 0, n[at] if len(n) else 0, 0))
+        del key, count, order, parts, where
+        sums = [np.zeros((3, len(c[6])), np.int64) for _, c in cells]
+        first = np.flatnonzero(np.diff(rows // RANGE, prepend=-1))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(heads)]):
+            _range(v, [c for _, c in cells], sums, heads[a:b], c1[a:b])
+        for (uid, c), own in zip(cells, sums):
+            yield _rows(_PART, uid=[uid], kind=[TRIGRAMS], data=[_planed(*own, c[6])])
+
+    def _range(v: Words, cells: list, sums: list[np.ndarray], words: np.ndarray, c1: np.ndarray) -> None:
+        """Add what the rows of ``words`` give to the sums of each cell's documents."""
+        parts = []
+        for heads, edge, other, before, second, times, _, owner, cut in cells:
+            lo, hi = np.searchsorted(heads, words[0]), np.searchsorted(heads, words[-1], side="right")
+            own = slice(edge[lo], edge[hi])
+            number = np.repeat(np.searchsorted(words, heads[lo:hi]), np.diff(edge[lo : hi + 1]))
+            parts.append((number, other, before[own], second[own], times[own], owner[own]))
+        others = np.unique(np.concatenate([p[1][np.unique(np.concatenate(p[2:4]))] for p in parts]))
+        ids = len(others)
+        pair, second = [], []
+        for number, other, before, before2, _, _ in parts:
+            at = np.searchsorted(others, other)
+            pair.append(number * ids + at[before])
+            second.append(at[before2].astype(np.int32))
+        times = np.concatenate([p[4] for p in parts])
+        learned = times * np.concatenate([c[6][p[5]] < c[8] for c, p in zip(cells, parts)])
+        pair, of_pair = np.unique(np.concatenate(pair), return_inverse=True)
+        c2 = np.bincount(of_pair, learned, len(pair)).astype(np.int64)
+        triple, of_triple = np.unique(of_pair * ids + np.concatenate(second), return_inverse=True)
+        del of_pair, second
+        c3 = np.bincount(of_triple, learned, len(triple)).astype(np.int64)
+        del learned
+        if len(v.often[2][1]):  # pairs dealt over several shards have their whole count from the list
+            at = v.frequent(2, found(v.hot >> SHORT, others)[pair % ids], found(v.hot, words)[pair // ids])
+            c2 = np.where(at >= 0, v.often[2][1][at], c2)
+        parent, second = triple // ids, triple % ids
+        seen2, seen3 = np.flatnonzero(c2), np.flatnonzero(c3)
+        trie = Trie(c1, pair[seen2], c2[seen2], np.searchsorted(seen2, parent[seen3]) * ids + second[seen3], c3[seen3], ids, v, int(found(words, np.array([EDGE]))[0]))
+        del seen2, seen3, c2, c3, triple
+        score = np.rint(trie.score(pair, parent, second) / UNIT).astype(np.int64)
+        del trie, second
+        word = (pair // ids)[parent]
+        del pair, parent
+        base, known = np.rint(v.base(c1) / UNIT).astype(np.int64), (c1 > 0).astype(np.int64)
+        begin = 0
+        for own, (*_, t, owner) in zip(sums, parts):
+            which = of_triple[begin : begin + len(t)]
+            begin += len(t)
+            for k, x in enumerate((score[which], base[word[which]], known[word[which]])):
+                np.add.at(own[k], owner, x * t)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Words = sent.value
@@ -536,7 +642,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(about: list[np.ndarray], total: np.ndarray) -> pa.RecordBatch:
         numbers, tokens, blank, held = about
         ids = pa.array(numbers, pa.int64(), mask=blank)
-        return _rows(_ROW, doc_id=ids, held_out=held, n_tokens=tokens, n_known=np.rint(total[2]).astype(np.int64), base_score=total[1], score=total[0])
+        return _rows(_ROW, doc_id=ids, held_out=held, n_tokens=tokens, n_known=total[2], base_score=total[1] * UNIT, score=total[0] * UNIT)
 
     about, total = None, None
     for batch in batches:
@@ -544,10 +650,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == DOCS:
                 if about:
                     yield close(about, total)
-                numbers, tokens, *sums, blank, out = _unpacked(data, "i8", "i8", "f8", "f8", "f8", "?", "?")
+                numbers, tokens, *sums, blank, out = _unpacked(data, "i8", "i8", "i8", "i8", "i8", "?", "?")
                 about, total = [numbers, tokens, blank, out], np.array(sums)
             else:
-                *sums, owner = _unpacked(data, "f8", "f8", "f8", "u2")
+                *sums, owner = _unplaned(data, "i8", "i8", "i8", "u2")
                 total[:, owner] += np.array(sums)
     if about:
         yield close(about, total)
@@ -558,7 +664,7 @@ def _hashes(frame) -> np.ndarray:
 
 
 def _learned(rows: DataFrame) -> tuple[Words, DataFrame]:
-    """The model's sizes and frequent words and pairs, and the counts of training words (hash, n)."""
+    """The model's sizes and frequent n-grams, and the counts of training words (hash, n)."""
     spark = rows.sparkSession
     texts_in = rows.select((~F.col("held_out")).alias("train"), "text")
     counted = texts_in.mapInArrow(_count, COUNT)
@@ -568,14 +674,16 @@ def _learned(rows: DataFrame) -> tuple[Words, DataFrame]:
     n, v = totals.get(0, (0, 0))[0] + texts, totals.get(0, (0, 0))[1] + (texts > 0)
     words = counts.filter("kind = 0 and n > 0").select("hash", "n")
     shards = max(8, tokens // SHARD)
+    # at most four n-grams of an order to a shard
     frequent = F.col("n") + F.col("held") > max(1.0, tokens / shards / 4)
-    hot = counts.filter("kind = 0").filter(frequent).select("hash", "n").toPandas()  # at most four to a shard
-    top = words.orderBy(F.desc("n"), "hash").limit(VOCABULARY).toPandas() if VOCABULARY is not None else None  # a list of fixed length
-    limits = () if top is None else (_hashes(top), int(top["n"].sum()))
-    made = Words(texts, n, v, shards, _hashes(hot), hot["n"].to_numpy(np.int64), *limits)
-    pairs = texts_in.mapInArrow(_count_pairs(spark.sparkContext.broadcast(made)), COUNT).groupBy("hash").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
-    pairs = pairs.filter(frequent).select("hash", "n").toPandas().sort_values("hash")  # at most four to a shard
-    made.pairs, made.pairs_n = pairs["hash"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
+    hot = counts.filter("kind = 0").filter(frequent).select("hash", "n").toPandas()
+    made = Words(texts, n, v, shards, _hashes(hot), hot["n"].to_numpy(np.int64))
+    for order in (2, 3):
+        often = texts_in.mapInArrow(_count_often(spark.sparkContext.broadcast(made), order), COUNT).groupBy("hash").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+        often = often.filter(frequent).select("hash", "n").toPandas().sort_values("hash")
+        made.often[order] = often["hash"].to_numpy(np.int64), often["n"].to_numpy(np.int64)
+        if not len(often):
+            break
     return made, words
 
 
