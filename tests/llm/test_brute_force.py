@@ -12,8 +12,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import hashing, lm, ngram_join, packing, quality, queries, suffix
+from tidemark.llm import hashing, lm, ngram_join, packing, quality, queries, suffix, toxicity
 
 from ..oracle import assert_same, by_sql
 from tidemark.llm import oracle_sql
@@ -63,6 +64,21 @@ def test_suffix_dedup(spark, sf, texts, hot, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("least", [200, 37])
+def test_passages_of_any_length(spark, sf, texts, least):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["text"])
+    own = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    count = collections.Counter(t[i : i + least] for t in own.values() for i in range(len(t) - least + 1))
+    got = {r.doc_id: r.text for r in suffix.deduplicated(docs, least).collect()}
+    for i, t in own.items():
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - least + 1):
+            if count[t[k : k + least]] > 1:
+                gone[k : k + least] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone]).decode("utf-8", "ignore")
+        assert got.get(i, "") == (kept if kept.split() else "")
+
+
 def shingle_set(text):
     w = text.split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
@@ -271,6 +287,41 @@ def test_trees_learn_and_flatten():
     assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
 
 
+def test_toxicity_scores_are_those_of_plain_compression(spark, sf, texts):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels, "toxic", lambda i: F.lit(True))
+    packs = [toxicity.Distance._compressor(x) for x in (model.distance.ordinary, model.distance.toxic)]
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t in list(texts.items())[:60]:
+        windows = [b" " + w + b" " + toxicity.FRAME for w in t.lower().split()]
+        gaps = [len(packs[0].compress(w)) - len(packs[1].compress(w)) for w in windows]
+        above = [sum(g >= k for g in gaps) for k in range(1, toxicity.GAPS)] + [sum(g >= toxicity.GAPS for g in gaps)]
+        x = np.array([100 * a / (len(gaps) + 50) for a in above] + [math.log1p(a) for a in above])
+        z = (x - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_quality_statistics_and_votes_by_hand(spark, sf, texts):
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), "quality", lambda i: F.lit(True))
+    got = {r.doc_id: r._score for r in quality.score(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), model).collect()}
+    for i, t in list(texts.items())[:60]:
+        x, total = quality.features([t])[0], model.prior
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + bool(x[feature[node]] > threshold[node])
+            total += leaf[node - len(feature)]
+        assert math.isclose(got[i], 1 / (1 + math.exp(-total)), rel_tol=1e-6)
+
+
+def test_samples_are_bounded_by_ids(spark):
+    rows = [(k % 5, f"text {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 0), (2, 2, 2), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert sorted(tuple(r) for r in toxicity.sampled(docs, labels, "toxic", lambda i: F.lit(True)).collect()) == [(0, "text 1"), (1, "text 0")]
+    quality.train(docs, labels, "quality", lambda i: F.lit(True))
+
+
 @pytest.mark.parametrize(("name", "label", "modulus", "rest"), [("op2_quality_classifier", "quality", 3, 1), ("op6_toxicity", "toxic", 5, 0)])
 def test_held_out_accuracy(spark, name, label, modulus, rest):
     sf = "/root/testdata/sf0.01"

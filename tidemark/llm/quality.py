@@ -126,10 +126,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str, learn) -> Trees:
     """Fit on the sample of ``labels`` for which the condition ``learn(doc_id)`` holds."""
     prepare(docs.sparkSession)
-    known = labels.filter(learn(F.col("doc_id")) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    known = labels.filter(learn(F.col("doc_id")) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").alias("_of")).agg(F.max(label).cast("double").alias("_label"))
     known = known.orderBy(F.xxhash64("_of"), "_of").limit(SAMPLE)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_of"))  # at most SAMPLE rows are sent
+    rows = rows.groupBy("_of", "_label").agg(F.min("text").alias("text"))  # repeated ids don't enlarge the sample
     rows = rows.select(F.col("_label").alias("label"), "text").mapInArrow(_features, "label double, " + ", ".join(f"{f} double" for f in FEATURES))
     data = rows.toPandas().sort_values(["label", *FEATURES], ignore_index=True)  # the fit must not depend on task order
     return fit(data[list(FEATURES)].to_numpy(float), data["label"].to_numpy(float))
