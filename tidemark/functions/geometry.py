@@ -48,6 +48,17 @@ def gap(a: Column, b: Column) -> Column:
     return F.hypot(dx.cast("double"), dy.cast("double"))
 
 
+def relation(a: Column, b: Column) -> Column:
+    """Where two rectangles lie to each other: overlapping, beside (they share rows), above or below (they share columns), else diagonal."""
+    rows = F.least(a["y1"], b["y1"]) > F.greatest(a["y0"], b["y0"])
+    columns = F.least(a["x1"], b["x1"]) > F.greatest(a["x0"], b["x0"])
+    return F.when(rows & columns, "overlap").when(rows, "beside").when(columns & (a["y1"] <= b["y0"]), "above").when(columns, "below").otherwise("diagonal")
+
+
+def centre_distance(a: Column, b: Column) -> Column:
+    return F.hypot((a["x0"] + a["x1"] - b["x0"] - b["x1"]).cast("double"), (a["y0"] + a["y1"] - b["y0"] - b["y1"]).cast("double")) / 2
+
+
 def cells(a: Column, size: int = CELL) -> Column:
     """Grid cells that a rectangle touches, as one number each."""
     xs = F.sequence(F.floor(a["x0"] / size), F.greatest(F.floor((a["x1"] - 1) / size), F.floor(a["x0"] / size)))

@@ -140,3 +140,35 @@ def recurrences(rows: DataFrame, key: list[str], time: str, least: float, most:
     out = rows.withColumn("step", F.col(time) - F.lag(time).over(w)).withColumn("recurs", F.coalesce((F.col("step") >= least) & (F.col("step") <= most), F.lit(False)))
     recent = Window.partitionBy(*key).orderBy(time).rangeBetween(-within, 0)
     return out.withColumn("n_recent", F.sum(F.col("recurs").cast("int")).over(recent)).withColumn("confirmed", F.col("n_recent") >= times)
+
+
+def fallback_segments(rows: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
+    """``rows`` with ``place`` (from 0) and ``segment``, their number among segments of ``size`` rows, from 1."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w) - 1).withColumn("segment", (F.floor(F.col("place") / size) + 1).cast("int"))
+
+
+def repaired_boundaries(proposed: DataFrame, places: DataFrame, key: list[str]) -> DataFrame:
+    """Boundaries as key, place, label. proposed: key, id, label, pos; places: key, id, place. Unknown ids go, of several proposals for a place the first by ``pos``
+    counts, and place 0 is always a boundary, "segment 1" if nothing names it."""
+    known = proposed.join(places, [*key, "id"]).groupBy(*key, "place").agg(F.min_by("label", "pos").alias("label"))
+    starts = places.select(*key).distinct().withColumn("place", F.lit(0)).withColumn("_forced", F.lit("segment 1"))
+    both = known.join(starts, [*key, "place"], "full_outer")
+    return both.select(*key, F.col("place").cast("int").alias("place"), F.coalesce("label", "_forced").alias("label"))
+
+
+def chapter_starts(steps: DataFrame, chapters: list[float], key: list[str], at: str, place: str) -> DataFrame:
+    """The first step at or after each chapter's start, as key, place, label ("chapter 1", ...); chapters that share a first step are one. ``chapters``: starts, a short list by contract."""
+    starts = F.array(*[F.lit(float(c)) for c in sorted(chapters)])
+    # of a step: the chapters that began by then; a chapter's first step is the least place among them
+    begun = steps.select(*key, F.col(place).alias("place"), F.explode(F.filter(starts, lambda c: c <= F.col(at))).alias("_c"))
+    first = begun.groupBy(*key, "_c").agg(F.min("place").alias("place")).select(*key, "place").distinct()
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("place"))
+    return first.select(*key, "place", F.concat(F.lit("chapter "), number).alias("label"))
+
+
+def parts_of(rows: DataFrame, key: list[str], order: list[str], most: int, size: int) -> DataFrame:
+    """``rows`` with ``part``: keys of over ``most`` rows are cut into parts of ``size``, others are one part."""
+    w = Window.partitionBy(*key)
+    place = F.row_number().over(w.orderBy(*order)) - 1
+    return rows.withColumn("part", F.when(F.count("*").over(w) > most, F.floor(place / size)).otherwise(0).cast("int"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import events, retrieval
+from . import events, retrieval, runs
 
-_MODULES = (retrieval, events)
+_MODULES = (retrieval, events, runs)
 
 
 def queries() -> dict:
