@@ -90,6 +90,34 @@ class Index:
         return scored.groupBy("node_id").agg(F.sum(idf * weight).alias("score"))
 
 
+def _folding(token: str) -> list[str]:
+    """Patterns of a folded token's characters that also find them with diacritics."""
+    marked = {p: "".join(m for m, q in zip(tx.MARKED, tx.PLAIN) if q == p) for p in set(tx.PLAIN)}
+    return [f"[{c}{marked[c]}]" if c in marked else re.escape(c) for c in token]
+
+
+def _phrase(tokens: list[list[str]], between: str) -> str:
+    """A pattern of whole tokens in a row. What precedes is looked at after the first character has matched, which few places do; all but that
+    character is looked ahead at, so that overlapping phrases count."""
+    first = tokens[0][0]
+    rest = between.join("".join(t) for t in [tokens[0][1:], *tokens[1:]])
+    return f"{first}(?<!{tx.TOKEN}{first})(?={rest}(?!{tx.TOKEN}))"
+
+
+def _occurrences(text: Column, term: str) -> Column:
+    """Places where ``term`` begins, overlapping ones too. A term that can't overlap itself is counted by what its removal takes away."""
+    if any(term[k:] == term[:-k] for k in range(1, len(term))):
+        return F.regexp_count(text, F.lit("(?=" + re.escape(term) + ")"))
+    left = F.octet_length(F.replace(text, F.lit(term), F.lit("")))
+    return ((F.octet_length(text) - left) / len(term.encode())).cast("int")
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """``texts`` dealt over all cores where their scan makes fewer than four tasks a core (small tables and such of few row groups leave cores idle); others stay as they are."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < 4 * cores else texts
+
+
 @dataclass
 class Scan:
     """The same scores without an index: one narrow pass over the texts counts a query's phrases. For texts that are searched once."""
@@ -100,26 +128,29 @@ class Scan:
         wanted = [t for x in terms(query) if (t := _tokens(x, tokenizer))]
         if not wanted:
             return self.nodes.select("node_id", F.lit(0.0).alias("score")).limit(0)
+        low = F.lower("text")
         if tokenizer == "trigram":
-            low = F.lower("text")
+            # a phrase of trigrams is the substring itself
             length = F.greatest(F.length(low) - 2, F.lit(0))
-            # a phrase of trigrams is the substring itself; lookahead counts overlapping places
-            patterns = ["(?=" + re.escape(t[0] + "".join(x[2] for x in t[1:])) + ")" for t in wanted]
+            counts = [_occurrences(low, t[0] + "".join(x[2] for x in t[1:])) for t in wanted]
         else:
-            low = tx.fold(F.col("text"))
+            # diacritics are folded in the patterns, not in the texts
             length = F.regexp_count(low, F.lit(f"{tx.TOKEN}+"))
             other = f"[^{tx.TOKEN[1:-1]}]+"
-            patterns = [f"(?<!{tx.TOKEN})(?=" + other.join(map(re.escape, t)) + f"(?!{tx.TOKEN}))" for t in wanted]
-        counts = [F.regexp_count(low, F.lit(p)).alias(f"tf{k}") for k, p in enumerate(patterns)]
-        rows = self.nodes.select("node_id", length.alias("dl"), *counts)
+            counts = [F.regexp_count(low, F.lit(_phrase([_folding(x) for x in t], other))) for t in wanted]
+        counts = [c.alias(f"tf{k}") for k, c in enumerate(counts)]
+        # what is counted moves once, as numbers, and serves both the statistics and the scores: the exchange is reused
+        rows = spread(self.nodes).select("node_id", length.alias("dl"), *counts).repartition("node_id")
         found = [F.col(f"tf{k}") > 0 for k in range(len(wanted))]
         total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count_if(x).alias(f"df{k}") for k, x in enumerate(found)))  # one row
-        score, some = F.lit(0.0), F.lit(False)
+        score = F.lit(0.0)
         for k, x in enumerate(found):
             idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
             weight = F.col(f"tf{k}") * (K1 + 1) / (F.col(f"tf{k}") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-            score, some = score + F.when(x, F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * weight).otherwise(0.0), some | x
-        return rows.filter(some).crossJoin(F.broadcast(total)).select("node_id", score.alias("score"))
+            score = score + F.when(x, F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * weight).otherwise(0.0)
+        # a condition on both sides stays above the join, so that the sides' exchanges stay equal
+        some = F.col("n") * F.greatest(*[F.col(f"tf{k}") for k in range(len(wanted))], F.lit(0)) > 0
+        return rows.crossJoin(F.broadcast(total)).filter(some).select("node_id", score.alias("score"))
 
 
 def filters(video_id: str | None = None, level: str | None = None, t_from: float | None = None, t_to: float | None = None, app: str | None = None) -> Column:
@@ -198,7 +229,7 @@ def search(index: Index | Scan, query: str, limit: int | None = None, collapse:
     return out.withColumn("members", F.coalesce("members", F.lit(1)).cast("long")).withColumn("member_ids", F.coalesce("member_ids", F.array("node_id")))
 
 
-def knn(vectors: DataFrame, query: Column, k: int, embedding: str = "embedding") -> DataFrame:
-    """The ``k`` nearest by Euclidean distance; a top-k needs no full sort."""
+def knn(vectors: DataFrame, query: Column, k: int, unique: str, embedding: str = "embedding") -> DataFrame:
+    """The ``k`` nearest by Euclidean distance, ties by ``unique``; a top-k needs no full sort."""
     distance = F.sqrt(F.aggregate(F.zip_with(embedding, query, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    return vectors.withColumn("distance", distance)
+    return vectors.withColumn("distance", distance).orderBy("distance", unique).limit(k)

@@ -106,8 +106,7 @@ def search_collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     query = vectors.agg(F.min_by("embedding", "vec_id").alias("query"))  # one row
-    near = op.knn(vectors.crossJoin(F.broadcast(query)), F.col("query"), 50).select("vec_id", "label", F.round("distance", 5).alias("distance"))
-    near = near.orderBy("distance", "vec_id").limit(50)
+    near = op.knn(vectors.crossJoin(F.broadcast(query)), F.col("query"), 50, "vec_id").select("vec_id", "label", F.round("distance", 5).alias("distance"))
     return near.filter(F.col("label").isNotNull()).select("vec_id", "distance", F.col("label").cast("string").alias("label"))
 
 
