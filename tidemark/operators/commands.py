@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm
+from .matching import containing
 
 
 def scorable(entries: DataFrame) -> DataFrame:
@@ -16,11 +17,10 @@ def scorable(entries: DataFrame) -> DataFrame:
 def matching_lifetimes(entries: DataFrame, lifetimes: DataFrame) -> DataFrame:
     """(entry, lifetime, rank): lifetimes whose normalised text contains the entry's, case kept, by first frame, then number of the id.
 
-    Entries are a list made by hand; the containment test is a nested loop over that list only. ``explode`` keeps the loop from normalising again.
+    Entries meet lifetimes by a word of theirs (see ``matching.containing``).
     """
     e = entries.select("entry", norm(F.col("text")).alias("want"))
-    life = lifetimes.select("lifetime", "first_frame", F.explode(F.array(norm(F.col("text")))).alias("have"))
-    both = life.join(e, F.contains("have", "want"))
+    both = containing(lifetimes.select("lifetime", "first_frame", norm(F.col("text")).alias("have")), e, "have", "want")
     number = F.regexp_extract("lifetime", r"(\d+)", 1).cast("long")
     w = Window.partitionBy("entry").orderBy("first_frame", number)
     return both.select("entry", "lifetime", "first_frame", F.row_number().over(w).alias("rank"))

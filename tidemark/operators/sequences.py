@@ -111,12 +111,15 @@ def collapsed_ranges(rows: DataFrame, key: list[str], start: str, end: str) -> D
 def first_range(rows: DataFrame, ranges_: DataFrame, at: str, start: str, end: str, order: str) -> DataFrame:
     """``rows`` with the first (by ``order``) half-open range [start, end) that holds ``at``; null columns where none does.
 
-    Ranges are a short list by contract (chapters of a recording, dates of a calendar); beyond ``spark.sql.autoBroadcastJoinThreshold`` Spark
-    compares them without a broadcast.
+    Ranges are a short list by contract (chapters of a recording, dates of a calendar): they travel as one row's array, and no row of ``rows`` moves.
     """
-    both = rows.withColumn("_id", F.monotonically_increasing_id()).join(ranges_, (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)), "left")
-    w = Window.partitionBy("_id").orderBy(F.asc_nulls_last(order))
-    return both.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "_id")
+    names = ranges_.columns
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*names).alias("r"))))
+    one = ranges_.agg(F.transform(F.filter(listed, lambda x: x["_o"].isNotNull()), lambda x: x["r"]).alias("a"), F.transform(F.filter(listed, lambda x: x["_o"].isNull()), lambda x: x["r"]).alias("b"))
+    one = one.select(F.concat("a", "b").alias("_ranges"))
+    held = F.filter("_ranges", lambda r: (F.col(at) >= r[start]) & (F.col(at) < r[end]))
+    out = rows.crossJoin(F.broadcast(one)).withColumn("_r", F.get(held, F.lit(0))).drop("_ranges")
+    return out.select(*rows.columns, *(F.col(f"_r.{n}").alias(n) for n in names))
 
 
 def parents(children: DataFrame, spans: DataFrame, position: str, first: str, last: str, parent_order: str) -> DataFrame:

@@ -161,7 +161,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_join_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = spark.createDataFrame([(f"c{k + 1}", 1704067200.0 + 5 * 86400.0 * k, 1704067200.0 + 5 * 86400.0 * (k + 1) + 86400.0, k) for k in range(5)], "chapter string, start_s double, end_s double, pos int")
-    found = sq.first_range(_events(spark, sf_dir).select("event_id", "t"), F.broadcast(chapters), "t", "start_s", "end_s", "pos")  # five rows
+    found = sq.first_range(_events(spark, sf_dir).select("event_id", "t"), chapters, "t", "start_s", "end_s", "pos")
     return found.groupBy("chapter").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as op
+from ..operators.matching import containing
 from .common import table
 
 QUERY = 'idiot license "of the"'
@@ -118,11 +119,10 @@ def doc_norm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bench_findability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item, by normalised text. Items are a fixed small list; the containment test is a nested loop by nature, over items only."""
+    """Documents that contain a benchmark item, by normalised text."""
     items = table(spark, sf_dir, "benchmark").select("item_id", tx.norm(F.coalesce("text", F.lit(""))).alias("item")).filter(F.length(F.regexp_replace("item", " ", "")) >= 4)
-    # explode is a barrier: without it the join's loop would normalise a text once per item
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(tx.norm(F.coalesce("text", F.lit(""))))).alias("t"))
-    hits = docs.join(items, F.contains("t", "item")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.norm(F.coalesce("text", F.lit(""))).alias("t"))
+    hits = containing(docs, items, "t", "item").groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     return items.join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc")
 
 
