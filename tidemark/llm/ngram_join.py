@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import by_bytes, prepare, table, texts_of, written
+from .common import by_bytes, forget, prepare, table, texts_of, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -283,6 +283,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     rows = texts.join(member.hint("merge"), F.col("node") == F.col("key")).select("component", "a", "b", "tile", "key", "body")
     rows = rows.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
     found = written(rows.mapInArrow(_blocks, "key binary, root binary, links long"), "linked")
+    forget(member)
     many = written(found.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("root").alias("last")), "texts")
     if many.filter("root <> last").isEmpty():  # every component was one block, whose roots are final
         return many.select("key", "root", "links")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import prepare, table, texts_of, written
+from .common import forget, prepare, table, texts_of, written
 from .ngram_join import _fresh, _first_texts
 
 LEAST = 400
@@ -360,7 +360,8 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     block = F.pmod(F.xxhash64("anchor"), F.lit(blocks))
     cold = parts.filter("not hot").select(block.alias("block"), "anchor", "run", "many", "body")
     found = cold.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(least), FOUND)
-    if not anchors.filter(F.col("different") > HOT).isEmpty():
+    hot = not anchors.filter(F.col("different") > HOT).isEmpty()
+    if hot:
         windows = written(parts.filter("hot").select("anchor", "run", "many", "body").mapInArrow(_windows(least), WINDOW).distinct(), "windows")
         again = windows.groupBy("one", "two").agg(F.count("*").alias("n"), F.max("many").alias("m")).filter("n > 1 or m").select("one", "two")
         places = windows.join(again, ["one", "two"]).groupBy("anchor", "run").agg(F.array_sort(F.collect_list("place")).alias("froms"))
@@ -368,6 +369,8 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # equal runs throughout: all windows repeat
     whole = kinds.join(anchors.filter("different = 1"), "anchor").select("anchor", "run", F.array(F.lit(0)).alias("froms"), F.array("windows").alias("tos"))
     found = written(found.unionByName(whole), "found")
+    for done in [kinds, anchors, parts, *([windows] if hot else [])]:
+        forget(done)
     spans = own.select("packet", "number", "anchor", "run").join(found.hint("merge"), ["anchor", "run"]).select("packet", "number", "froms", "tos", F.lit(None).cast("binary").alias("places"))
     nothing = F.lit(None).cast("array<int>")
     spans = spans.unionByName(every.filter("number < 0").select("packet", "number", nothing.alias("froms"), nothing.alias("tos"), "places"))
