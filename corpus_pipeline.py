@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next stage's
 docs; all but the last give the columns of documents.
+
+Null texts count as empty ones: they are scored like any text, are near duplicates of nothing but their copies, and go with the passages, since no text is
+left of them. Repeated rows and equal texts are copies, of which one stays, that of the least doc_id (a null id only if the class has no other); other ties need no rule. Empty tables pass through
+as empty ones. Extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, ngram_join, packing, quality, suffix
-from tidemark.llm.common import free_name, split_of, table, written
+from tidemark.llm.common import forget, free_name, split_of, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = source = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if before is not source:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
