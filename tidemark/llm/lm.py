@@ -48,9 +48,9 @@ from .common import by_bytes, prepare, split_of, table, texts_of, written
 #: Mass of the unigram among a bigram's counts, and of bigram counts among a trigram's.
 MU, KAPPA = 30.0, 0.02
 #: Tokens that a shard should have, and rows of it that are worked on at once.
-SHARD, RANGE = 4_000_000, 500_000
+SHARD, RANGE = 2_500_000, 500_000
 #: Bytes of text packed together; a packet has at most 2**16 documents.
-PACKET = 8 << 20
+PACKET = 4 << 20
 #: Bytes of text hashed at once.
 SLICE = 1 << 20
 EDGE = np.uint64(0)  # in place of a hash: the boundary of a text
