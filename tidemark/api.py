@@ -12,7 +12,7 @@ from .operators import search as op
 
 @dataclass
 class Store:
-    """A folder with an index (postings, lengths, nodes) and the tables of its runs: changes, boxes, and summaries if there are any."""
+    """A folder with an index (postings, statistics, nodes) and the tables of its runs: changes, boxes, and summaries if there are any."""
 
     spark: SparkSession
     path: str

@@ -1,7 +1,7 @@
 """Ranked retrieval: an inverted index over words and trigrams, BM25, families, fusion and run collapsing.
 
 Nodes: node_id, video_id, level, ordinal (place of a frame among frames, null for other levels), t_start, t_end, apps, text.
-The index is a table of postings (tokenizer, term, node_id, positions) and one of lengths, built once. A query reads its own few terms
+The index is a table of postings (tokenizer, term, node_id, positions, length of the node) and one of statistics, built once. A query reads its own few terms
 from it: the term filter reaches the scan, the rows that match it are the only ones shuffled.
 """
 
@@ -38,30 +38,32 @@ def _tokens(term: str, tokenizer: str) -> list[str]:
 @dataclass
 class Index:
     postings: DataFrame
-    lengths: DataFrame
+    stats: DataFrame
     nodes: DataFrame
 
     @staticmethod
     def build(nodes: DataFrame) -> Index:
-        """Lazily; ``save`` stores it."""
+        """Lazily; ``save`` stores it. A posting carries its node's length, so that a query reads its terms' postings and two rows of statistics."""
         parts = []
         for name, of in (("word", tx.words), ("trigram", tx.trigrams)):
-            parts.append(nodes.select(F.lit(name).alias("tokenizer"), "node_id", F.posexplode(of(F.col("text"))).alias("position", "term")))
+            tokens = spread(nodes).select("node_id", of(F.col("text")).alias("t"))
+            parts.append(tokens.select(F.lit(name).alias("tokenizer"), "node_id", F.size("t").alias("dl"), F.posexplode("t").alias("position", "term")))
         flat = parts[0].unionByName(parts[1])
-        postings = flat.groupBy("tokenizer", "term", "node_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        lengths = nodes.select("node_id", F.size(tx.words(F.col("text"))).alias("word"), F.greatest(F.length(F.lower("text")) - 2, F.lit(0)).alias("trigram"))
-        return Index(postings, lengths, nodes)
+        postings = flat.groupBy("tokenizer", "term", "node_id").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+        sizes = nodes.select(F.size(tx.words(F.col("text"))).alias("word"), F.greatest(F.length(F.lower("text")) - 2, F.lit(0)).alias("trigram"))
+        stats = sizes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.col(t).alias("dl")) for t in TOKENIZERS])).alias("s"))
+        return Index(postings, stats.groupBy("s.tokenizer").agg(F.count("*").alias("n"), F.avg("s.dl").alias("mean")), nodes)
 
     def save(self, path: str, buckets: int = 16) -> None:
         """Postings lie in files by a hash of the term, sorted by term: a query's filters skip all other row groups."""
         dealt = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
         dealt.repartition("bucket").sortWithinPartitions("tokenizer", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "nodes")))
+        return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "stats", "nodes")))
 
     def bm25(self, query: str, tokenizer: str) -> DataFrame:
         """node_id and score of every node that holds a term; statistics are over the whole index, before any filter.
@@ -76,17 +78,17 @@ class Index:
         asked = F.broadcast(spark.createDataFrame(rows, "phrase int, place int, term string"))  # a query's own terms
         size = F.create_map(*[F.lit(x) for p, tokens in enumerate(wanted) for x in (p, len(tokens))])
         found = self.postings.filter((F.col("tokenizer") == tokenizer) & F.col("term").isin(sorted({r[2] for r in rows}))).join(asked, "term")
-        found = found.select("phrase", "node_id", "place", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
-        hits = found.groupBy("phrase", "node_id").agg(F.collect_list("starts").alias("all"))
+        found = found.select("phrase", "node_id", "dl", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
+        hits = found.groupBy("phrase", "node_id").agg(F.collect_list("starts").alias("all"), F.first("dl").alias("dl"))
         hits = hits.filter(F.size("all") == size[F.col("phrase")])
-        same = F.aggregate(F.slice("all", 2, 1_000_000), F.col("all")[0], lambda acc, x: F.array_intersect(acc, x))
-        hits = hits.withColumn("tf", F.size(same)).filter("tf > 0").select("phrase", "node_id", "tf")
+        same = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.col("all")[0], lambda acc, x: F.array_intersect(acc, x))
+        hits = hits.withColumn("tf", F.size(same)).filter("tf > 0").select("phrase", "node_id", "tf", "dl")
         per = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-        total = self.lengths.agg(F.count("*").alias("n"), F.avg(tokenizer).alias("mean"))  # one row
+        total = self.stats.filter(F.col("tokenizer") == tokenizer).select("n", "mean")  # one row
         idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col(tokenizer) / F.col("mean")))
-        scored = hits.join(F.broadcast(per), "phrase").join(self.lengths, "node_id").crossJoin(F.broadcast(total))
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+        scored = hits.join(F.broadcast(per), "phrase").crossJoin(F.broadcast(total))
         return scored.groupBy("node_id").agg(F.sum(idf * weight).alias("score"))
 
 
