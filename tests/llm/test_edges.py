@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
+from tidemark.llm import exact, lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
 from tidemark.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, node string, `_score` int, target string, taken long, source_size int, root string, `_quality` string"
@@ -155,3 +155,24 @@ def test_warc(spark):
     folder = scratch(spark, "warc")
     every = warc.transactions(warc.read_records(spark, folder, warc.write_archives(pages, folder, least=5))).collect()
     assert sum(r.response.type == "revisit" for r in every) == 0
+
+
+@pytest.mark.parametrize("kind", ["full", "empty"])
+def test_exact(both, kind):
+    rows = exact.decided(exact.digested(both[kind])).collect()
+    assert len(rows) == both[kind].count()
+    out = exact.deduplicated(both[kind])
+    assert out.columns == both[kind].columns
+    if kind == "full":
+        # three texts without a word are one group, three of PROSE another; the longest of the former is that of spaces
+        assert sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in rows if r.doc_id in (1, 2, 3, 4, 5)) == [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, 5, 3, False), (4, 5, 3, False), (5, 5, 3, True)]
+        assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted((r[0] or 0, r[1]) for r in ROWS if r[0] not in (2, 3, 4))
+
+
+def test_exact_hot_group(spark):
+    """A digest with a third of the rows, null ids among its copies and repeated rows; one row of it stays, and it isn't shuffled."""
+    rows = spark.range(30_000).selectExpr("if(id % 5 = 0, null, id div 2) as doc_id", "if(id % 3 = 0, concat('hot ', if(id = 27, ' ', ''), 'text'), concat('text ', id)) as text")
+    got = exact.decided(exact.digested(rows)).filter("group_size = 10000")
+    assert got.count() == 10_000 and {r.keep_id for r in got.select("keep_id").distinct().collect()} == {13} and got.filter("kept").count() == 1
+    assert exact.frequent_items(exact.digested(rows).select("item")).count() <= exact.FREQUENT
+    assert exact.deduplicated(rows).count() == 20_001
