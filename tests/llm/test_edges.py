@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import exact, lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
+from tidemark.llm import exact, importance, lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
 from tidemark.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, node string, `_score` int, target string, taken long, source_size int, root string, `_quality` string"
@@ -176,3 +176,42 @@ def test_exact_hot_group(spark):
     assert got.count() == 10_000 and {r.keep_id for r in got.select("keep_id").distinct().collect()} == {13} and got.filter("kept").count() == 1
     assert exact.frequent_items(exact.digested(rows).select("item")).count() <= exact.FREQUENT
     assert exact.deduplicated(rows).count() == 20_001
+
+
+@pytest.mark.parametrize("kind", ["full", "empty"])
+def test_importance(both, kind):
+    goal = both["full"].filter("doc_id = 6")
+    rows = importance.drawn(importance.weights(both[kind], goal), share=50).collect()
+    assert len(rows) == both[kind].count()
+    if kind == "full":
+        assert {(r.n_words, r.n_features, r.weight) for r in rows if r.doc_id in (3, 4, 5)} == {(0, 0, 0)}
+        long = [r for r in rows if r.n_words >= importance.LEAST_WORDS]
+        assert sorted(r.rank for r in long if r.rank) == [1, 2] and len(long) == 5 and {r.rank for r in rows if r.n_words < 20} == {None}
+        weight = {r.doc_id: r.weight for r in rows}
+        assert weight[6] > weight[1] > 0 > weight[7]
+    alone = importance.weights(both[kind], goal.limit(0)).collect()
+    assert len(alone) == len(rows)
+
+
+def test_importance_reads_long_texts_in_slices(monkeypatch):
+    text = ("Straße 12-b " * 40 + "x" * 300 + " ende").encode()
+    whole = sorted(sum((found.tolist() for _, found in importance.buckets(text)), []))
+    monkeypatch.setattr(importance, "SLICE", 7)
+    parts = list(importance.buckets(text))
+    assert len(parts) > 20 and sum(n for n, _ in parts) == 122 and sorted(sum((found.tolist() for _, found in parts), [])) == whole
+
+
+def test_importance_hot_source_of_copies(spark):
+    """A text that is a third of all rows, in many packets and groups, against the rule for each document."""
+    import collections
+    import zlib
+
+    rows = [(k, "a b c d e" if k % 3 else f"a {k % 7} x{k % 11}") for k in range(3000)]
+    goal = ["b c", "x3 x3 q"]
+    feature = lambda t: [zlib.crc32(x.encode()) % 10_000 for x in t.split()] + [zlib.crc32(" ".join(p).encode()) % 10_000 for p in zip(t.split(), t.split()[1:])]
+    s, t = (collections.Counter(b for x in texts for b in feature(x)) for texts in ([x for _, x in rows], goal))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    found = {r.doc_id: r.weight for r in importance.weights(docs, spark.createDataFrame([(x,) for x in goal], "text string")).collect()}
+    for k, text in rows[:40]:
+        own = feature(text)
+        assert found[k] == sum(importance.gain(s[b], t[b], s.total(), t.total()) for b in own) // len(own)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
+from . import exact, importance, lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,9 +17,15 @@ def queries() -> dict:
         "op8_media_columns": media.op8_media_columns,
         "op9_lm_scoring": lm.op9_lm_scoring,
         "op10_quality_rules": rules.op10_quality_rules,
+        "op11_importance_resampling": importance.op11_importance_resampling,
         "op12_exact_dedup": exact.op12_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": mixing.ORACLE_SQL, "op10_quality_rules": rules.ORACLE_SQL, "op12_exact_dedup": exact.ORACLE_SQL}
+    return {
+        "op7_source_mixing": mixing.ORACLE_SQL,
+        "op10_quality_rules": rules.ORACLE_SQL,
+        "op11_importance_resampling": importance.ORACLE_SQL,
+        "op12_exact_dedup": exact.ORACLE_SQL,
+    }
