@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import exact, importance, lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
+from tidemark.llm import exact, importance, lm, media, mixing, ngram_join, packing, phrases, quality, rules, suffix, toxicity, warc
 from tidemark.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, score double, node string, `_score` int, target string, taken long, source_size int, root string, `_quality` string"
@@ -215,3 +215,75 @@ def test_importance_hot_source_of_copies(spark):
     for k, text in rows[:40]:
         own = feature(text)
         assert found[k] == sum(importance.gain(s[b], t[b], s.total(), t.total()) for b in own) // len(own)
+
+
+def plain_counts(rows):
+    """(lang, phrase) -> occurrences, by the rule."""
+    import collections
+    import re
+
+    out = collections.Counter()
+    for lang, text in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                out.update((lang or "und", " ".join(w[i : i + k])) for i in range(len(w) - k + 1))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["full", "empty"])
+def test_phrases(both, kind):
+    counts = phrases.counted(both[kind])
+    found = {(r.lang, r.phrase): r.n for r in counts.collect() if r.words}
+    every = plain_counts([(r.lang, r.text) for r in both[kind].select("lang", "text").collect()])
+    assert found == {k: n for k, n in every.items() if n >= phrases.LEAST} and (kind == "empty" or found)
+    rows = phrases.collocations(counts, 7).collect()
+    assert sorted(r["rank"] for r in rows) == (list(range(1, 8)) if kind == "full" else [])
+
+
+def test_phrases_in_segments(spark, monkeypatch):
+    """Long texts cut anywhere, gaps longer than a segment, one word longer than a segment, ends of pieces at a cut, hot phrases, no language."""
+    import random
+
+    rng = random.Random(5)
+    long = "".join(rng.choice(["a", "b", "C", "é", "\u00a0"]) + rng.choice([" ", "  ", "\t", ". ", "\n", "   ;  "]) for _ in range(3000))
+    rows = [("en", long), (None, long), ("und", long[:500]), ("en", "a b" + " " * 500 + "a b" + "\n" * 300 + "b"), ("en", "x" * 999 + " a b"), ("en", " " * 700), ("en", None), ("de", "")]
+    wanted = {k: n for k, n in plain_counts(rows).items() if n >= 10}
+    for size in (1 << 22, 64):
+        monkeypatch.setattr(phrases, "PACKET", size)
+        own = [phrases.segments(lang, [(t or "").encode() for g, t in rows if (g or "und") == lang]) for lang in ("en", "und", "de")]
+        import collections
+        import numpy as np
+
+        bits, got = np.full(phrases.DEPTH * phrases.WIDTH // 8, 255, np.uint8), collections.Counter()
+        for s in (x for part in own for x in part):
+            for _, names, counts in phrases.survivors(s, bits):
+                for name, n in zip(names, counts.tolist()):
+                    got[s.lang, name.decode()] += n
+        assert {k: n for k, n in got.items() if n >= 10} == wanted
+
+
+def test_sketch_never_underestimates(monkeypatch):
+    """With few cells many runs share one, and nothing frequent is lost; with the usual number, hardly anything else is let through."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    rows = [("en", " ".join(f"w{(k * 7 + j * j) % 97}" for j in range(40))) for k in range(50)]
+    every = plain_counts(rows)
+    frequent = {p for (_, p), n in every.items() if n >= 10}
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 5), pa.array([t for _, t in rows[k : k + 5]])], ["lang", "text"]) for k in range(0, 50, 5)]
+    for width in (1 << 11, 1 << 22):
+        for name, value in (("WIDTH", width), ("BLOCK", width // 4), ("_BITS", width.bit_length() - 1), ("PACKET", 900)):
+            monkeypatch.setattr(phrases, name, value)
+        parts = sorted((r for b in phrases._sketch(3)(iter(batches)) for r in b.to_pylist()), key=lambda r: (r["block"], r["salt"]))
+        parts = [r for b in phrases._merged(False)(iter([pa.RecordBatch.from_pylist(parts)])) for r in b.to_pylist()]
+        assert len(parts) == 24
+        bits = np.zeros(phrases.DEPTH * width // 8, np.uint8)
+        for b in phrases._merged(True)(iter([pa.RecordBatch.from_pylist(parts)])):
+            for r in b.to_pylist():
+                bits[r["block"] * width // 32 : (r["block"] + 1) * width // 32] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint8)
+        let = {p.decode() for s in phrases.segments("en", [t.encode() for _, t in rows]) for _, names, _ in phrases.survivors(s, bits) for p in names}
+        assert let >= frequent
+    assert let == frequent

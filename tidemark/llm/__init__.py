@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, importance, lm, media, mixing, ngram_join, packing, quality, rules, suffix, toxicity, warc
+from . import exact, importance, lm, media, mixing, ngram_join, packing, phrases, quality, rules, suffix, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality_rules": rules.op10_quality_rules,
         "op11_importance_resampling": importance.op11_importance_resampling,
         "op12_exact_dedup": exact.op12_exact_dedup,
+        "op13_phrase_collocations": phrases.op13_phrase_collocations,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_quality_rules": rules.ORACLE_SQL,
         "op11_importance_resampling": importance.ORACLE_SQL,
         "op12_exact_dedup": exact.ORACLE_SQL,
+        "op13_phrase_collocations": phrases.ORACLE_SQL,
     }
