@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.text import kind_of
+from ..session import prepare
 
 
 def occurrence_pairs(left: DataFrame, right: DataFrame, on: list[str], order: str) -> DataFrame:
@@ -29,6 +30,7 @@ def greedy_pairs(candidates: DataFrame, group: list[str]) -> DataFrame:
     Groups (pairs of snapshots) are dealt over all tasks and sorted there; a task streams through its rows and holds no more
     than the sides taken so far of one group, so neither many small groups nor a large one cost more than their rows.
     """
+    prepare(candidates.sparkSession)
     names = [*group, "i", "j"]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,6 +137,7 @@ def track(boxes: DataFrame) -> DataFrame:
     Returns pair, i, j, before, after, rule, kind, variant; i or j is null for what is left over. Overlaps are found by a grid
     join; boxes and overlaps of a pair then meet in one exchange, and a task streams through its pairs.
     """
+    prepare(boxes.sparkSession)
     a = boxes.filter("side = 'a'").select("pair", F.col("ordinal").alias("i"), F.col("bbox").alias("abox"))
     b = boxes.filter("side = 'b'").select("pair", F.col("ordinal").alias("j"), "bbox")
     near = geo.overlap_join(a, b, ["pair"], "abox", "bbox").select("pair", F.lit("c").alias("side"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("area").cast("double").alias("area"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("touched"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import prepare
+
 STATE = "key string, t_change double, t_settled double, t_end double, settled boolean, digest string"
 _COLUMNS = [x.split()[0] for x in STATE.split(", ")]
 
@@ -105,6 +107,7 @@ def settle(samples: DataFrame, still: float, hold: float) -> DataFrame:
             machine.finish(machine.seen[0])
             yield _frame([(key, *s) for s in machine.take()])
 
+    prepare(samples.sparkSession)
     ordered = samples.select("key", "t", "digest").repartition("key").sortWithinPartitions("key", "t", "digest")
     return ordered.mapInPandas(run, STATE)
 
@@ -131,4 +134,5 @@ def settle_stream(samples: DataFrame, still: float, hold: float, quiet: float =
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + int(quiet * 1000))
         yield _frame([(key[0], *s) for s in done])
 
+    prepare(samples.sparkSession)
     return samples.groupBy("key").applyInPandasWithState(run, STATE, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
