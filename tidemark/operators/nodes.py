@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .sequences import carried
 
 COLUMNS = ("node_id", "video_id", "level", "item_id", "ordinal", "t_start", "t_end", "apps", "text")
@@ -33,7 +34,7 @@ def lifetimes(edges: DataFrame, boxes: DataFrame) -> DataFrame:
         known = ("root_frame", "root_box") if "root_frame" in out.columns else (None, None)
         root = lambda k, r: F.coalesce(F.col(r), F.col(k)) if k else F.col(r)
         out = step.select("video_id", "frame", "box", F.col("to_frame").alias("up_frame"), F.col("to_box").alias("up_box"), root(known[0], "r_frame").alias("root_frame"), root(known[1], "r_box").alias("root_box"))
-        out = out.checkpoint() if out.sparkSession.sparkContext.getCheckpointDir() else out
+        out = cut(out)
     if "root_frame" not in out.columns:
         out = out.withColumn("root_frame", F.lit(None).cast("int")).withColumn("root_box", F.lit(None).cast("string"))
     out = out.select("video_id", "frame", "box", F.coalesce("root_frame", "frame").alias("root_frame"), F.coalesce("root_box", "box").alias("root_box"))
