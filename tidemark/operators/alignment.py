@@ -82,20 +82,25 @@ def _closest(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
 
 
 def _prefix(text: Column, least: float) -> Column:
-    """Hashes of the runs of Q characters of a text, the k-th of a kind apart, of which two alike texts share one: the first Q * k + 1 in order of hash."""
+    """Of the distinct hashed runs of Q characters of a text the first Q * k + 1 in order of hash, where k edits are what an alike text may differ by.
+
+    k edits take at most Q * k of the distinct runs away, and leave at least one, so the first run that two alike texts share is among these of both.
+    """
+    # shifted copies of the characters, zipped: each is made once, not once a run
     chars = F.split(text, "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(chars) + 1 - Q), lambda k: F.array_join(F.slice(chars, k, F.lit(Q)), ""))
-    ordered = F.array_sort(runs)
-    numbered = F.transform(ordered, lambda x, k: F.xxhash64(x, k - F.array_position(ordered, x)))
+    n = F.greatest(F.size(chars) - (Q - 1), F.lit(0))
+    runs = F.slice(chars, F.lit(1), n)
+    for k in range(2, Q + 1):
+        runs = F.zip_with(runs, F.slice(chars, F.lit(k), n), lambda x, y: F.concat(x, y))
+    hashed = F.array_sort(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r))))
     edits = F.floor(F.length(text) * (1 - least) / least + 1e-9)
-    return F.when(F.length(text) >= Q, F.slice(F.array_sort(numbered), F.lit(1), (Q * edits + 1).cast("int")))
+    return F.when(F.length(text) >= Q, F.slice(hashed, F.lit(1), (Q * edits + 1).cast("int")))
 
 
 def alike(left: DataFrame, right: DataFrame, group: list[str], a: str, b: str, least: float = 0.9) -> DataFrame:
     """Rows of ``left`` beside rows of ``right`` of the same group whose texts ``a`` and ``b`` have a similarity of ``least`` or more, with ``likeness``.
 
-    Texts within k edits share one of the first Q * k + 1 of their hashed runs, whatever the order as long as both use it; rows meet by such a run, so no
-    pair is formed without one. Texts shorter than Q have no runs and are alike to nothing. ``least`` of 0.7 or more.
+    Rows meet by one of the runs of characters that ``_prefix`` picks, so no pair is formed without a shared one. Texts shorter than Q have no runs and are alike to nothing. ``least`` of 0.7 or more.
     """
     x = left.withColumn("_left", F.monotonically_increasing_id()).withColumn("_run", F.explode(_prefix(F.col(a), least)))
     y = right.withColumn("_right", F.monotonically_increasing_id()).withColumn("_run", F.explode(_prefix(F.col(b), least)))
@@ -151,6 +156,7 @@ def chains(hits: DataFrame) -> DataFrame:
     Ways that end are followed by doubling. Boxes that ways without end lead to are cycles; a cycle is named by its least box, found by doubling too, and
     a way into it is as long as its tail and the cycle.
     """
+    hits = cut(hits)  # read by every step below
     edges = hits.select("frame", "box", "other")
     way = _followed(edges)
     ends = way.filter("to is null").select("frame", "box", F.col("dist").alias("length"))

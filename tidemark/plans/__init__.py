@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import events, retrieval, runs
+from . import events, records, retrieval, runs
 
-_MODULES = (retrieval, events, runs)
+_MODULES = (retrieval, events, runs, records)
 
 
 def queries() -> dict:
