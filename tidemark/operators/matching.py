@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.text import kind_of
-from ..session import prepare
+from ..session import cut, prepare
 
 
 def occurrence_pairs(left: DataFrame, right: DataFrame, on: list[str], order: str) -> DataFrame:
@@ -54,14 +54,20 @@ def greedy_pairs(candidates: DataFrame, group: list[str]) -> DataFrame:
     return ordered.mapInPandas(choose, narrow.schema)
 
 
-def mutual_best(candidates: DataFrame, group: list[str], rounds: int) -> DataFrame:
-    """The same choice in SQL: pairs that are each other's best are taken, their rows go, and so on for ``rounds``.
+def mutual_best(candidates: DataFrame, group: list[str], rounds: int | None = None) -> DataFrame:
+    """The same choice without an order of rows: pairs that are each other's best are taken, their rows go, and so on until none is left (or for ``rounds``).
 
-    The order (area, i, j) is total, so rounds converge to the greedy matching; a chain of n dependent pairs takes n rounds.
+    The order (area, i, j) is total, so rounds end in the greedy matching; a chain of n dependent pairs takes n rounds. What is left is checkpointed each round.
     """
     order = [F.desc("area"), F.asc("i"), F.asc("j")]
     left, out = candidates.select(*group, "i", "j", "area"), None
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
+        if rounds is None:
+            left = cut(left)
+            if out is not None and left.isEmpty():
+                break
+        else:
+            rounds -= 1
         both = left.withColumn("_a", F.row_number().over(Window.partitionBy(*group, "i").orderBy(*order)))
         both = both.withColumn("_b", F.row_number().over(Window.partitionBy(*group, "j").orderBy(*order)))
         best = both.filter("_a = 1 and _b = 1").drop("_a", "_b")

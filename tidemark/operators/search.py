@@ -191,43 +191,55 @@ def collapse_runs(hits: DataFrame, by: list[str], key: str, ordinal: str = "ordi
 
 
 def search(index: Index | Scan, query: str, limit: int | None = None, collapse: bool = True, vector: DataFrame | None = None, **where) -> DataFrame:
-    """Hits of all families fused: node_id, level, family, score (5 places), t_start, t_end, matched, members, collapsed.
+    """Hits of all families fused: node_id, level, family, score (5 places), t_start, t_end, matched, members, member_ids.
 
-    ``vector``: further ranked hits as (node_id, rank), fused with the others.
+    ``vector``: further ranked hits as (node_id, rank), fused with the others. With ``collapse``, neighbouring frames whose matched text is the same are one hit: their
+    key is ``text.collapse_key`` of their boxes, the array column ``boxes`` of the nodes (where they have none, of their lines). The run is named by its earliest
+    member, takes the best member's place in each ranking, and lasts from the first member to the last.
+
+    A ranking is cut to its best while it is made: no task sees more than the best of each, but for the runs of one video's frames.
     """
     level = where.get("level")
     k = limit or (K_FILTERED if any(v is not None for v in where.values()) else K)
     family = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
     nodes = index.nodes.filter(filters(**where)).withColumn("family", family[F.col("level")])
+    if "boxes" not in nodes.columns:
+        nodes = nodes.withColumn("boxes", F.lit(None).cast("array<string>"))
     if level and level not in FAMILIES:
         nodes = nodes.limit(0)
     asked = terms(query)
     scored = [index.bm25(query, t).withColumn("tokenizer", F.lit(t)) for t in TOKENIZERS]
-    hits = scored[0].unionByName(scored[1]).join(nodes.select("node_id", "video_id", "family", "ordinal", "t_start", "text"), "node_id")
+    hits = scored[0].unionByName(scored[1]).join(nodes.select("node_id", "video_id", "family", "ordinal", "t_start", "t_end", "boxes", "text"), "node_id")
     order = [F.desc("score"), F.asc("t_start"), F.asc("node_id")]
-    hits = ranked(hits, ["family", "tokenizer"], None, order)
-    hits = hits.filter((F.col("family") == "frame") & F.lit(collapse) | (F.col("rank") <= k))
-    hits = hits.withColumn("matched", tx.matched_lines(F.col("text"), asked)).drop("text")
+    members = None
     if collapse:
-        frames = hits.filter("family = 'frame'")
-        one = frames.select("node_id", "video_id", "ordinal", "t_start", "matched").distinct()
-        runs = collapse_runs(one, ["video_id"], "matched")
-        head = Window.partitionBy("video_id", "run")
-        runs = runs.withColumn("head", F.min_by("node_id", "ordinal").over(head)).select("node_id", "head")
-        best = frames.join(runs, "node_id").groupBy("tokenizer", "head").agg(F.min("rank").alias("rank"))
-        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("tokenizer").orderBy("rank"))).filter(F.col("rank") <= k)
-        rankings = hits.filter("family <> 'frame'").select("node_id", "rank").unionAll(best.select(F.col("head").alias("node_id"), "rank"))
-        members = runs.groupBy(F.col("head").alias("node_id")).agg(F.count("*").alias("members"), F.array_sort(F.collect_list("node_id")).alias("member_ids"))
+        own = hits.filter("family = 'frame'").select("node_id", "video_id", "ordinal", "t_start", "t_end", "boxes", "text")
+        if vector is not None:
+            own = own.unionByName(nodes.filter("family = 'frame'").join(vector.select("node_id"), "node_id", "left_semi").select(*own.columns))
+        key = tx.collapse_key(F.col("text"), F.coalesce("boxes", F.array().cast("array<string>")), asked)
+        one = own.dropDuplicates(["node_id"]).withColumn("key", F.sha2(F.to_json(key), 256)).drop("boxes", "text")
+        runs = collapse_runs(one, ["video_id"], "key")
+        runs = runs.withColumn("head", F.min_by("node_id", "ordinal").over(Window.partitionBy("video_id", "run"))).select("node_id", "head", "ordinal", "t_end")
+        heads = runs.select("node_id", "head")
+        best = hits.filter("family = 'frame'").join(heads, "node_id").groupBy("tokenizer", "head").agg(F.min(F.struct((-F.col("score")).alias("s"), "t_start", "node_id")).alias("best"))
+        frames = ranked(best, ["tokenizer"], k, [F.asc("best")]).select(F.col("head").alias("node_id"), "rank")
+        others = ranked(hits.filter("family <> 'frame'"), ["family", "tokenizer"], k, order).select("node_id", "rank")
+        rankings = others.unionByName(frames)
+        if vector is not None:
+            near = vector.select("node_id", "rank").join(heads, "node_id", "left").groupBy(F.coalesce("head", "node_id").alias("node_id")).agg(F.min("rank").alias("_rank"))
+            rankings = rankings.unionByName(near.select("node_id", F.row_number().over(Window.partitionBy().orderBy("_rank", "node_id")).alias("rank")))  # k rows at most
+        members = runs.groupBy(F.col("head").alias("node_id")).agg(F.count("*").alias("members"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "node_id"))), lambda x: x["node_id"]).alias("member_ids"), F.max_by("t_end", "ordinal").alias("_end"))
     else:
-        rankings, members = hits.select("node_id", "rank"), None
-    if vector is not None:
-        rankings = rankings.unionByName(vector.select("node_id", "rank"))
+        rankings = ranked(hits, ["family", "tokenizer"], k, order).select("node_id", "rank")
+        if vector is not None:
+            rankings = rankings.unionByName(vector.select("node_id", "rank"))
     fused = rrf(rankings).withColumn("score", F.round("score", 5)).join(nodes.select("node_id", "level", "family", "t_start", "t_end", "text"), "node_id")
-    fused = fused.orderBy(F.desc("score"), "family", "t_start", "node_id").limit(k)
+    place = F.array_position(F.array(*map(F.lit, dict.fromkeys(FAMILIES.values()))), F.col("family"))
+    fused = fused.orderBy(F.desc("score"), place, "t_start", "node_id").limit(k)
     out = fused.withColumn("matched", tx.matched_lines(F.col("text"), asked)).drop("text")
     if members is None:
         return out.withColumn("members", F.lit(1).cast("long")).withColumn("member_ids", F.array("node_id"))
-    out = out.join(members, "node_id", "left")
+    out = out.join(members, "node_id", "left").withColumn("t_end", F.coalesce("_end", "t_end")).drop("_end")
     return out.withColumn("members", F.coalesce("members", F.lit(1)).cast("long")).withColumn("member_ids", F.coalesce("member_ids", F.array("node_id")))
 
 

@@ -69,8 +69,8 @@ def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mutual_best_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First round of the SQL form: pairs that are each other's best."""
-    return mt.mutual_best(_candidates(spark, sf_dir), ["left_key"], 1).select("left_key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    """The same matching by rounds: pairs that are each other's best are taken until none is left."""
+    return mt.mutual_best(_candidates(spark, sf_dir), ["left_key"]).select("left_key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
 
 
 def track_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,17 +215,19 @@ LEVELS = {
 
 
 def _nodes(spark: SparkSession, sf_dir: str, levels: list[str]) -> DataFrame:
+    """Lines meet their order and customer once; a row for each level of a line then goes into one sum, made in the task first."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    made = None
+    at = []
     for name in levels:
         keys, order = LEVELS[name]
-        item = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]).alias("item")
-        firsts = lines.groupBy(item, "l_returnflag").agg(F.min(F.struct(*order)).alias("o"), F.count("*").alias("n"))  # one row for each of a node's texts
-        parts = F.array_sort(F.collect_list(F.struct("o", "l_returnflag")))
-        nodes = firsts.groupBy("item").agg(F.array_join(F.transform(parts, lambda p: p["l_returnflag"]), "\n").alias("text"), F.sum("n").alias("n"))
-        nodes = nodes.select(F.lit(name).alias("level"), "item", "text", "n")
-        made = nodes if made is None else made.unionByName(nodes)
-    return made.filter("text <> ''").groupBy("level", "text").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_lines"))
+        item = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])
+        place = [F.lit(0)] * (3 - len(order)) + [F.col(c) for c in order]
+        at.append(F.struct(F.lit(name).alias("level"), item.alias("item"), F.struct(*[c.cast("long").alias(f"o{k}") for k, c in enumerate(place)]).alias("o")))
+    rows = lines.select("l_returnflag", F.explode(F.array(*at)).alias("at")).select("l_returnflag", "at.*")
+    firsts = rows.groupBy("level", "item", "l_returnflag").agg(F.min("o").alias("o"), F.count("*").alias("n"))  # one row for each of a node's texts
+    parts = F.array_sort(F.collect_list(F.struct("o", "l_returnflag")))
+    nodes = firsts.groupBy("level", "item").agg(F.array_join(F.transform(parts, lambda p: p["l_returnflag"]), "\n").alias("text"), F.sum("n").alias("n"))
+    return nodes.filter("text <> ''").groupBy("level", "text").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_lines"))
 
 
 def nodes_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +351,13 @@ def call_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _E = "e as (select *, epoch_us(ts) / 1000000.0::double as t from events)"
 _PAIRS = "pairs as (select o_orderkey as left_key, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as right_key from orders qualify right_key is not null)"
+_GREEDY = """c as (select left_key, a.l_linenumber::bigint as i, b.l_linenumber::bigint as j, max(50 - abs(a.l_quantity - b.l_quantity)) as area
+  from pairs join lineitem a on a.l_orderkey = left_key join lineitem b on b.l_orderkey = right_key group by 1, 2, 3),
+r as (select *, row_number() over (partition by left_key order by area desc, i, j) as k from c),
+walk as (select left_key, i, j, area, k, true as taken, [i] as ti, [j] as tj from r where k = 1 union all
+  select r.left_key, r.i, r.j, r.area, r.k, not (list_contains(ti, r.i) or list_contains(tj, r.j)),
+    case when list_contains(ti, r.i) or list_contains(tj, r.j) then ti else list_append(ti, r.i) end, case when list_contains(ti, r.i) or list_contains(tj, r.j) then tj else list_append(tj, r.j) end
+  from walk w join r on r.left_key = w.left_key and r.k = w.k + 1)"""
 SQL = {
     "turn_transitions": r"""with p as (
   select regexp_replace(coalesce(text, ''), '\s+', '', 'g') as y, lag(regexp_replace(coalesce(text, ''), '\s+', '', 'g')) over (partition by conv_id order by turn) as x,
@@ -360,11 +369,8 @@ select case when x = y then 'reread' when starts_with(y, x) then 'appended' when
 )
 select a.l_returnflag, a.k::int as k, count(*) as n, sum(b.o - a.o)::bigint as shift from pairs join lines a on a.l_orderkey = left_key
 join lines b on b.l_orderkey = right_key and b.l_returnflag = a.l_returnflag and b.k = a.k group by 1, 2""",
-    "mutual_best_matching": f"""with {_PAIRS}, c as (
-  select left_key, a.l_linenumber::bigint as i, b.l_linenumber::bigint as j, max(50 - abs(a.l_quantity - b.l_quantity)) as area
-  from pairs join lineitem a on a.l_orderkey = left_key join lineitem b on b.l_orderkey = right_key group by 1, 2, 3
-), r as (select *, row_number() over (partition by left_key, i order by area desc, i, j) as x, row_number() over (partition by left_key, j order by area desc, i, j) as y from c)
-select left_key, i, j from r where x = 1 and y = 1""",
+    "greedy_matching": f"with recursive {_PAIRS}, {_GREEDY} select left_key, i, j, area from walk where taken",
+    "mutual_best_matching": f"with recursive {_PAIRS}, {_GREEDY} select left_key, i, j from walk where taken",
     "status_lifetimes": f"""with {_E}, m as (
   select *, case when lag(event_type) over w is not distinct from event_type then 0 else 1 end as new from e window w as (partition by user_id order by ts, event_id)
 ), r as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as island from m)
@@ -418,6 +424,23 @@ firsts as (
   union all select 'customer', o_custkey::varchar, l_returnflag, min((l_orderkey, l_linenumber)), count(*) from l group by all
 ), nodes as (select level, item, string_agg(f, chr(10) order by o, f) as text, sum(n)::bigint as n from firsts group by 1, 2)
 select level, text, count(*) as n_nodes, sum(n)::bigint as n_lines from nodes group by 1, 2""",
+    "nodes_of_all_levels": """with l as (select * from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+firsts as (
+  select 'line' as level, l_orderkey || ' ' || l_linenumber as item, l_returnflag as f, min((0, l_orderkey, l_linenumber)) as o, count(*) as n from l group by all
+  union all select 'order', l_orderkey::varchar, l_returnflag, min((0, l_orderkey, l_linenumber)), count(*) from l group by all
+  union all select 'customer', o_custkey::varchar, l_returnflag, min((0, l_orderkey, l_linenumber)), count(*) from l group by all
+  union all select 'nation', c_nationkey::varchar, l_returnflag, min((o_custkey, l_orderkey, l_linenumber)), count(*) from l group by all
+), nodes as (select level, item, string_agg(f, chr(10) order by o, f) as text, sum(n)::bigint as n from firsts group by 1, 2)
+select level, text, count(*) as n_nodes, sum(n)::bigint as n_lines from nodes group by 1, 2""",
+    "hierarchy_of_all_levels": """select r_name, n_name, o_custkey, o_orderkey, count(*) as n_orders, min(o_orderkey) as first, max(o_orderkey) as last, sum(o_totalprice::decimal(18, 2))::double as total,
+  grouping(r_name, n_name, o_custkey, o_orderkey)::bigint as depth
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name, o_custkey, o_orderkey)""",
+    "agreement_of_texts": r"""with t as (select conv_id, turn, role, trim(regexp_replace(translate(coalesce(text, ''), '“”‘’', '""'''''), '\s+', ' ', 'g')) as x from conversations),
+v as (select *, string_split(x, ' ') as w from t),
+f as (select *, case when len(w) > 1 and length(w[1]) <= 2 then array_to_string(w[2:], ' ') end as head, case when len(w) > 1 and length(w[-1]) <= 2 then array_to_string(w[:-2], ' ') end as tail from v),
+p as (select role, x, head, tail, lag(role) over o as prev_role, lag(x) over o as px, lag(head) over o as phead, lag(tail) over o as ptail, row_number() over o as k from f window o as (partition by conv_id order by turn))
+select role, prev_role, count(*) filter (coalesce(x = px, false) or coalesce(x = phead, false) or coalesce(x = ptail, false) or coalesce(px = head, false) or coalesce(px = tail, false)) as n_agree, count(*) as n
+from p where k > 1 group by 1, 2""",
     "box_stability_metric": """with p as (select *, lag(event_type) over w as x, lag(value) over w as v, row_number() over w as k from events window w as (partition by user_id order by ts, event_id)),
 c as (select count(*) filter (event_type = x) as unchanged, count(*) filter (event_type = x and abs(value - v) > 50) as variants, count(*) filter (event_type <> x) as lost from p where k > 1)
 select *, round((unchanged - variants)::double / nullif(unchanged + lost, 0), 4) as stability from c""",
@@ -459,5 +482,5 @@ c as (select distinct key from d where doc_id in (select doc_id from labels)),
 m as (select key, min(source) as source from d where key not in (select key from c) group by 1)
 select source, count(*) as n_misses from m group by 1""",
 }
-NO_SQL = ("turn_char_diff", "agreement_of_texts", "hierarchy_of_all_levels", "nodes_of_all_levels", "greedy_matching", "track_cascade", "claims_assignment", "settle_events", "lineage_digest")
+NO_SQL = ("turn_char_diff", "track_cascade", "claims_assignment", "settle_events", "lineage_digest")
 QUERIES = {name: globals()[name] for name in (*SQL, *NO_SQL)}

@@ -85,6 +85,18 @@ def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.search(index, "the and", collapse=False, t_from=1.0, t_to=5.0, app="ASSIST").select("node_id", "score", "t_start")
 
 
+def search_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as frames of their conversation, with their words as boxes: neighbours that hold the same words with a term are one hit."""
+    talks = table(spark, sf_dir, "conversations")
+    t = F.col("turn").cast("double")
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
+    nodes = talks.select(
+        F.concat("conv_id", F.lit("-"), "turn").alias("node_id"), F.col("conv_id").cast("string").alias("video_id"), F.lit("frame").alias("level"), F.col("turn").cast("int").alias("ordinal"),
+        t.alias("t_start"), (t + 1).alias("t_end"), F.array("role").alias("apps"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(words, F.array().cast("array<string>")).alias("boxes"),
+    )
+    return op.search(Rounded(nodes), "and ich", limit=40).select("node_id", "score", "members", "t_end", F.array_join("member_ids", ",").alias("ids"))
+
+
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word query through an index of postings instead of a scan."""
     scored = op.Index.build(document_nodes(table(spark, sf_dir, "documents"))).bm25(QUERY, "word")
@@ -200,6 +212,26 @@ wtf as (
   union all select node_id, row_number() over (order by score desc, t_start, node_id) as r from t join wanted using (node_id) qualify r <= 50
 ), fused as (select node_id, round(sum(1.0::double / (60 + r)), 5) as score from ranks group by node_id)
 select node_id, score, t_start from fused join nodes using (node_id) order by score desc, t_start, node_id limit 50""",
+    "search_collapsed": rf"""with nodes as (select conv_id || '-' || turn as node_id, conv_id as video, turn, coalesce(text, '') as text from conversations),
+tok as (select node_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\-_./:\\]+') as w from nodes),
+wtf as (
+  select node_id, len(w) as dl, 0 as p, len(list_filter(w, lambda x: x = 'and')) as tf from tok
+  union all select node_id, len(w), 1, len(list_filter(w, lambda x: x = 'ich')) from tok
+), {_bm25_sql('wtf', 'w', 'node_id', 6)}, low as (select node_id, lower(text) as t from nodes), ttf as (
+  select node_id, greatest(length(t) - 2, 0) as dl, p, ((length(t) - length(replace(t, q, ''))) // length(q)) as tf from low, (values (0, 'and'), (1, 'ich')) as terms(p, q)
+), {_bm25_sql('ttf', 't', 'node_id', 6)}, hits as (select node_id from w union select node_id from t),
+boxes as (select node_id, video, turn, list_filter(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))), lambda x: contains(x, 'and') or contains(x, 'ich')) as held,
+  list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'and') or contains(lower(x), 'ich')) as lines, text from nodes join hits using (node_id)),
+keys as (select node_id, video, turn, case when len(held) > 0 then ['boxes'] || held when len(lines) > 0 then ['lines'] || lines else ['lines'] || string_split(text, chr(10)) end as key from boxes),
+starts as (select *, case when turn = lag(turn) over o + 1 and key = lag(key) over o then 0 else 1 end as fresh from keys window o as (partition by video order by turn)),
+numbered as (select *, sum(fresh) over (partition by video order by turn rows unbounded preceding) as run from starts),
+runs as (select node_id, turn, first_value(node_id) over (partition by video, run order by turn) as head from numbered),
+both_ as (select 'w' as kind, node_id, score from w union all select 't', node_id, score from t),
+best as (select kind, head, -score as s, turn, b.node_id, row_number() over (partition by kind, head order by -score, turn, b.node_id) as k from both_ b join runs r on r.node_id = b.node_id),
+ranks as (select head, row_number() over (partition by kind order by s, turn, node_id) as r from best where k = 1 qualify r <= 40),
+fused as (select head, round(sum(1.0::double / (60 + r)), 5) as score from ranks group by head),
+sizes as (select head, count(*) as members, max(turn) + 1.0::double as t_end, string_agg(node_id, ',' order by turn) as ids, min(turn) as first from runs group by head)
+select f.head as node_id, score, members, t_end, ids from fused f join sizes z on z.head = f.head order by score desc, first, f.head limit 40""",
     "search_matched_lines": """with lines as (
   select doc_id, list_filter(string_split(text, chr(10)), lambda l: contains(lower(l), 'license') or contains(lower(l), 'idiot')) as m
   from documents where contains(lower(text), 'license') or contains(lower(text), 'idiot')

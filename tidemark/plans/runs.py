@@ -212,8 +212,7 @@ def flipped_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores_of_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir).filter("event_id % 5 < 3")
-    scored = events.select("user_id", (F.col("event_id") % 3).alias("reader"), (F.col("event_type") != "error").alias("exact"), F.when(F.col("value") < 90, F.floor(F.col("value")).cast("long") - 50).alias("error"))
+    scored = _events(spark, sf_dir).select("user_id", (F.col("event_id") % 3).alias("reader"), (F.col("event_type") != "error").alias("exact"), F.when(F.col("value") < 90, F.floor(F.col("value")).cast("long") - 50).alias("error"))
     return rp.by_reader(scored, ["user_id"], "reader").select("user_id", F.col("exact").cast("int").alias("exact"), "error")
 
 
@@ -317,8 +316,7 @@ def malformed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collapse_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    boxes = F.filter(F.split("text", r"\."), lambda x: F.length(x) < 60)
-    key = tx.collapse_key(F.col("text"), boxes, ["of  the", "and"])
+    key = tx.collapse_key(F.col("text"), F.split("text", r"\.", -1), ["of  the", "and"])
     return talks.select("conv_id", "turn", F.get(key, F.lit(0)).alias("tag"), F.size(key).cast("long").alias("parts"), F.md5(F.array_join(key, "|").cast("binary")).alias("key_md5"))
 
 
@@ -378,7 +376,7 @@ select polarity, count(judged) as n, count(*) filter (label = 'correct') as corr
 select config, count(*) as repeats, string_agg(n::varchar, ',' order by repeat) as per_repeat, round(avg(n), 4) as mean from c group by config""",
     "flipped_units": """with u as (select event_type || '-' || (user_id % 400) as unit, event_id % 2 as side, max((value > 60)::int) as value from events group by all)
 select a.unit, case when a.value = 1 then 'A' else 'B' end as only from u a join u b on a.unit = b.unit and a.side = 0 and b.side = 1 where a.value <> b.value""",
-    "scores_of_readers": """with s as (select user_id, event_id % 3 as reader, event_type <> 'error' as exact, case when value < 90 then floor(value)::bigint - 50 end as error from events where event_id % 5 < 3),
+    "scores_of_readers": """with s as (select user_id, event_id % 3 as reader, event_type <> 'error' as exact, case when value < 90 then floor(value)::bigint - 50 end as error from events),
 g as (select user_id, max(exact)::int as exact, min({'a': abs(error), 'o': reader, 'e': error}) filter (exact and error is not null) as m from s group by user_id)
 select user_id, exact, m.e as error from g""",
     "rubric_lines": f"""with {_BOXES}, l as (select frame, count(*) filter (q >= 10) as passed, count(*) as lines from boxes group by frame)
@@ -422,7 +420,7 @@ select o_custkey, case when a <> 'P' and b <> 'P' then 'single' else 'unsettled'
     "malformed_links": f"""with {_BOXES}, r as (select frame, list(part % 40 order by box, part) as refs from boxes group by frame)
 select frame, (len(list_distinct(refs)) <> len(refs) or (frame % 3 = 0 and len(refs) < 2) or (frame % 3 > 0 and len(refs[2:4]) < 2))::int as malformed from r""",
     "collapse_keys": r"""with t as (
-  select conv_id, turn, coalesce(text, '') as text, list_filter(string_split(coalesce(text, ''), '.'), lambda x: length(x) < 60) as b from conversations
+  select conv_id, turn, coalesce(text, '') as text, string_split(coalesce(text, ''), '.') as b from conversations
 ), h as (
   select *, list_filter(list_transform(b, lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), lambda x: contains(x, 'of the') or contains(x, 'and')) as held,
     list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'of  the') or contains(lower(x), 'and')) as m from t
