@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as an
@@ -13,6 +13,7 @@ from ..operators import lineage as ln
 from ..operators import placing as pl
 from ..operators import quotes as qu
 from ..operators import repair as rp
+from ..operators import wording as wd
 from ..session import cut
 from ..streaming import pictures as pc
 from .common import seconds, table
@@ -175,6 +176,48 @@ def requests_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.standing(rows).groupBy("state").agg(F.count("*").alias("n"), F.sum("tries").alias("tries"), F.max("body").alias("last_body"))
 
 
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as changes of a conversation: one record each, of the kind by which the turn before became this one."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("after")).withColumn("before", F.lag("after").over(w)).filter("before is not null")
+    t = t.withColumn("run", F.col("conv_id")).withColumn("change", F.concat(F.lit("T"), "turn"))
+    n, none = F.col("turn"), F.lit(None).cast("string")
+    changes = t.select(
+        "run", "change", (n - 1).alias("from_frame"), n.alias("to_frame"), (n - 1).cast("double").alias("t0"), n.cast("double").alias("t1"), F.when(n % 2 == 0, n / 16).alias("changed_fraction"), n.alias("components"), (n % 3).alias("textless"),
+        (n % 4).alias("moved"), (n % 2).alias("same_place"), F.when(n == 3, "T1").alias("reverts_of"), F.lit(0.75).alias("reverts_share"), F.lit(1.5).alias("reverts_hold"), F.when(n % 5 == 0, "unsettled").otherwise("single").alias("kind"),
+    )
+    records = t.select(
+        "run", "change", F.lit(1).alias("pos"), tx.kind_of(F.col("before"), F.col("after")).alias("kind"), F.concat((n - 1).cast("string"), F.lit(":b1")).alias("before_ref"), "before", F.concat(n.cast("string"), F.lit(":b1")).alias("after_ref"), "after",
+        F.lit("").alias("added"), F.lit("").alias("removed"), none.alias("label"), none.alias("continues"), F.lit(False).alias("in_churn"), none.alias("reading"), none.alias("reading_ref"),
+    )
+    return changes, records
+
+
+def lines_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wd.change_lines(*_changes(spark, sf_dir))
+
+
+def texts_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wd.change_texts(*_changes(spark, sf_dir)).select("run", "change", "text", F.array_join("ids", ",").alias("ids"))
+
+
+def readings_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as readings of a user: the type with most events, the first seen on a tie; views are blank."""
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type"))
+    return wd.second_readings(e.select(F.col("user_id").alias("lifetime"), F.col("event_id").alias("frame"), text.alias("text")), e.select(F.col("user_id").alias("lifetime"), F.lit("click").alias("text")).distinct())
+
+
+def pairs_off_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's first line as key, the others as values of one pair: how far the nearest is."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    x, y = (F.col("l_partkey") % 50 * 8).cast("int"), (F.col("l_quantity") * 3).cast("int")
+    box = F.struct(x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 14).alias("y1"))
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.row_number().over(w).alias("box"), box.alias("bbox"))
+    out = wd.off_row(i.select("frame", F.lit(1).alias("link"), F.when(F.col("box") == 1, "key").otherwise("value").alias("side"), "box"), i)
+    return out.groupBy("dx", "dy", "off_row").agg(F.count("*").alias("n"))
+
+
 _NORM = r"trim(regexp_replace(translate(coalesce(TEXT, ''), '“”‘’', '\"\"'''''), '\s+', ' ', 'g'))".replace("\\\"", '"')
 _I = """i as (select l_orderkey as record, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos,
   l_partkey as p, l_suppkey as s, l_returnflag as flag, l_linestatus as status from lineitem)"""
@@ -247,5 +290,26 @@ k as (select key, count(*) as tries, min(case when kind not in ('error', 'view',
 s as (select k.*, case when good is not null then 'done' when bad then 'invalid' when open then 'open' when tries >= 2 then 'failed' else 'again' end as state from k)
 select state, count(*) as n, sum(tries)::bigint as tries, max(event_id::varchar) as last_body from s left join e on e.key = s.key and e.pass = s.good group by 1""",
 }
+_K = r"""k as (select conv_id, turn, coalesce(text, '') as after, lag(coalesce(text, '')) over (partition by conv_id order by turn) as before from conversations),
+c as (select conv_id as run, 'T' || turn as change, turn as n, after, before, regexp_replace(after, '\s+', '', 'g') as y, regexp_replace(before, '\s+', '', 'g') as x from k where before is not null),
+r as (select *, case when x = y then 'reread' when starts_with(y, x) then 'appended' when starts_with(x, y) then 'truncated' else 'changed' end as kind from c)"""
+SQL |= {
+    "lines_of_changes": f"""with {_K} select run, change, change || ' [f' || (n - 1) || '→f' || n || ', ' || printf('%.1f', (n - 1)::double) || '–' || printf('%.1f', n::double) || 's] ' || kind || ' "'
+  || case when length(after) > 80 then substr(after, 1, 79) || '…' else after end || '"' || case when n % 4 > 0 then '; moved ' || (n % 4) else '' end || case when n = 3 then '; undoes T1' else '' end as line from r""",
+    "texts_of_changes": f"""with {_K} select run, change, 'Transition ' || change || ': frame ' || (n - 1) || ' → frame ' || n || ', t=' || printf('%.2f', (n - 1)::double) || '–' || printf('%.2f', n::double) || 's.' || chr(10)
+  || case when n % 2 = 0 then 'Pixels changed: ' || printf('%.2f', n / 16.0::double * 100) || '% of the screen; changed areas: ' || n || '.' else 'Pixels: no comparison is available for this pair.' end || chr(10) || 'Text changes:' || chr(10)
+  || '[' || n || ':b1, ' || (n - 1) || ':b1] ' || case kind when 'appended' then '"' || before || '" → appended ""; now "' || after || '"' when 'truncated' then '"' || before || '" → truncated, removed ""; now "' || after || '"'
+    when 'changed' then 'at this place "' || before || '" was replaced by "' || after || '"' else '"' || before || '" re-read as "' || after || '" (same text)' end
+  || case when n % 4 > 0 then chr(10) || 'Texts that only moved: ' || (n % 4) || '.' else '' end || case when n % 2 > 0 then chr(10) || 'Boxes with a visual change over unchanged text: ' || (n % 2) || '.' else '' end
+  || case when n % 2 = 0 and n % 3 > 0 then chr(10) || 'Changed areas without text: ' || (n % 3) || '.' else '' end || case when n = 3 then chr(10) || 'Undoes 75% of T1''s change after 1.5 s.' else '' end
+  || case when n % 5 = 0 then chr(10) || 'One of these frames was captured while the screen was still changing.' else '' end as text, n || ':b1,' || (n - 1) || ':b1' as ids from r""",
+    "readings_of_users": """with c as (select user_id as lifetime, event_type as t, count(*) as n, min(event_id) as f from events where event_type is not null group by 1, 2),
+s as (select lifetime, sum(n)::bigint as n_readings from c group by 1), b as (select lifetime, t, row_number() over (partition by lifetime order by n desc, f) as k from c where t <> 'view')
+select s.lifetime as lifetime, t as reading, n_readings, t is null as non_text, t = 'click' as agree from s left join b on b.lifetime = s.lifetime and k = 1""",
+    "pairs_off_row": f"""with {_I.replace('l_linestatus as status from', 'l_linestatus as status, l_quantity as q from')}, b as (select record, pos, p % 50 * 8 as x, (q * 3)::int as y from i),
+g as (select a.record, greatest(0, greatest(a.x, b.x) - least(a.x, b.x) - 60) as dx, greatest(0, greatest(a.y, b.y) - least(a.y, b.y) - 14) as dy from b a join b on b.record = a.record and b.pos > 1 where a.pos = 1),
+m as (select record, dx, dy, row_number() over (partition by record order by dy * 10 + dx, dx, dy) as k from g),
+o as (select distinct record from b) select coalesce(dx, 0) as dx, coalesce(dy, 0) as dy, coalesce(dy, 0) > 12 as off_row, count(*) as n from o left join m on m.record = o.record and k = 1 group by 1, 2, 3""",
+}
 NO_SQL = ("picture_states", "blinking_places", "closest_in_next_turn", "links_refused", "unsupported_quotes", "tags_placed")
 QUERIES = {name: globals()[name] for name in (*SQL, *NO_SQL)}
