@@ -189,14 +189,18 @@ def continues(pairings: DataFrame) -> DataFrame:
 def containing(texts: DataFrame, items: DataFrame, text: str, item: str) -> DataFrame:
     """Rows of ``texts`` beside rows of ``items`` whose ``item`` is part of their ``text``; both single-spaced.
 
-    An item meets the texts that have its longest inner word, which no text that contains it can lack; only such pairs are compared. Items of
-    fewer than three words have no inner word: they are compared with every text, so they should be few.
+    An item meets the texts that have its longest inner word, which no text that contains it can lack. Words travel as (hash of the text, word), and only those that some item
+    asks for; texts join again where a word was found, and ``contains`` decides. Items of fewer than three words have no inner word: they are compared with every
+    text, so they should be few.
     """
     words = F.split(item, " ", -1)
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     keyed = items.withColumn("_word", F.get(longest, F.lit(0))["w"])
-    held = texts.withColumn("_word", F.explode(F.array_distinct(F.split(text, " ", -1))))
-    near = held.join(keyed.filter("_word is not null"), "_word").filter(F.contains(text, item)).drop("_word")
-    short = texts.join(keyed.filter("_word is null"), F.contains(text, item)).drop("_word")
-    return near.unionByName(short)
+    asked = keyed.filter("_word is not null")
+    numbered = texts.withColumn("_text", F.md5(F.col(text).cast("binary")))
+    held = numbered.select("_text", F.explode(F.array_distinct(F.split(text, " ", -1))).alias("_word")).join(asked.select("_word").distinct(), "_word", "left_semi")
+    near = held.distinct().join(asked, "_word").drop("_word")
+    found = numbered.join(near, "_text").filter(F.contains(text, item)).drop("_text")
+    short = texts.join(keyed.filter("_word is null").drop("_word"), F.contains(text, item))
+    return found.unionByName(short)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import running
+
 
 def counts_by(rows: DataFrame, kinds: dict[str, str], sums: list[str]) -> DataFrame:
     """(metric, kind, n): how often each value of each column of ``kinds`` occurs, and the totals of ``sums``. One pass: rows become (metric, kind, amount) triples that are summed before the shuffle."""
@@ -78,13 +80,14 @@ def break_even(build: Column, per_a: Column, per_b: Column) -> Column:
 
 
 def low_half(rows: DataFrame, order: str, value: str, key: list[str]) -> DataFrame:
-    """Median of ``value`` over the lower half of each key's rows by (``order``, ``value``), by counts of equal rows: no task sorts a key's rows, only its different pairs."""
+    """key, median of ``value`` and n_low over the lower half of each key's rows by (``order``, ``value``), both numbers.
+
+    Equal rows are counted first; ranks are running sums over slices, so no task sorts the rows of a key, and no list of a key's values is made.
+    """
     pairs = rows.filter(F.col(order).isNotNull()).groupBy(*key, order, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*key)
-    before = F.sum("_n").over(w.orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1))
-    low = pairs.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_half", F.ceil(F.sum("_n").over(w) / 2))
+    low = running(pairs, key, [order, value], F.col(order), F.col("_n"), "_before", "_all").withColumn("_half", F.ceil(F.col("_all") / 2))
     low = low.withColumn("_n", F.least("_n", F.col("_half") - F.col("_before"))).filter("_n > 0").groupBy(*key, value, "_half").agg(F.sum("_n").alias("_n"))
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    low = low.withColumn("_upto", upto)
-    middle = lambda k: F.min(F.when(F.col("_upto") >= k, F.col(value)))
-    return low.groupBy(*key).agg(((middle(F.floor((F.col("_half") + 1) / 2)) + middle(F.floor(F.col("_half") / 2) + 1)) / 2).alias("median"))
+    low = running(low.drop("_before"), key, [value], F.col(value), F.col("_n"), "_before", "_all")
+    middle = lambda k: F.min(F.when(F.col("_before") + F.col("_n") >= k, F.col(value)))
+    median = (middle(F.floor((F.col("_half") + 1) / 2)) + middle(F.floor(F.col("_half") / 2) + 1)) / 2
+    return low.groupBy(*key).agg(median.alias("median"), F.max("_half").alias("n_low"))

@@ -42,15 +42,58 @@ def carried(rows: DataFrame, key: list[str], order: list[str], value: Column, na
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+#: Slices that the rows of a key are cut into, at most: what windows over sums of slices see of a key.
+SLICES = 256
+
+
+def sliced(rows: DataFrame, scale: Column, slices: int = SLICES) -> DataFrame:
+    """``rows`` with ``_slice``, which rises with the number ``scale``: about equally many rows in each, by quantiles of the whole table (one row of ``slices`` numbers).
+
+    So a key that holds most rows is cut into many slices, while a small key's rows lie in few. Null comes first, in the first slice with the least.
+    """
+    cuts = F.percentile_approx(scale.cast("double"), [k / slices for k in range(1, slices)], F.lit(slices * 20))
+    bounds = rows.agg(F.coalesce(F.array_distinct(cuts), F.array().cast("array<double>")).alias("_bounds"))
+    below = F.filter("_bounds", lambda b: b < scale.cast("double"))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("_slice", F.size(below)).drop("_bounds")  # one row
+
+
+def _with_slices(rows: DataFrame, of_slices: DataFrame, key: list[str]) -> DataFrame:
+    """Rows beside what is known of their slice; null keys are keys."""
+    named = of_slices.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.col("_slice").alias("_s"), *[c for c in of_slices.columns if c not in (*key, "_slice")])
+    on = F.col("_slice") == F.col("_s")
+    for i, c in enumerate(key):
+        on &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, on, "left").drop("_s", *[f"_k{i}" for i in range(len(key))])
+
+
+def running(rows: DataFrame, key: list[str], order: list[str], scale: Column, amount: Column, before: str, total: str) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over the rows before each in its key's ``order``, and over all of its key.
+
+    ``scale`` is a number that rises with the first column of ``order``. No task sorts a key: sums of slices are added up in order, and rows are sorted inside a slice.
+    """
+    cut_up = sliced(rows, scale).withColumn("_amount", amount)
+    sums = cut_up.groupBy(*key, "_slice").agg(F.sum("_amount").alias("_sum"))
+    w = Window.partitionBy(*key)
+    sums = sums.select(*key, "_slice", F.coalesce(F.sum("_sum").over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_slice_before"), F.sum("_sum").over(w).alias("_slice_total"))
+    inside = F.sum("_amount").over(Window.partitionBy(*key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = _with_slices(cut_up, sums, key).withColumn(before, F.col("_slice_before") + F.coalesce(inside, F.lit(0))).withColumn(total, F.col("_slice_total"))
+    return out.drop("_slice", "_amount", "_slice_before", "_slice_total")
+
+
 def asof(left: DataFrame, right: DataFrame, key: list[str], at: str, values: list[str]) -> DataFrame:
     """``left`` with ``values`` of the latest row of ``right`` at or before it in its key. Of rows of ``right`` at one time the
-    greatest counts. One shuffle by key, no range join: both sides are one ordered stream."""
+    greatest counts. ``at`` is a number; both sides are one stream that is cut into slices, and the last value of the slices before is carried into each, so a
+    key with most rows is no single sort."""
     rest = [c for c in left.columns if c not in {*key, at}]
     a = left.select(*key, at, F.lit(1).alias("_side"), F.struct(*rest).alias("_row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v"))
     b = right.select(*key, at, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct(*values).alias("_v"))
-    w = Window.partitionBy(*key).orderBy(F.col(at), "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    return both.select(*key, at, "_row.*", "_v.*")
+    both = sliced(a.unionByName(b), F.col(at))
+    ends = both.groupBy(*key, "_slice").agg(F.max(F.when(F.col("_side") == 0, F.struct(at, "_v"))).alias("_end"))
+    carried_in = F.last("_end", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*key, "_slice", carried_in.getField("_v").alias("_carried"))
+    w = Window.partitionBy(*key, "_slice").orderBy(F.col(at), "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = _with_slices(both, ends, key).withColumn("_v", F.coalesce(F.last("_v", ignorenulls=True).over(w), "_carried")).filter("_side = 1")
+    return found.select(*key, at, "_row.*", "_v.*")
 
 
 def reverts(rows: DataFrame, key: list[str], order: list[str], value: str, time: str) -> DataFrame:
@@ -170,8 +213,7 @@ def chapter_starts(steps: DataFrame, chapters: list[float], key: list[str], at:
     return first.select(*key, "place", F.concat(F.lit("chapter "), number).alias("label"))
 
 
-def parts_of(rows: DataFrame, key: list[str], order: list[str], most: int, size: int) -> DataFrame:
+def parts_of(rows: DataFrame, key: list[str], order: list[str], scale: Column, most: int, size: int) -> DataFrame:
     """``rows`` with ``part``: keys of over ``most`` rows are cut into parts of ``size``, others are one part."""
-    w = Window.partitionBy(*key)
-    place = F.row_number().over(w.orderBy(*order)) - 1
-    return rows.withColumn("part", F.when(F.count("*").over(w) > most, F.floor(place / size)).otherwise(0).cast("int"))
+    placed = running(rows, key, order, scale, F.lit(1), "_place", "_of")
+    return placed.withColumn("part", F.when(F.col("_of") > most, F.floor(F.col("_place") / size)).otherwise(0).cast("int")).drop("_place", "_of")

@@ -249,10 +249,16 @@ def box_stability_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def low_half_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median value over the lower half by rank, per event type."""
-    w = Window.partitionBy("event_type")
-    ranked = _events(spark, sf_dir).withColumn("rn", F.row_number().over(w.orderBy("value", "event_id"))).withColumn("n", F.count("*").over(w))
-    return ranked.filter(F.col("rn") <= F.ceil(F.col("n") / 2)).groupBy("event_type").agg(F.round(F.median("value"), 4).alias("median_low"), F.count("*").alias("n_low"))
+    """Median value over the lower half by rank, per event type; events without a value come first."""
+    e = _events(spark, sf_dir).select("event_type", "event_id", "value")
+    ranked = sq.running(e, ["event_type"], ["value", "event_id"], F.col("value"), F.lit(1), "_before", "_all")
+    ranked = sq.running(ranked, ["event_type"], ["value", "event_id"], F.col("value"), F.col("value").isNull().cast("int"), "_nulls_before", "_nulls")
+    half = F.ceil(F.col("_all") / 2)
+    known = half - F.least("_nulls", half)  # of the lower half, those with a value
+    low = ranked.withColumn("_place", F.col("_before") + 1 - F.col("_nulls")).withColumn("_known", known).withColumn("_half", half)
+    at = lambda k: F.max(F.when(F.col("_place") == k, F.col("value")))
+    median = (at(F.floor((F.col("_known") + 1) / 2)) + at(F.floor(F.col("_known") / 2) + 1)) / 2
+    return low.filter(F.col("_before") < F.col("_half")).groupBy("event_type").agg(F.round(median, 4).alias("median_low"), F.count("*").alias("n_low"))
 
 
 PRICES = (("A", 3.0, 15.0), ("N", 1.0, 5.0))

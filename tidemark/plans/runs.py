@@ -161,7 +161,7 @@ def starts_of_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sq.parts_of(_events(spark, sf_dir), ["event_type"], ["ts", "event_id"], 1500, 400)
+    found = sq.parts_of(_events(spark, sf_dir).withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))), ["event_type"], ["ts", "event_id"], F.col("_at"), 1500, 400)
     return found.groupBy("event_type", "part").agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
 
 
@@ -223,7 +223,7 @@ def rubric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def low_half_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.low_half(_events(spark, sf_dir).withColumn("v", F.floor("value").cast("double")), "v", "user_id", ["event_type"])
+    return rp.low_half(_events(spark, sf_dir).withColumn("v", F.floor("value").cast("double")), "v", "user_id", ["event_type"]).select("event_type", "median")
 
 
 def labels_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
