@@ -56,6 +56,26 @@ def test_edit_scripts_are_shortest():
         assert sum(len(t) for o, t in script if o != "=") == len(a) + len(b) - 2 * table[-1][-1]
 
 
+def test_edit_scripts_of_texts_that_are_cut(monkeypatch):
+    """With a table of a few bits every pair is cut in two again and again; scripts stay as short."""
+    import random
+
+    from tidemark.functions import text as tx
+
+    rng, whole = random.Random(4), tx.edit_script
+    for _ in range(300):
+        a, b = ("".join(rng.choice(rng.choice(["ab", "abcdé "])) for _ in range(rng.randint(0, 50))) for _ in range(2))
+        kept = sum(len(t) for o, t in whole(a, b) if o == "=")
+        with monkeypatch.context() as m:
+            m.setattr(tx, "TABLE_BITS", 30)
+            script = tx.edit_script(a, b)
+        assert "".join(t for o, t in script if o != "+") == a and "".join(t for o, t in script if o != "-") == b
+        assert sum(len(t) for o, t in script if o == "=") == kept
+        assert all(x[0] != y[0] and (x[0], y[0]) != ("+", "-") for x, y in zip(script, script[1:]))
+    long = "x" * 200_000
+    assert whole(long + "a" + long, long + "b" + long) == [("=", long), ("-", "a"), ("+", "b"), ("=", long)]
+
+
 TEXTS = ["az aks create --resource-group RG1 --name aks", "kubectl get nodes get nodes", "Configure the storage account", "C:\\src> git status", "café git", "git git git commit -m git", "nothing here"]
 
 
