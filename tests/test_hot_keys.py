@@ -64,3 +64,14 @@ def test_texts_stay_out_of_the_word_join(spark):
     items = [(0, "w1 w2 w3 w4"), (1, "w2 w4 w6"), (2, "w50 w1"), (3, "w7"), (4, "nowhere w1 to find")]
     got = mt.containing(spark.createDataFrame(texts, "i long, t string"), spark.createDataFrame(items, "j long, x string"), "t", "x")
     assert {(r.i, r.j) for r in got.collect()} == {(i, j) for i, t in texts for j, x in items if t and x in t}
+
+
+def test_parents_of_positions(spark):
+    rng = random.Random(7)
+    children = [(rng.choice("uv"), rng.randrange(5000)) for _ in range(300)] * 2
+    spans = []
+    for k in range(40):
+        first = rng.randrange(5000)
+        spans.append((rng.choice("uv"), first, first + rng.choice([0, 50, 3000]), k))
+    got = sq.parents(spark.createDataFrame(children, "v string, at long"), spark.createDataFrame(spans, "v string, first long, last long, place long"), ["v"], "at", "first", "last", "place").collect()
+    assert sorted((r.v, r.at, r.place if r.place is not None else -1) for r in got) == sorted((v, at, max((p for w, a, b, p in spans if w == v and a <= at <= b), default=-1)) for v, at in children)

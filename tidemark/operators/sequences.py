@@ -165,11 +165,18 @@ def first_range(rows: DataFrame, ranges_: DataFrame, at: str, start: str, end: s
     return out.select(*rows.columns, *(F.col(f"_r.{n}").alias(n) for n in names))
 
 
-def parents(children: DataFrame, spans: DataFrame, position: str, first: str, last: str, parent_order: str) -> DataFrame:
-    """Each child's parent: the span [first, last] of positions that holds it; of several the last by ``parent_order``."""
-    both = children.join(spans, (F.col(position) >= F.col(first)) & (F.col(position) <= F.col(last)), "left")
-    w = Window.partitionBy(position).orderBy(F.desc_nulls_last(parent_order))
-    return both.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+def parents(children: DataFrame, spans: DataFrame, on: list[str], position: str, first: str, last: str, parent_order: str, cell: int = 1024) -> DataFrame:
+    """Each child's parent: the span [first, last] of positions that holds it, with the same ``on``; of several the last by ``parent_order``; nulls where there is none.
+
+    Spans and positions, whole numbers, meet by cells of ``cell`` positions, so there is no join by range alone; a span makes a row for each cell that it touches. The choice is an
+    aggregate over different positions: repeated children all get it.
+    """
+    extra = [c for c in spans.columns if c not in on]
+    dealt = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(first) / cell), F.floor(F.col(last) / cell))))
+    asked = children.select(*on, position).distinct().withColumn("_cell", F.floor(F.col(position) / cell))
+    both = asked.join(dealt, [*on, "_cell"]).filter((F.col(position) >= F.col(first)) & (F.col(position) <= F.col(last)))
+    best = both.groupBy(*on, position).agg(F.max_by(F.struct(*extra), parent_order).alias("_parent"))
+    return children.join(best, [*on, position], "left").select(*children.columns, "_parent.*")
 
 
 def latch(flags: DataFrame, key: list[str], order: list[str], on: Column, off: Column, name: str = "active") -> DataFrame:

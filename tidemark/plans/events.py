@@ -172,6 +172,16 @@ def parent_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.collapsed_ranges(steps, ["o_custkey", "step"], "o_orderkey", "o_orderkey")
 
 
+def parents_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of four orders of a customer, and steps that begin two orders earlier: an order's parent is the step that holds it and begins last."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    k = F.row_number().over(w) - 1
+    steps = orders.withColumn("ids", F.array(F.concat(F.lit("a"), F.floor(k / 4)), F.concat(F.lit("b"), F.floor((k + 2) / 4)))).select("o_custkey", "o_orderkey", F.explode("ids").alias("step"))
+    spans = steps.groupBy("o_custkey", "step").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")).withColumn("place", F.col("first") * 2 + (F.substring("step", 1, 1) == "b").cast("int"))
+    return sq.parents(orders, spans, ["o_custkey"], "o_orderkey", "first", "last", "place").select("o_custkey", "o_orderkey", "step", "first", "last")
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     places = sq.windows_of(rows, ["o_custkey"], ["o_orderkey"], 6, 2)
@@ -375,6 +385,10 @@ select case when x = y then 'reread' when starts_with(y, x) then 'appended' when
 )
 select a.l_returnflag, a.k::int as k, count(*) as n, sum(b.o - a.o)::bigint as shift from pairs join lines a on a.l_orderkey = left_key
 join lines b on b.l_orderkey = right_key and b.l_returnflag = a.l_returnflag and b.k = a.k group by 1, 2""",
+    "parents_of_orders": """with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as k from orders),
+s as (select o_custkey as c, 'a' || (k // 4) as step, min(o_orderkey) as first, max(o_orderkey) as last, 0 as b from o group by 1, 2 union all select o_custkey, 'b' || ((k + 2) // 4), min(o_orderkey), max(o_orderkey), 1 from o group by 1, 2),
+p as (select o_custkey, o_orderkey, step, first, last, row_number() over (partition by o_custkey, o_orderkey order by first * 2 + b desc) as r from o join s on c = o_custkey and o_orderkey between first and last)
+select o_custkey, o_orderkey, step, first, last from p where r = 1""",
     "greedy_matching": f"with recursive {_PAIRS}, {_GREEDY} select left_key, i, j, area from walk where taken",
     "mutual_best_matching": f"with recursive {_PAIRS}, {_GREEDY} select left_key, i, j from walk where taken",
     "status_lifetimes": f"""with {_E}, m as (
