@@ -31,6 +31,12 @@ def turn_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that a turn begins with as the turn before it of the same role did."""
+    pairs = sq.transitions(_talks(spark, sf_dir), ["conv_id", "role"], ["turn"], ["text"])
+    return pairs.select("conv_id", "turn", tx.lcp_len(F.coalesce("prev_text", F.lit("")), F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+
+
 def turn_char_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit scripts of consecutive turns, whole texts; both texts must come back from them."""
     pairs = sq.transitions(_talks(spark, sf_dir), ["conv_id"], ["turn"], ["text"])
@@ -385,6 +391,8 @@ select case when x = y then 'reread' when starts_with(y, x) then 'appended' when
 )
 select a.l_returnflag, a.k::int as k, count(*) as n, sum(b.o - a.o)::bigint as shift from pairs join lines a on a.l_orderkey = left_key
 join lines b on b.l_orderkey = right_key and b.l_returnflag = a.l_returnflag and b.k = a.k group by 1, 2""",
+    "common_prefixes": """with p as (select conv_id, turn, coalesce(text, '') as b, lag(coalesce(text, '')) over w as a from conversations window w as (partition by conv_id, role order by turn) qualify a is not null)
+select conv_id, turn, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i::int, 1) <> substr(b, i::int, 1))) - 1, least(length(a), length(b)))::bigint as n from p""",
     "parents_of_orders": """with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as k from orders),
 s as (select o_custkey as c, 'a' || (k // 4) as step, min(o_orderkey) as first, max(o_orderkey) as last, 0 as b from o group by 1, 2 union all select o_custkey, 'b' || ((k + 2) // 4), min(o_orderkey), max(o_orderkey), 1 from o group by 1, 2),
 p as (select o_custkey, o_orderkey, step, first, last, row_number() over (partition by o_custkey, o_orderkey order by first * 2 + b desc) as r from o join s on c = o_custkey and o_orderkey between first and last)
