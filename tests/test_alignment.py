@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import alignment as al
 
+from .moved import shuffled
+
 
 def plain(needle, text):
     """Least edits of a substring for each end, by the table."""
@@ -73,6 +75,16 @@ def test_alike_finds_every_pair(spark):
     assert got == expected and len(expected) > len(texts)
 
 
+def test_alike_moves_texts_and_not_runs(spark):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randint(40, 80))) for _ in range(120)]
+    left = spark.createDataFrame([(k % 3, k, t) for k, t in enumerate(texts)], "g long, i long, a string")
+    right = left.select("g", F.col("i").alias("j"), F.concat(F.lit("x"), "a").alias("b"))
+    found = al.alike(left, right, ["g"], "a", "b")
+    rows, _ = shuffled(spark, lambda: found.write.format("noop").mode("overwrite").save())
+    assert found.filter("i = j").count() == len(texts) and rows <= 3 * len(texts)
+
+
 def length(frame_hits, box):
     seen = [box]
     while frame_hits[seen[-1]] in frame_hits and frame_hits[seen[-1]] not in seen:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,35 +82,40 @@ def _closest(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         yield pd.DataFrame([x or (None, None, None, None) for x in found], columns=["score", "begin", "end", "text"]).astype({"begin": "Int32", "end": "Int32"})
 
 
-def _prefix(text: Column, least: float) -> Column:
-    """Of the distinct hashed runs of Q characters of a text the first Q * k + 1 in order of hash, where k edits are what an alike text may differ by.
+def _class_of(length: Column, least: float, away: int) -> Column:
+    """The class of lengths that holds ``length`` when it shrinks (``away`` -1), stays or grows (1) by as much as an alike text may differ.
 
-    k edits take at most Q * k of the distinct runs away, and leave at least one, so the first run that two alike texts share is among these of both.
+    Classes are as wide as that range from end to end, so the texts alike to one lie in two classes next to each other, or in one.
     """
-    # shifted copies of the characters, zipped: each is made once, not once a run
-    chars = F.split(text, "")
-    n = F.greatest(F.size(chars) - (Q - 1), F.lit(0))
-    runs = F.slice(chars, F.lit(1), n)
-    for k in range(2, Q + 1):
-        runs = F.zip_with(runs, F.slice(chars, F.lit(k), n), lambda x, y: F.concat(x, y))
-    hashed = F.array_sort(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r))))
-    edits = F.floor(F.length(text) * (1 - least) / least + 1e-9)
-    return F.when(F.length(text) >= Q, F.slice(hashed, F.lit(1), (Q * edits + 1).cast("int")))
+    step = -math.log(least) + 1e-6
+    return F.floor((F.log(length.cast("double")) + away * step) / (2 * step)).cast("int")
+
+
+#: Characters of the pieces that a text is cut into for ``_may_be_alike``.
+PIECE = 5
+
+
+def _may_be_alike(a: Column, b: Column, most: Column) -> Column:
+    """False only where more than ``most`` edits lie between two texts: an edit spoils one of the pieces that ``b`` is cut into, the others are found in ``a``."""
+    pieces = F.floor(F.length(b) / PIECE)
+    found = F.size(F.filter(F.sequence(F.lit(1), F.greatest(pieces, F.lit(1))), lambda k: F.contains(a, F.substring(b, ((k - 1) * PIECE + 1).cast("int"), F.lit(PIECE)))))
+    return F.when(pieces <= most, True).otherwise(found >= pieces - most)
 
 
 def alike(left: DataFrame, right: DataFrame, group: list[str], a: str, b: str, least: float = 0.9) -> DataFrame:
     """Rows of ``left`` beside rows of ``right`` of the same group whose texts ``a`` and ``b`` have a similarity of ``least`` or more, with ``likeness``.
 
-    Rows meet by one of the runs of characters that ``_prefix`` picks, so no pair is formed without a shared one. Texts shorter than Q have no runs and are alike to nothing. ``least`` of 0.7 or more.
+    Rows meet by classes of lengths: a text of ``left`` travels once, one of ``right`` at most twice, and no pair travels, since it is decided where it is formed: by length, then
+    by pieces of one text in the other, then by a distance that gives up beyond the edits allowed. Texts shorter than Q are alike to nothing. ``least`` of 0.7 or more.
     """
-    x = left.withColumn("_left", F.monotonically_increasing_id()).withColumn("_run", F.explode(_prefix(F.col(a), least)))
-    y = right.withColumn("_right", F.monotonically_increasing_id()).withColumn("_run", F.explode(_prefix(F.col(b), least)))
+    x = left.filter(F.length(a) >= Q).withColumn("_class", _class_of(F.length(a), least, 0))
+    y = right.filter(F.length(b) >= Q).withColumn("_class", F.explode(F.sequence(_class_of(F.length(b), least, -1), _class_of(F.length(b), least, 1))))
     longest = F.greatest(F.length(a), F.length(b))
     most = F.floor(longest * (1 - least) + 1e-9).cast("int")
-    near = x.join(y, [*group, "_run"]).filter(F.abs(F.length(a) - F.length(b)) <= most)
-    once = near.dropDuplicates(["_left", "_right"])
-    edits = F.levenshtein(F.col(a), F.col(b))
-    return once.withColumn("likeness", 1 - edits / longest).filter(F.col("likeness") >= least - 1e-9).drop("_run", "_left", "_right")
+    near = x.join(y, [*group, "_class"]).filter((F.abs(F.length(a) - F.length(b)) <= most) & _may_be_alike(F.col(a), F.col(b), most))
+    edits = F.call_function("levenshtein", F.col(a), F.col(b), most)  # -1 beyond
+    near = near.withColumn("_edits", edits).filter("_edits >= 0").withColumn("likeness", 1 - F.col("_edits") / longest)
+    return near.filter(F.col("likeness") >= least - 1e-9).drop("_class", "_edits")
 
 
 def scrambled(boxes: DataFrame, readings: DataFrame, own: float = 0.6, other: float = 0.9) -> DataFrame:
