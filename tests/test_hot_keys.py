@@ -10,6 +10,8 @@ from tidemark.operators import matching as mt
 from tidemark.operators import reports as rp
 from tidemark.operators import sequences as sq
 
+from .moved import shuffled
+
 
 def test_running_sums_of_a_hot_key(spark):
     rng = random.Random(1)
@@ -75,3 +77,13 @@ def test_parents_of_positions(spark):
         spans.append((rng.choice("uv"), first, first + rng.choice([0, 50, 3000]), k))
     got = sq.parents(spark.createDataFrame(children, "v string, at long"), spark.createDataFrame(spans, "v string, first long, last long, place long"), ["v"], "at", "first", "last", "place").collect()
     assert sorted((r.v, r.at, r.place if r.place is not None else -1) for r in got) == sorted((v, at, max((p for w, a, b, p in spans if w == v and a <= at <= b), default=-1)) for v, at in children)
+
+
+def test_long_spans_are_not_spread(spark):
+    far = 50_000_000
+    spans = spark.createDataFrame([("u", k, far + k, k) for k in range(5)] + [("u", 7, 7, 9), ("u", 9, 8, 10)], "v string, first long, last long, place long")
+    children = spark.createDataFrame([("u", at) for at in (0, 3, 7, 9, far // 2, far + 2, far + 9)], "v string, at long")
+    got = sq.parents(children, spans, ["v"], "at", "first", "last", "place")
+    rows, _ = shuffled(spark, lambda: got.write.format("noop").mode("overwrite").save())
+    assert {(r.at, r.place) for r in got.collect()} == {(0, 0), (3, 3), (7, 9), (9, 4), (far // 2, 4), (far + 2, 4), (far + 9, None)}
+    assert rows < 200  # 50,000 cells of 1024 positions a span before

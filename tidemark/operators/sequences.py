@@ -168,13 +168,20 @@ def first_range(rows: DataFrame, ranges_: DataFrame, at: str, start: str, end: s
 def parents(children: DataFrame, spans: DataFrame, on: list[str], position: str, first: str, last: str, parent_order: str, cell: int = 1024) -> DataFrame:
     """Each child's parent: the span [first, last] of positions that holds it, with the same ``on``; of several the last by ``parent_order``; nulls where there is none.
 
-    Spans and positions, whole numbers, meet by cells of ``cell`` positions, so there is no join by range alone; a span makes a row for each cell that it touches. The choice is an
+    Spans and positions, whole numbers, meet by cells, so there is no join by range alone. A span goes to cells of a size that holds it: ``cell``, or that times a power of eight, so it
+    makes two rows at most, however long it is; a position is looked up in each size that some span has (one row of a few numbers). The choice is an
     aggregate over different positions: repeated children all get it.
     """
     extra = [c for c in spans.columns if c not in on]
-    dealt = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(first) / cell), F.floor(F.col(last) / cell))))
-    asked = children.select(*on, position).distinct().withColumn("_cell", F.floor(F.col(position) / cell))
-    both = asked.join(dealt, [*on, "_cell"]).filter((F.col(position) >= F.col(first)) & (F.col(position) <= F.col(last)))
+    fits = spans.filter(F.col(last) >= F.col(first))
+    bits = F.length(F.bin(F.floor((F.col(last) - F.col(first)) / cell).cast("long")))  # 2 ** bits cells are longer than the span
+    size = F.lit(cell) * F.call_function("shiftleft", F.lit(1).cast("long"), (F.ceil(bits / 3) * 3).cast("int"))
+    sized = fits.withColumn("_size", F.when(F.col(last) - F.col(first) < cell, F.lit(cell).cast("long")).otherwise(size))
+    sizes = sized.agg(F.collect_set("_size").alias("_sizes"))
+    at = lambda c: F.floor(F.col(c) / F.col("_size"))
+    dealt = sized.withColumn("_cell", F.explode(F.sequence(at(first), at(last))))
+    asked = children.select(*on, position).distinct().crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes")).drop("_sizes").withColumn("_cell", at(position))
+    both = asked.join(dealt, [*on, "_size", "_cell"]).filter((F.col(position) >= F.col(first)) & (F.col(position) <= F.col(last)))
     best = both.groupBy(*on, position).agg(F.max_by(F.struct(*extra), parent_order).alias("_parent"))
     return children.join(best, [*on, position], "left").select(*children.columns, "_parent.*")
 
