@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,28 @@ def test_words_from_pieces(spark):
     assert [(w.text, tuple(w.bbox)) for w in got[0]] == [("ab", (0, 0, 2, 3)), ("c", (5, 0, 6, 1))] and got[1] is None and got[2] == []
 
 
+@pytest.mark.parametrize("most", [1, 7, 100_000])
+def test_words_by_flat_columns(monkeypatch, most):
+    """Slices of a batch give what one row at a time gives."""
+    rng = random.Random(most)
+    rows = [(None, None), ("", []), ("ab", None), ("ab", []), ("ab", [piece("ab", 0), piece("", 9)]), ("", [piece("", 1)]), (" a  b ", [piece("", 0), piece("a", 1), piece("", 5), piece("b", 3)])]
+    for _ in range(200):
+        words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 5))]
+        joined, cuts = "".join(words), {0}
+        for w in words:
+            cuts |= {max(cuts) + len(w)} | {max(cuts) + rng.randint(0, len(w)) for _ in range(2)}
+        cuts = sorted(c for c in cuts if rng.random() > 0.03 or not c)
+        own = [piece(joined[a:b], rng.randint(0, 99)) for a, b in zip(cuts, cuts[1:])]
+        if rng.random() < 0.3:
+            own.insert(rng.randint(0, len(own)), piece("", rng.randint(0, 99)))
+        rows.append((" ".join(words), own))
+    monkeypatch.setattr(an, "SLICE", most)
+    kind = pa.list_(pa.struct([("text", pa.string()), ("bbox", pa.struct([(c, pa.int32()) for c in ("x0", "y0", "x1", "y1")]))]))
+    got = list(an._regroup.func(iter([(pa.array([t for t, _ in rows], pa.string()), pa.array([p for _, p in rows], kind))])))
+    assert [x for part in got for x in part.to_pylist()] == [an.regrouped(t, p) for t, p in rows]
+    assert most > 1 or len(got) > 100
+
+
 def plain_tags(boxes, width, height):
     out, placed = {}, []
     for k, (rect, tw, th) in enumerate(boxes):

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +92,53 @@ def regroup_words(text: Column, pieces: Column) -> Column:
     return _regroup(text, pieces)
 
 
-@F.pandas_udf(PIECES)
-def _regroup(texts: pd.Series, pieces: pd.Series) -> pd.Series:
-    return pd.Series([regrouped(t, p) for t, p in zip(texts, pieces)], dtype=object)
+def _placed(words: list[str], lengths: np.ndarray, whole: str) -> np.ndarray | None:
+    """Where the pieces of each word begin, by the lengths of the pieces and their joined text; None unless they spell the words. Empty pieces belong to the word that follows."""
+    if "".join(words) != whole or not words and len(lengths):
+        return None
+    ends = np.cumsum(lengths)
+    upto = np.searchsorted(ends, np.cumsum([len(w) for w in words]))  # the first piece that reaches a word's end
+    if not words:
+        return upto
+    if upto[-1] != len(ends) - 1 or (ends[upto] != np.cumsum([len(w) for w in words])).any():
+        return None
+    return np.concatenate(([0], upto[:-1] + 1))
+
+
+#: Pieces of a slice of a batch, at most, but one row at least: what a worker holds beside the batch itself.
+SLICE = 100_000
+
+
+@F.arrow_udf(PIECES)
+def _regroup(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Pieces stay in flat Arrow columns: only words are Python strings, those of one slice at a time."""
+    for texts, pieces in parts:
+        begin = 0
+        while begin < len(texts):
+            sizes = np.cumsum(np.fromiter((x or 0 for x in pc.list_value_length(pieces.slice(begin)).to_pylist()), np.int64))
+            n = max(1, int(np.searchsorted(sizes, SLICE, "right")))
+            yield _regrouped(texts.slice(begin, n), pieces.slice(begin, n))
+            begin += n
+
+
+def _regrouped(texts: pa.Array, pieces: pa.Array) -> pa.Array:
+    flat = pieces.flatten()
+    lengths = pc.utf8_length(flat.field("text")).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, np.int64)
+    rects = {c: flat.field("bbox").field(c).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, np.int32) for c in RECT.names}
+    out: dict[str, list] = {c: [] for c in RECT.names}
+    named: list[str] = []
+    offsets, fits, at = [0], [], 0
+    for text, n in zip(texts.to_pylist(), pc.list_value_length(pieces).to_pylist()):
+        n = n or 0
+        words, own = (text or "").split(), slice(at, at + n)
+        starts = _placed(words, lengths[own], "".join(flat.field("text").slice(at, n).to_pylist()) if n else "")
+        if starts is not None and len(starts):
+            for c in RECT.names:
+                out[c].append((np.minimum if c.endswith("0") else np.maximum).reduceat(rects[c][own], starts))
+            named += words
+        fits.append(starts is not None)
+        offsets.append(len(named))
+        at += n
+    columns = [pa.array(np.concatenate(out[c]) if out[c] else [], pa.int32()) for c in RECT.names]
+    values = pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.StructArray.from_arrays(columns, RECT.names)], ["text", "bbox"])
+    return pa.ListArray.from_arrays(pa.array([o if f else None for o, f in zip(offsets, [*fits, True])], pa.int32()), values)
