@@ -113,3 +113,12 @@ def test_every_table_has_a_digest(spark, sf):
 
     got = {r.name: r.n_rows for r in plans.queries()["lineage_digest"](spark, sf).collect()}
     assert got == {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in TABLES}
+
+
+def test_candidates_need_no_aggregate_after_the_join(spark, sf):
+    from tidemark.plans import events
+
+    found = events._candidates(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+    assert found.count() == found.select("left_key", "i", "j").distinct().count()

@@ -63,11 +63,12 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     pairs = orders.select(F.col("o_orderkey").alias("left_key"), F.lead("o_orderkey").over(w).alias("right_key")).filter("right_key is not null")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    left = lines.join(pairs, lines.l_orderkey == pairs.left_key).select("left_key", F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("qa"), "right_key")
-    right = lines.select(F.col("l_orderkey").alias("right_key"), F.col("l_linenumber").alias("j"), F.col("l_quantity").alias("qb"))
-    both = left.join(right, "right_key").groupBy("left_key", "i", "j")  # line numbers of an order can repeat
-    return both.agg(F.max(50 - F.abs(F.col("qa") - F.col("qb"))).alias("area"))
+    # line numbers of an order can repeat: a number's quantities go together before the join, so that what it makes needs no aggregate
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.collect_set("l_quantity").alias("q"))
+    left = lines.join(pairs, lines.l_orderkey == pairs.left_key).select("left_key", F.col("l_linenumber").alias("i"), F.col("q").alias("qa"), "right_key")
+    right = lines.select(F.col("l_orderkey").alias("right_key"), F.col("l_linenumber").alias("j"), F.col("q").alias("qb"))
+    nearest = F.array_max(F.transform("qa", lambda x: F.array_max(F.transform("qb", lambda y: 50 - F.abs(x - y)))))
+    return left.join(right, "right_key").select("left_key", "i", "j", nearest.alias("area"))
 
 
 def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
