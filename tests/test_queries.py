@@ -122,3 +122,10 @@ def test_candidates_need_no_aggregate_after_the_join(spark, sf):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
     assert found.count() == found.select("left_key", "i", "j").distinct().count()
+
+
+def test_rounds_of_mutual_best_join_nothing(spark):
+    made = spark.createDataFrame([(1, 1, 1, 5.0), (1, 1, 2, 5.0), (1, 2, 1, 5.0), (1, 2, 2, 4.0), (2, 1, 1, 1.0)], "g long, i long, j long, area double")
+    found = matching.mutual_best(made, ["g"], 2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, matching.mutual_best(made, ["g"]).collect())) == [(1, 1, 1, 5.0), (1, 2, 2, 4.0), (2, 1, 1, 1.0)]
