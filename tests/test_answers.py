@@ -13,6 +13,8 @@ from tidemark.operators import lineage as ln
 from tidemark.operators import placing as pl
 from tidemark.operators import quotes as qu
 
+from .moved import shuffled
+
 
 @pytest.mark.parametrize(
     "text, body, reason",
@@ -173,3 +175,16 @@ def test_requests_are_sent_again_once(spark, tmp_path):
     assert ln.run_passes(requests, path, send, "bytes", 25).count() == 40 and len(sent) == 3
     open_ = spark.createDataFrame([("a", 1, None, None), ("b", 1, "canceled", None)], ln.ATTEMPTS)
     assert {r.key for r in ln.to_send(spark.createDataFrame([("a",), ("b",), ("c",)], "key string"), open_).collect()} == {"b", "c"}
+
+
+def test_sources_by_place_move_once(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(7)) for _ in range(60)]
+    sources = spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts)], "g long, at long, text string")
+    answers = [(k, k % 2, k, None, f'"{" ".join(rng.choice(texts).split()[:4])}"') for k in range(60)]
+    answers = spark.createDataFrame(answers, "id long, g long, at long, question string, answer string")
+    every = answers.select("id", "g", F.col("at").alias("_at")).join(sources, "g").filter("at < _at").select("id", "text")
+    one, two = qu.unsupported(answers, sources, "g", "at"), qu.unsupported(answers.drop("g", "at"), every)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and 0 < one.count() < 60
+    kept = lambda df: shuffled(spark, lambda: df.write.format("noop").mode("overwrite").save())[0]
+    assert kept(one) * 2 < kept(two)

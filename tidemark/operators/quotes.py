@@ -44,32 +44,42 @@ def _runs(text: Column) -> Column:
     return F.array_distinct(F.transform(out, lambda r: F.xxhash64(r)))
 
 
-def contained(parts: DataFrame, texts: DataFrame, on: list[str], part: str, text: str) -> DataFrame:
-    """The distinct (on, part) that some text with the same ``on`` contains.
+def contained(parts: DataFrame, texts: DataFrame, on: list[str], part: str, text: str, place: str | None = None) -> DataFrame:
+    """The distinct (on, part) that some text with the same ``on`` contains; with ``place``, a column of ``texts``, its least among those texts too.
 
     An inverted index of runs: a part is looked up by one of its runs, that of least hash, and meets the texts that have this run. Runs travel as
     (on, hash, number of the text), neither text nor part beside them; texts join again only where a run was found, and ``contains`` decides.
     """
-    texts = texts.select(*on, F.col(text).alias("_text")).distinct().withColumn("_number", F.xxhash64("_text"))
+    first = F.min(place if place else F.lit(None).cast("long"))
+    texts = texts.groupBy(*on, F.col(text).alias("_text")).agg(first.alias("_place")).withColumn("_number", F.xxhash64("_text"))
     wanted = parts.select(*on, F.col(part).alias("_part")).distinct()
     keyed = wanted.withColumn("_run", F.array_min(_runs(F.col("_part"))))
     index = texts.select(*on, "_number", F.explode(_runs(F.col("_text"))).alias("_run"))
     index = index.join(keyed.select("_run").distinct(), "_run", "left_semi")
     near = keyed.join(index, [*on, "_run"]).select(*on, "_part", "_number").distinct()
     hit = near.join(texts, [*on, "_number"]).filter(F.contains("_text", "_part"))
-    return hit.select(*on, F.col("_part").alias(part)).distinct()
+    found = hit.groupBy(*on, F.col("_part").alias(part)).agg(F.min("_place").alias("_place"))
+    return found.withColumnRenamed("_place", place) if place else found.drop("_place")
 
 
-def unsupported(answers: DataFrame, sources: DataFrame) -> DataFrame:
+def unsupported(answers: DataFrame, sources: DataFrame, group: str | None = None, place: str | None = None) -> DataFrame:
     """Quotes of answers (id, question, answer) with passages that neither a source (id, text) of the answer nor its question has: id, quote, missing.
 
+    With ``group`` and ``place``, columns of both, the sources of an answer are those of its group at a lesser place. They are looked up by group, so a text moves once
+    and not once for each answer after it.
+
     A passage must lie in one source. Quotes without a passage of four characters are supported. Null answers have no quotes, a null question has nothing.
     """
-    every = answers.select("id", "question", F.explode(quotes(F.col("answer"))).alias("quote"))
-    parts = every.select("id", "question", "quote", F.posexplode(passages(F.col("quote"))).alias("pos", "part"))
+    own = [group, place] if group else []
+    every = answers.select("id", *own, "question", F.explode(quotes(F.col("answer"))).alias("quote"))
+    parts = every.select("id", *own, "question", "quote", F.posexplode(passages(F.col("quote"))).alias("pos", "part"))
     parts = parts.filter(~F.coalesce(F.contains(squashed(F.col("question")), F.col("part")), F.lit(False)))
-    held = contained(parts, sources.select("id", squashed(F.col("text")).alias("text")), ["id"], "part", "text")
-    lost = parts.join(held, ["id", "part"], "left_anti")
+    if group:
+        held = contained(parts, sources.select(*own, squashed(F.col("text")).alias("text")), [group], "part", "text", place).withColumnRenamed(place, "_held")
+        lost = parts.join(held, [group, "part"], "left").filter(~F.coalesce(F.col("_held") < F.col(place), F.lit(False)))
+    else:
+        held = contained(parts, sources.select("id", squashed(F.col("text")).alias("text")), ["id"], "part", "text")
+        lost = parts.join(held, ["id", "part"], "left_anti")
     return lost.groupBy("id", "quote").agg(F.transform(F.array_sort(F.collect_set(F.struct("pos", "part"))), lambda x: x["part"]).alias("missing"))
 
 

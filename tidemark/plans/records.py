@@ -112,10 +112,8 @@ def unsupported_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).withColumn("before", F.lag("text").over(w)).withColumn("id", F.concat_ws(":", "conv_id", "turn"))
     words = lambda c, k: F.array_join(F.slice(F.split(F.col(c), r"\s+"), k, 3), " ")
-    answers = t.filter("before is not null").select("id", F.lit(None).cast("string").alias("question"), F.concat(F.lit('As "'), words("before", 2), F.lit('" and then `'), words("text", 1), F.lit("`.")).alias("answer"))
-    earlier = t.select("conv_id", F.col("turn").alias("_turn"), F.col("text").alias("_text"))
-    sources = t.select("conv_id", "turn", "id").join(earlier, "conv_id").filter("_turn < turn").select("id", F.col("_text").alias("text"))
-    return qu.unsupported(answers, sources).select("id", "quote", F.size("missing").alias("n_missing"))
+    answers = t.filter("before is not null").select("id", "conv_id", "turn", F.lit(None).cast("string").alias("question"), F.concat(F.lit('As "'), words("before", 2), F.lit('" and then `'), words("text", 1), F.lit("`.")).alias("answer"))
+    return qu.unsupported(answers, t.select("conv_id", "turn", "text"), "conv_id", "turn").select("id", "quote", F.size("missing").alias("n_missing"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
