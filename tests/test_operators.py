@@ -100,3 +100,13 @@ def test_reasons_are_exclusive(spark):
     rows = spark.range(10)
     got = {r.reason: r.n for r in ev.reason_counts(rows, {"small": F.col("id") < 3, "even": F.col("id") % 2 == 0}).collect()}
     assert got == {"small": 3, "even": 3, "kept": 4}
+
+
+def test_lines_of_text_lie_in_few_cells(spark):
+    from .moved import shuffled
+
+    rows = [(1, side, k, (10, 20 * k, 250, 20 * k + 18), f"t{k}", True) for side in "ab" for k in range(50)]
+    boxes = spark.createDataFrame(rows, "pair long, side string, ordinal long, bbox struct<x0:int,y0:int,x1:int,y1:int>, text string, touched boolean")
+    got = mt.track(boxes)
+    moved, _ = shuffled(spark, lambda: got.write.format("noop").mode("overwrite").save())
+    assert got.filter("kind = 'same_place' and i = j").count() == 50 and moved < 300  # at least 400 rows for the join alone in cells of 64
