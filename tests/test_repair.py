@@ -119,3 +119,29 @@ def test_relinked(spark):
                 rows.append((run, frame, pos, end, lives))
     got = rp.relinked(spark.createDataFrame(rows, "run long, frame int, pos int, end int, lives array<long>"))
     assert {(r.run, r.frame, r.pos): r.accepted for r in got.collect()} == expected and 0 < sum(expected.values()) < len(expected)
+
+
+def test_lines_of_a_proposal_move_once(spark, sf):
+    from tidemark import plans
+
+    from .moved import shuffled
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    rows, _ = shuffled(spark, lambda: plans.queries()["proposal_repair"](spark, sf).collect())
+    assert lines <= rows < 2 * lines
+
+
+def test_proposals_with_nulls_as_sql_has_them(spark, sf, tmp_path):
+    """Keys and states that are null, as names, references and kinds."""
+    import duckdb
+
+    from tidemark import plans
+
+    from .oracle import assert_same
+
+    folder, name = str(tmp_path), "lineitem.parquet"
+    odd = ", ".join(f"case when (l_orderkey * 7 + l_linenumber * {k} + l_partkey) % 6 <> 0 then {c} end as {c}" for k, c in enumerate(("l_partkey", "l_suppkey", "l_linestatus"), 2))
+    duckdb.execute(f"copy (select * replace ({odd}) from '{sf}/{name}' where l_orderkey % 3 = 0) to '{folder}/{name}'")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{folder}/{name}'")
+    assert_same(plans.queries()["proposal_repair"](spark, folder).toPandas(), con.execute(plans.oracle_sql()["proposal_repair"].strip()).df())

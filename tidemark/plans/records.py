@@ -14,7 +14,6 @@ from ..operators import placing as pl
 from ..operators import quotes as qu
 from ..operators import repair as rp
 from ..operators import wording as wd
-from ..session import cut
 from ..streaming import pictures as pc
 from .common import seconds, table
 
@@ -69,11 +68,18 @@ def reading_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _proposals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """An order as a record: its lines propose containers, assignments, links, texts and missed texts, with the faults that their keys happen to give."""
+    """An order as a record: its lines propose containers, assignments, links, texts and missed texts, with the faults that their keys happen to give.
+
+    Flag and status go as one column, the last to order lines by, so that all tables read the same columns of lines and the shuffle by order is made once.
+    A split of the scan goes to 32 parts, by number so that they are not joined again: lines become many items in a part, which are to be sorted in memory.
+    """
     # line numbers of an order can repeat, so the place in an order is counted
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    n = F.row_number().over(w)
-    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), n.alias("pos"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
+    marks = F.array("l_returnflag", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem")
+    i = lines.select(F.col("l_orderkey").alias("record"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("price"), marks.alias("marks"))
+    i = i.repartition(32 * max(1, lines.rdd.getNumPartitions()), "record")
+    i = i.withColumn("pos", F.row_number().over(Window.partitionBy("record").orderBy(*[F.asc_nulls_last(c) for c in ("line", "p", "s", "q", "price", "marks")])))
+    i = i.select("record", "pos", "p", "s", F.col("marks")[0].alias("flag"), F.col("marks")[1].alias("status"))
     name = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
     box, other = name("b", F.col("p") % 9 + 1), name("b", F.col("s") % 9 + 1)
     kind = F.when(F.col("flag") == "A", "pair").when(F.col("flag") == "N", "run").otherwise("record")
@@ -91,10 +97,9 @@ def _proposals(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def proposal_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _proposals(spark, sf_dir)
-    kept, counts = rp.repair_containers(p["containers"])
-    kept = cut(kept)
-    found = [counts, rp.repair_assign(p["assign"], p["unassigned"], p["boxes"], kept)[2], rp.repair_links(p["links"], p["boxes"])[1], rp.repair_texts(p["texts"], p["boxes"])[1], rp.repair_missed(p["missed"], kept)[1]]
-    return rp.totals(*found).groupBy("reason").agg(F.sum("n").alias("n"), F.count("*").alias("n_records"))
+    known = p["containers"]  # the first of equal ids stays, so no id is lost by the repair
+    checks = rp.repair_containers(known)[1], rp.repair_assign(p["assign"], p["unassigned"], p["boxes"], known)[2], rp.repair_links(p["links"], p["boxes"])[1], rp.repair_texts(p["texts"], p["boxes"])[1], rp.repair_missed(p["missed"], known)[1]
+    return rp.overall(*checks)
 
 
 def links_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
