@@ -188,3 +188,31 @@ def test_sources_by_place_move_once(spark):
     assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and 0 < one.count() < 60
     kept = lambda df: shuffled(spark, lambda: df.write.format("noop").mode("overwrite").save())[0]
     assert kept(one) < kept(two)
+
+
+def test_boxes_of_a_frame_move_once(spark, sf):
+    """The shuffle that numbers the boxes serves the placing; only sums by frame move after it."""
+    from tidemark import plans
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rows, _ = shuffled(spark, lambda: plans.queries()["tags_placed"](spark, sf).collect())
+    assert rows <= lines.count() + lines.select("l_orderkey").distinct().count()
+
+
+def test_tags_of_few_and_many_boxes_alike(spark, monkeypatch):
+    """A frame's rectangles in a list or in a grid give the same places; a rectangle without an edge has no tag."""
+    rng, kind = random.Random(9), "frame long, pos int, box string, bbox struct<x0:int,y0:int,x1:int,y1:int>, tag_width int, tag_height int"
+    rows = []
+    for frame in range(30):
+        for pos in range(rng.choice((1, 5, 24, 25, 60))):
+            x, y = rng.randint(-20, 300), rng.randint(-20, 200)
+            rows.append((frame, pos, f"b{pos}", (x, y, x + rng.choice((0, 5, 60)), y + rng.randint(0, 30)), rng.randint(1, 40), 12))
+    boxes = spark.createDataFrame([*rows, (99, 0, "b0", (1, None, 5, 9), 5, 5)], kind)
+    both = []
+    for few in (0, 1000):
+        monkeypatch.setattr(pl, "FEW", few)
+        machines = {}
+        for frame, pos, box, rect, *size in rows:
+            machines.setdefault(frame, pl._Frame(320, 240)).step(pos, box, *rect, *size)
+        both.append(sorted((frame, *r) for frame, m in machines.items() for r in m.close()))
+    assert both[0] == both[1] == sorted(map(tuple, pl.place_tags(boxes, 320, 240).collect()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from typing import Protocol
 
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import prepare
 
+#: A machine that closes may emit many rows; they leave in batches of so many.
+ROWS = 20_000
+
 
 class Machine(Protocol):
     """State of one group. Both methods give rows to emit."""
@@ -44,12 +48,18 @@ def fold(rows: DataFrame, group: list[str], order: list[str | Column], make: Cal
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if machine is None or row[:n] != now:
                     if machine:
-                        out += [(*now, *r) for r in machine.close()]
+                        for r in machine.close():
+                            out.append((*now, *r))
+                            if len(out) == ROWS:
+                                yield batch_of(out)
+                                out = []
                     now, machine = row[:n], make()
                 out += [(*now, *r) for r in machine.step(*row[n:])]
             yield batch_of(out)
         if machine:
-            yield batch_of([(*now, *r) for r in machine.close()])
+            rest = iter(machine.close())
+            while out := [(*now, *r) for r in islice(rest, ROWS)]:
+                yield batch_of(out)
 
     ordered = narrow.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, *order)
     return ordered.mapInArrow(run, schema)

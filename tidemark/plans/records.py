@@ -162,10 +162,12 @@ def answers_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tags_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as frames: a tag for each line's box."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    # named before the window, so that the shuffle by frame serves the fold too
+    w = Window.partitionBy("frame").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     x, y = (F.col("l_partkey") % 50 * 3).cast("int"), (F.col("l_quantity") * 3).cast("int")
     box = F.struct(x.alias("x0"), y.alias("y0"), (x + 60).alias("x1"), (y + 14).alias("y1"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.row_number().over(w).alias("pos"), F.col("l_linenumber").cast("string").alias("box"), box.alias("bbox"), F.lit(20).alias("tag_width"), F.lit(12).alias("tag_height"))
+    rows = lines.select("frame", F.row_number().over(w).alias("pos"), F.col("l_linenumber").cast("string").alias("box"), box.alias("bbox"), F.lit(20).alias("tag_width"), F.lit(12).alias("tag_height"))
     return pl.place_tags(rows, 240, 180).groupBy("frame").agg(F.count("*").alias("n"), F.count_if("clash").alias("n_clashes"), F.sum(F.col("x") * 1000 + F.col("y")).alias("places"))
 
 
