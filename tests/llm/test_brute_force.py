@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import hashing, lm, ngram_join, packing, quality, queries, suffix, toxicity
+from tidemark.llm import hashing, lm, ngram_join, packing, passages, quality, queries, suffix, toxicity
 
 from ..oracle import assert_same, by_sql
 from tidemark.llm import oracle_sql
@@ -330,3 +330,51 @@ def test_held_out_accuracy(spark, name, label, modulus, rest):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == rest) for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(p == y for p, y in held) / len(held) > 0.9
+
+
+def covered_words(texts, least):
+    """Of each text the words in windows of ``least`` words that another row has too."""
+    words, owner = {i: t.split() for i, t in texts.items()}, {}
+    for i, w in words.items():
+        for k in range(len(w) - least + 1):
+            at = tuple(w[k : k + least])
+            owner[at] = i if owner.get(at, i) == i else None
+    out = {}
+    for i, w in words.items():
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - least + 1):
+            if owner[tuple(w[k : k + least])] is None:
+                gone[k : k + least] = True
+        out[i] = int(gone.sum())
+    return out
+
+
+def test_passages_of_fifty_words(spark, tmp_path):
+    """A passage of 51 short words in two documents has under 400 bytes, so nothing is removed; it shows in n_passage_words."""
+    rng = random.Random(5)
+    own = lambda n: " ".join(rng.choice("bcdfg") + str(rng.randrange(10**4)) for _ in range(n))
+    passage, short, page = own(51), own(49), own(90)
+    rows = [(1, f"{own(40)} {passage} {own(30)}"), (2, f"{own(7)}\n{passage}"), (3, own(200)), (4, f"{own(60)} {short} {own(9)}"), (5, f"{short} {own(80)}")]
+    rows += [(6, f"{passage[:250]} {own(70)}"), (7, page), (8, page), (9, " ".join([own(25)] * 6)), (10, None), (11, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in suffix.op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.n_passage_words for i, r in got.items()} == {1: 51, 2: 51, 3: 0, 4: 0, 5: 0, 6: 0, 7: 90, 8: 90, 9: 0, 10: 0, 11: 0}
+    assert got[1].n_removed == got[2].n_removed == 0
+
+
+@pytest.mark.parametrize("least,hot", [(50, 4000), (50, 2), (8, 4000), (1, 2)])
+def test_words_of_passages(spark, sf, texts, least, hot, monkeypatch):
+    for name, value in (("HOT", hot), ("PACKET", 500), ("BLOCK", 2000)):
+        monkeypatch.setattr(passages, name, value)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text").repartition(3)
+    bodies = docs.mapInArrow(ngram_join._first_texts, "key binary, body binary")
+    got = {bytes(r.key): r.n_words for r in passages.shared_words(docs, bodies, least).collect()}
+    assert {i: got.get(hashlib.md5(t).digest(), 0) for i, t in texts.items()} == covered_words(texts, least)
+
+
+def test_long_texts_are_cut_at_spaces(monkeypatch):
+    whole = [b"a bc " * 40, b"", b"x" * 300 + b" y\tz", b" " * 50]
+    want = passages.word_hashes(whole)
+    monkeypatch.setattr(passages, "PIECE", 16)
+    got = passages.word_hashes(whole)
+    assert all((a == b).all() for a, b in zip(want, got)) and got[1].tolist() == [80, 0, 3, 0]

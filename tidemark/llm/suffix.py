@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import forget, prepare, table, texts_of, written
 from .ngram_join import _fresh, _first_texts
+from .passages import shared_words
 
 LEAST = 400
 #: Runs of a packet.
@@ -174,9 +175,9 @@ def _placed(least: int):
 # -- blocks ----------------------------------------------------------------------------------------
 
 
-def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of ``data``; ``left[i]`` bytes are left from i to the end of its run, 0 at a separator.
-    Separators are the least symbols, in the order of their places. By prefix doubling from packed first bytes."""
+def suffix_array(data: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
+    """Suffixes of ``data`` in the order of their first ``least`` bytes; ``left[i]`` bytes are left from i to the end of its run, 0 at a separator.
+    Separators are the least symbols. By prefix doubling from packed first bytes; with more bytes in common any order will do."""
     n = len(data)
     packed = np.zeros(n, np.uint64)
     for j in range(7):
@@ -185,22 +186,25 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
         packed = (packed << _U(8)) | np.where(left > j, shifted, _U(0))
     packed = (packed << _U(8)) | np.minimum(left, 7).astype(np.uint64)
     order = np.argsort(packed)
-    new = np.concatenate(([0], (packed[order[1:]] != packed[order[:-1]]).astype(np.int64)))
+    packed = packed[order]
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new)
-    step, longest = 7, int(left.max(initial=0))
-    at = np.arange(n)
-    while step <= longest:
+    rank[order] = np.cumsum(np.concatenate(([0], packed[1:] != packed[:-1])))
+    step, longest = 7, min(int(left.max(initial=0)), least - 1)
+    at, bits = np.arange(n), n.bit_length()
+    while step <= longest and rank[order[-1]] < n - 1:
         # only suffixes that reach past ``step`` compare further; the others end at their own separator
         beyond = np.where(left > step, rank[np.minimum(at + step, n - 1)] + 1, 0)
-        key = rank * (n + 1) + beyond
-        order = np.argsort(key)
-        new = np.concatenate(([0], (key[order[1:]] != key[order[:-1]]).astype(np.int64)))
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1:
-            return order
+        key = rank << bits | beyond
+        if 3 * bits <= 63:  # values with their places sort faster than places by values
+            key = np.sort(key << bits | at)
+            order = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
         step *= 2
-    return np.argsort(rank * n + at)  # equal rests, cut by their separators, stand in the order of these
+    return order
 
 
 def boundaries(data: np.ndarray, left: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -213,6 +217,7 @@ def boundaries(data: np.ndarray, left: np.ndarray, order: np.ndarray, least: int
     extends = (before >= 0) & (left[np.maximum(before, 0)] > 0)
     symbol = np.where(extends, data[np.maximum(before, 0)], 0).astype(np.int64)
     back = np.where(extends, inverse[np.maximum(before, 0)], -1)  # the LF mapping
+    step = np.where(extends, symbol << 32 | back, -1)
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     # level 0: the intervals of single symbols; every separator is a symbol of its own
@@ -231,14 +236,13 @@ def boundaries(data: np.ndarray, left: np.ndarray, order: np.ndarray, least: int
         size = right[~one] - begin[~one] + 1
         if len(size):
             owner = np.repeat(np.arange(len(size)), size)
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[~one], size)
-            own = back[place] >= 0
-            key, place = owner[own] * 256 + symbol[place[own]], place[own]
-            turn = np.argsort(key, kind="stable")
-            key, place = key[turn], place[turn]
-            edge = np.flatnonzero(np.diff(key)) if len(key) else np.zeros(0, np.int64)
-            low = back[place[np.concatenate(([0], edge + 1))]] if len(key) else edge
-            high = back[place[np.append(edge, len(key) - 1)]] if len(key) else edge
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - begin[~one], size)
+            own = step[place] >= 0
+            # by interval and symbol; the least and the greatest place bound the extension
+            key = np.sort(owner[own] << 40 | step[place[own]])
+            edge = np.flatnonzero(np.diff(key >> 32))
+            low = key[np.concatenate(([0], edge + 1))] & 0xFFFFFFFF if len(key) else edge
+            high = key[np.append(edge, len(key) - 1)] & 0xFFFFFFFF if len(key) else edge
         else:
             low = high = np.zeros(0, np.int64)
         begin, right = np.concatenate((single, low)), np.concatenate((single, high))
@@ -255,7 +259,7 @@ def repeated(segments: list[bytes], many: list[bool], least: int = LEAST) -> lis
     ends = np.cumsum(sizes + 1) - 1
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     left = ends[owner] - np.arange(len(data))
-    order = suffix_array(data, left)
+    order = suffix_array(data, left, least)
     cut = boundaries(data, left, order, least)
     group = np.cumsum(cut[:-1])
     weight = np.bincount(group, 1 + np.array(many, np.int64)[owner[order]])
@@ -416,9 +420,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(docs.select("doc_id", _key_column().alias("key"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("own")), "keys")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("key").alias("copied"))
     texts = docs.select("text").mapInArrow(_first_texts, "key binary, body binary")
+    words = shared_words(docs, texts).select(F.col("key").alias("has"), "n_words")
     part = repeats(docs).join(copies, F.col("key") == F.col("copied"), "left_anti")
     part = texts.join(part.hint("merge"), "key").select("key", "body", "spans").mapInArrow(_digests, "of binary, removed long, n long, sha string")
-    rows = rows.join(part, F.col("key") == F.col("of"), "left").join(copies, F.col("key") == F.col("copied"), "left")
+    rows = rows.join(part, F.col("key") == F.col("of"), "left").join(copies, F.col("key") == F.col("copied"), "left").join(words, F.col("key") == F.col("has"), "left")
     gone = F.col("copied").isNotNull() & (F.col("n_bytes") >= LEAST)
     return rows.select(
         "doc_id",
@@ -426,6 +431,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"),
+        F.coalesce("n_words", F.lit(0)).cast("long").alias("n_passage_words"),
     )
 
 
